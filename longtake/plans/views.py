@@ -37,7 +37,10 @@ EVENT_TYPES = [  # Fixed values: the event types, in protocol order.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # Times without a zone are UTC; a plain cast would follow the session time zone.
+    naive = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
 def _k():
@@ -91,6 +94,12 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attempts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered_events(spark, sf_dir).withColumn(
+        "value_cents", F.rint(F.col("value") * 100).cast("long")
+    )
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return _numbered_events(spark, sf_dir).select(

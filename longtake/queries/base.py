@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Round every double far below any tie, so both engines print the same digits."""
+    return df.select(
+        *[
+            F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 EVENTS = """ev AS (
   SELECT user_id, event_id, ts, event_type, value, CAST(props->>'k' AS INTEGER) AS k,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx
@@ -90,3 +104,20 @@ OBSERVATIONS = (
 observations AS (
   SELECT user_id AS path, frame_idx + 1 AS scan, CAST(k // 25 AS BIGINT) AS size, event_type FROM ev)"""
 )
+
+
+class Book:
+    """The queries of one module and their SQL twins, filled by a decorator."""
+
+    def __init__(self) -> None:
+        self.queries: dict = {}
+        self.oracles: dict[str, str] = {}
+
+    def add(self, sql: str | None = None):
+        def register(query):
+            self.queries[query.__name__] = query
+            if sql is not None:
+                self.oracles[query.__name__] = sql
+            return query
+
+        return register

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("segmentation",)
+MODULES = ("segmentation", "metrics", "identity")
 
 
 def _gather(attribute: str) -> dict:
