@@ -100,7 +100,7 @@ def duration_text(seconds: Column) -> Column:
     """``48 ms``, ``59.9 s``, ``1 min 01 s``, ``1 h 05 min 03 s``; ``n/a`` when unknown."""
     s = F.greatest(F.lit(0.0), seconds)
     whole = F.rint(s).cast("long")
-    tenths = _one_decimal(s)
+    tenths = one_decimal(s)
     h, m, r = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
     long_form = F.when(h > 0, F.format_string("%d h %02d min %02d s", h, m, r)).otherwise(
         F.format_string("%d min %02d s", m, r)
@@ -108,20 +108,42 @@ def duration_text(seconds: Column) -> Column:
     return (
         F.when(finite(seconds).isNull(), "n/a")
         .when(s < 0.1, F.concat(F.rint(s * 1000).cast("long").cast("string"), F.lit(" ms")))
-        .when((tenths.cast("double") < 59.95) & (s < 60), F.concat(tenths, F.lit(" s")))
+        .when((_tenths(s) <= 599) & (s < 60), F.concat(tenths, F.lit(" s")))
         .otherwise(long_form)
     )
 
 
-def _one_decimal(seconds: Column) -> Column:
-    """One decimal of the exact binary value, ties to even."""
-    return F.bround(seconds.cast("decimal(38,18)"), 1).cast("string")
+def _tenths(x: Column) -> Column:
+    """Nearest whole number of tenths to the exact binary value, ties to even.
+
+    ``x * 20`` is the sum of two exact products; its rounding error is recovered, so the
+    comparison with the tie is exact too.
+    """
+    n = F.rint(x * 10)
+    a, b = x * 16, x * 4
+    s = a + b
+    back = s - a
+    error = (a - (s - back)) + (b - back)
+    off = (s - n * 2) + error
+    odd = F.abs(n % 2) == 1
+    return (
+        F.when((off > 1) | ((off == 1) & odd), n + 1)
+        .when((off < -1) | ((off == -1) & odd), n - 1)
+        .otherwise(n)
+        .cast("long")
+    )
+
+
+def one_decimal(x: Column) -> Column:
+    """A number that is not negative, with one decimal."""
+    n = _tenths(x)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
 
 
 def timing_text(seconds: Column) -> Column:
     """Human time followed by the exact seconds where they differ."""
     human = duration_text(seconds)
-    exact = F.concat(_one_decimal(F.greatest(F.lit(0.0), seconds)), F.lit(" s"))
+    exact = F.concat(one_decimal(F.greatest(F.lit(0.0), seconds)), F.lit(" s"))
     return F.when(
         (human == "n/a") | human.endswith(" ms") | (human == exact), human
     ).otherwise(F.concat(human, F.lit(" ("), exact, F.lit(")")))

@@ -2,7 +2,8 @@
 
 A mergeable sketch brackets each wanted rank; then one counting pass keeps only the values
 inside the bracket apart and folds everything below and above it into single counts. The rows
-that are still ordered are a small share of the key (about ``4 / SKETCH`` of it).
+that are still ordered are a small share of the key (about ``8 / SKETCH`` of it). Keys of
+up to ``SMALL`` rows are ordered whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from .ordered import running
 
 SKETCH = 10_000
-SLACK = 2.0 / SKETCH
+SLACK = 4.0 / SKETCH
+SMALL = SKETCH
 SLICES = 1024
 
 
@@ -58,13 +60,18 @@ def exact_percentiles(
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
     )
+    small = F.col("__n") <= SMALL
     brackets = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
-                # At the ends the bracket is opened to the smallest and largest value.
-                (F.col("__min") if edges[2 * i] <= 0.0 else F.col("__e")[2 * i]).alias("lo"),
-                (F.col("__max") if edges[2 * i + 1] >= 1.0 else F.col("__e")[2 * i + 1]).alias("hi"),
+                # Small keys and the outermost ranks use the whole range.
+                F.when(small | F.lit(edges[2 * i] <= 0.0), F.col("__min"))
+                .otherwise(F.col("__e")[2 * i])
+                .alias("lo"),
+                F.when(small | F.lit(edges[2 * i + 1] >= 1.0), F.col("__max"))
+                .otherwise(F.col("__e")[2 * i + 1])
+                .alias("hi"),
             )
             for i, name in enumerate(names)
         ]
