@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INF = float("inf")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Bind a value that ``then`` uses more than once, so it is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def finite(value: Column) -> Column:
     """The number, or null when it is not finite."""
     return F.when(~F.isnan(value) & (F.abs(value) < INF), value)
@@ -142,11 +149,14 @@ def one_decimal(x: Column) -> Column:
 
 def timing_text(seconds: Column) -> Column:
     """Human time followed by the exact seconds where they differ."""
-    human = duration_text(seconds)
     exact = F.concat(one_decimal(F.greatest(F.lit(0.0), seconds)), F.lit(" s"))
-    return F.when(
-        (human == "n/a") | human.endswith(" ms") | (human == exact), human
-    ).otherwise(F.concat(human, F.lit(" ("), exact, F.lit(")")))
+
+    def both(human: Column) -> Column:
+        return F.when(
+            human.contains("min"), F.concat(human, F.lit(" ("), exact, F.lit(")"))
+        ).otherwise(human)
+
+    return let(duration_text(seconds), both)
 
 
 def folded_words(text: Column) -> Column:

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
-from ..functions.columns import folded_words
+from ..functions.columns import folded_words, let
 from ..functions.languages import alias_table
 
 MIN_JUDGED_CHARS = 40
@@ -79,7 +80,7 @@ def normalise_responses(df: DataFrame, forced: Column | None = None) -> DataFram
     )
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def compression_ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Raw to compressed bytes; null below the judged length. There is no JVM function for it."""
     for texts in batches:
@@ -101,25 +102,21 @@ def repetition_gate(df: DataFrame, threshold: float = 2.4) -> DataFrame:
     )
 
 
-def _let(value: Column, then) -> Column:
-    """Bind an expensive value once; inside a lambda it would be computed per element."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def word_runs(text: Column, n: int, hashed: bool = False) -> Column:
     """Distinct runs of ``n`` consecutive folded words (or their hashes); null for shorter texts."""
 
     def runs(words: Column) -> Column:
         def run(i: Column) -> Column:
-            joined = F.array_join(F.slice(words, i, n), " ")
-            return F.xxhash64(joined) if hashed else joined
+            # The hash takes the words as they are, without building the joined text.
+            own = [F.get(words, i + k) for k in range(n)]
+            return F.xxhash64(*own) if hashed else F.concat_ws(" ", *own)
 
         return F.when(
             F.size(words) >= n,
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), run)),
+            F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - n), run)),
         )
 
-    return _let(folded_words(text), runs)
+    return let(folded_words(text), runs)
 
 
 def find_echoes(texts: DataFrame, prompts: DataFrame, key: str, n: int = ECHO_WORDS) -> DataFrame:
@@ -130,7 +127,7 @@ def find_echoes(texts: DataFrame, prompts: DataFrame, key: str, n: int = ECHO_WO
     word, so the answer is exact.
     """
     wanted = prompts.select(F.explode(word_runs(F.col("text"), n)).alias("run")).distinct()
-    hashes = wanted.select(F.xxhash64("run").alias("h")).distinct()
+    hashes = prompts.select(F.explode(word_runs(F.col("text"), n, hashed=True)).alias("h")).distinct()
     candidates = (
         texts.select(key, F.explode(word_runs(F.col("text"), n, hashed=True)).alias("h"))
         .join(hashes, "h", "left_semi")

@@ -229,7 +229,8 @@ def run_report(versions: DataFrame) -> DataFrame:
     split = None
     for step in STEPS:
         split = stage(step).isNotNull() if split is None else split | stage(step).isNotNull()
-    row = lambda label, text: F.concat(F.lit(f"| {label} | "), text, F.lit(" |"))
+    plain = lambda text: F.struct(text.alias("text"), F.lit(False).alias("timed"), F.lit(None).cast("double").alias("seconds"))
+    timed = lambda head, seconds: F.struct(F.lit(head).alias("text"), F.lit(True).alias("timed"), seconds.cast("double").alias("seconds"))
     percent = F.when(
         F.col("completion_percent").isNotNull(),
         F.concat(F.regexp_replace(F.col("completion_percent").cast("string"), r"\.0$", ""), F.lit("%")),
@@ -250,38 +251,50 @@ def run_report(versions: DataFrame) -> DataFrame:
         F.lit(""),
         F.lit("| Stage | Time |"),
         F.lit("| --- | --- |"),
-        row("All runs together", timing_text(F.col("total_wall"))),
     ]
+    lines = [plain(line) for line in lines]
+    lines.append(timed("| All runs together |", F.col("total_wall")))
     for key, label in TIMING_ROWS:
         value = stage(key)
-        line = F.when(value.isNotNull(), row(label, timing_text(value)))
+        head = f"| {label} |"
+        line = F.when(value.isNotNull(), timed(head, value))
         if key in ("preparation", "inference"):
-            line = row(label, timing_text(value))
+            line = timed(head, value)
         elif key in STEPS:
             line = line.when(
                 ~split & stage("preparation").isNotNull(),
-                F.lit(f"| {label} | only known as part of the total |"),
+                plain(F.lit(f"| {label} | only known as part of the total |")),
             )
         lines.append(line)
     count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
+    speed = F.coalesce(
+        speed_text(F.col("real_time_factor")),
+        F.when(stage("inference").isNotNull(), "- Real-time factor n/a"),
+    )
+    counts = F.concat(
+        F.lit("- Chunks planned "), count("total_chunks"), F.lit(", ok "), count("chunks_ok"),
+        F.lit(", silent "), count("chunks_no_speech"), F.lit(", failed "), count("chunks_failed"),
+    )
     lines += [
-        F.lit(""),
-        F.concat(F.lit("- Audio analysed: "), timing_text(F.col("analysed_seconds"))),
-        F.coalesce(
-            speed_text(F.col("real_time_factor")),
-            F.when(stage("inference").isNotNull(), "- Real-time factor n/a"),
-        ),
-        F.lit(""),
-        F.lit("## Counts"),
-        F.lit(""),
-        F.concat(
-            F.lit("- Chunks planned "), count("total_chunks"), F.lit(", ok "), count("chunks_ok"),
-            F.lit(", silent "), count("chunks_no_speech"), F.lit(", failed "), count("chunks_failed"),
-        ),
-        F.when(F.length("error") > 0, F.concat(F.lit("- Error: "), "error")),
+        plain(F.lit("")),
+        timed("- Audio analysed:", F.col("analysed_seconds")),
+        F.when(speed.isNotNull(), plain(speed)),
+        plain(F.lit("")),
+        plain(F.lit("## Counts")),
+        plain(F.lit("")),
+        plain(counts),
+        F.when(F.length("error") > 0, plain(F.concat(F.lit("- Error: "), "error"))),
     ]
-    return versions.select(
-        "job_id", F.posexplode(F.array_compact(F.array(*lines))).alias("line_no", "line")
+    # One row per line first; the time format is then built once per line, not once per column.
+    rows = versions.select(
+        "job_id", F.posexplode(F.array_compact(F.array(*lines))).alias("line_no", "l")
+    )
+    in_table = F.col("l.text").startswith("|")
+    timing = F.concat(
+        F.col("l.text"), F.lit(" "), timing_text(F.col("l.seconds")), F.when(in_table, " |").otherwise("")
+    )
+    return rows.select(
+        "job_id", "line_no", F.when(F.col("l.timed"), timing).otherwise(F.col("l.text")).alias("line")
     )
 
 

@@ -326,3 +326,41 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         size.alias("mtime"),
         "event_type",
     )
+
+
+def run_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``run_events`` with their payload as JSON, as an event log carries it."""
+    k = F.col("k")
+    data = F.to_json(
+        F.struct(
+            F.lit("transcribe").alias("command"),
+            F.concat(F.lit("model-"), k.cast("string")).alias("model"),
+            F.element_at(F.array(*[F.lit(x) for x in ("probe", "preparation", "inference", "export")]), k % 4 + 1).alias("stage"),
+            F.col("value").alias("seconds"),
+            F.when(k % 3 == 0, "failed").otherwise("completed").alias("status"),
+            F.when(k % 2 == 0, "info").otherwise("error").alias("level"),
+            F.col("event_type").alias("message"),
+            F.element_at(F.array(*[F.lit(x) for x in ("ok", "no_speech", "failed")]), k % 3 + 1).alias("outcome"),
+            (k % 10).alias("index"),
+            (k % 7 + 6).alias("planned"),
+            (k % 2).alias("exit_status"),
+            F.col("value").alias("cpu_percent"),
+        )
+    )
+    return run_events(spark, sf_dir).select(
+        "schema_version", "seq", "ts", "elapsed_s", "run_id", F.col("job_id").cast("string").alias("job_id"), "type", data.alias("data")
+    )
+
+
+def run_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a written table; its files serve as the input of streams."""
+    return _written(spark, sf_dir, "event_log", lambda: run_event_log(spark, sf_dir))
+
+
+def stream_of(table: DataFrame, files_per_trigger: int = 2) -> DataFrame:
+    """A stream over the files of a written table."""
+    spark = table.sparkSession
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    return (
+        spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("segmentation", "metrics", "identity", "signal", "catalog")
+MODULES = ("segmentation", "metrics", "identity", "signal", "catalog", "streaming")
 
 
 def _gather(attribute: str) -> dict:

@@ -44,13 +44,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def write_table(df: DataFrame) -> str:
+    """Write ``df`` to a new folder in the shared folder; returns its path."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the written table.
+    """Write ``df`` once and go on from the written table.
 
     Used where a result feeds several branches: it cuts the lineage, survives the loss of
     executors, and its file sizes let Spark decide what is small enough to broadcast.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df))
