@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("segmentation", "metrics", "identity", "signal", "catalog", "streaming")
+MODULES = ("segmentation", "metrics", "identity", "signal", "catalog", "streaming", "recovery")
 
 
 def _gather(attribute: str) -> dict:
