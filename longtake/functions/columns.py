@@ -131,14 +131,11 @@ def _tenths(x: Column) -> Column:
     s = a + b
     back = s - a
     error = (a - (s - back)) + (b - back)
-    off = (s - n * 2) + error
+    off = s - n * 2
     odd = F.abs(n % 2) == 1
-    return (
-        F.when((off > 1) | ((off == 1) & odd), n + 1)
-        .when((off < -1) | ((off == -1) & odd), n - 1)
-        .otherwise(n)
-        .cast("long")
-    )
+    above = (off > 1) | ((off == 1) & ((error > 0) | ((error == 0) & odd)))
+    below = (off < -1) | ((off == -1) & ((error < 0) | ((error == 0) & odd)))
+    return F.when(above, n + 1).when(below, n - 1).otherwise(n).cast("long")
 
 
 def one_decimal(x: Column) -> Column:

@@ -282,9 +282,8 @@ def split_runs(
     relative = F.col("frame_idx") - F.col("run_start")
     own = F.floor(relative / size).cast("long")
     reach = F.col("max_frames") + F.col("end_frames") + 1
-    touched = F.when(
-        (own > 0) & (relative - own * size < reach), F.array(own - 1, own)
-    ).otherwise(F.array(own))
+    first = F.greatest(F.lit(0).cast("long"), F.floor((relative - reach) / size).cast("long"))
+    touched = F.sequence(first, own)
     placed = inside.withColumn("own", own).withColumn("block", F.explode(touched)).withColumn(
         "halo", F.col("own") != F.col("block")
     )
@@ -417,9 +416,8 @@ def merge_spans(
     own = F.floor(offset / block_seconds).cast("long")
     # Far enough to see the first span that no longer fits the last chunk of a block.
     halo = 2 * max_chunk + max(0.0, max_gap)
-    touched = F.when(
-        (own > 0) & (offset - own * block_seconds <= halo), F.array(own - 1, own)
-    ).otherwise(F.array(own))
+    first = F.greatest(F.lit(0).cast("long"), F.floor((offset - halo) / block_seconds).cast("long"))
+    touched = F.sequence(first, own)
     placed = (
         members.withColumn("own", own)
         .withColumn("block", F.explode(touched))
