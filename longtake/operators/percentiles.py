@@ -19,6 +19,7 @@ SKETCH = 10_000
 SLACK = 4.0 / SKETCH
 SMALL = SKETCH
 SLICES = 1024
+SALTS = 32
 
 
 def _ranks(name: str, fraction: float, kind: str, n: Column) -> list[Column]:
@@ -77,7 +78,12 @@ def exact_percentiles(
         ]
     )
     bounds = sketch.select(*keys, "__n", brackets.alias("__b"))
-    tagged = rows.join(bounds.drop("__n"), list(keys)).select(
+    # The few bounds are repeated per salt, so the rows of one key meet them in many tasks.
+    repeated = bounds.drop("__n").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    )
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS).cast("long")))
+    tagged = salted.join(repeated, [*keys, "__salt"]).select(
         *keys, "__v", F.explode("__b").alias("b")
     )
     v, lo, hi = F.col("__v"), F.col("b.lo"), F.col("b.hi")

@@ -176,7 +176,8 @@ def publish(rendered: DataFrame, formats: str | Sequence[str]) -> DataFrame:
 
 def write_transcripts(rendered: DataFrame, formats: str | Sequence[str], path: str) -> None:
     """One folder per job and format; the parts keep their order in ``part_no``."""
-    publish(rendered, formats).write.mode("overwrite").partitionBy("job_id", "format").parquet(path)
+    chosen = publish(rendered, formats).hint("rebalance", "job_id", "format")
+    chosen.write.mode("overwrite").partitionBy("job_id", "format").parquet(path)
 
 
 def transcript_order(segments: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,49 +187,49 @@ def _next_cuts(
     return piece_end + first, np.where(nxt == END, END, nxt + first)
 
 
-def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("frame_idx", ignore_index=True)
-    head = pdf.iloc[0]
-    own = pdf[~pdf["halo"]]
-    first, count = int(own["frame_idx"].iloc[0]), len(own)
+def _cut_block(table: pa.Table) -> tuple[pa.Scalar, int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Recording, run, and for every own frame of the block: position, next start, piece end."""
+    idx = table["frame_idx"].to_numpy()
+    order = np.argsort(idx)
+    idx, prob = idx[order], table["prob"].to_numpy()[order]
+    one = {c: table[c][0].as_py() for c in ("run_start", "run_end", "offset", "max_frames", "cut_frames")}
+    count = len(idx) - sum(table["halo"].to_pylist()) if "halo" in table.column_names else len(idx)
     piece_end, nxt = _next_cuts(
-        pdf["prob"].to_numpy(),
-        first,
-        count,
-        int(head["run_end"]),
-        float(head["offset"]),
-        int(head["max_frames"]),
-        int(head["cut_frames"]),
+        prob, int(idx[0]), count, one["run_end"], one["offset"], one["max_frames"], one["cut_frames"]
     )
-    origin = int(head["run_start"])
+    origin = one["run_start"]
     # A next start at the very end of the run leaves nothing to send.
-    nxt = np.where(nxt >= int(head["run_end"]), END, nxt)
-    return pd.DataFrame(
+    nxt = np.where((nxt == END) | (nxt >= one["run_end"]), END, nxt - origin)
+    return table["rec_id"][0], origin, one["run_end"], idx[:count] - origin, nxt, piece_end
+
+
+def _links(table: pa.Table) -> pa.Table:
+    rec, origin, end, pos, nxt, piece_end = _cut_block(table)
+    n = len(pos)
+    return pa.table(
         {
-            "rec_id": head["rec_id"],
-            "run_start": origin,
-            "run_end": int(head["run_end"]),
-            "pos": own["frame_idx"].to_numpy() - origin,
-            "nxt": np.where(nxt == END, END, nxt - origin),
-            "piece_end": piece_end,
+            "rec_id": pa.repeat(rec, n),
+            "run_start": pa.repeat(pa.scalar(origin), n),
+            "run_end": pa.repeat(pa.scalar(end), n),
+            "pos": pos,
+            "nxt": nxt.astype(np.int64),
+            "piece_end": piece_end.astype(np.int64),
         }
     )
 
 
-def _pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pieces(table: pa.Table) -> pa.Table:
     """A run that fits one block: its links, walked at once."""
-    links = _links(pdf.assign(halo=False))
-    nxt, piece_end = links["nxt"].to_numpy(), links["piece_end"].to_numpy()
-    origin = int(links["run_start"].iloc[0])
+    rec, origin, _, _, nxt, piece_end = _cut_block(table)
     starts, here = [], 0
     while here != END:
         starts.append(here)
         here = int(nxt[here])
-    return pd.DataFrame(
+    return pa.table(
         {
-            "rec_id": links["rec_id"].iloc[0],
+            "rec_id": pa.repeat(rec, len(starts)),
             "start_frame": np.array(starts) + origin,
-            "end_frame": piece_end[starts],
+            "end_frame": piece_end[starts].astype(np.int64),
         }
     )
 
@@ -275,7 +276,7 @@ def split_runs(
     )
     key = frames.schema["rec_id"].dataType.simpleString()
     if longest <= size:
-        pieces = inside.groupBy(*RUN).applyInPandas(
+        pieces = inside.groupBy(*RUN).applyInArrow(
             _pieces, f"rec_id {key}, start_frame long, end_frame long"
         )
         return whole.unionByName(pieces).where(F.col("end_frame") > F.col("start_frame"))
@@ -287,7 +288,7 @@ def split_runs(
     placed = inside.withColumn("own", own).withColumn("block", F.explode(touched)).withColumn(
         "halo", F.col("own") != F.col("block")
     )
-    links = stage(placed.groupBy(*RUN, "block").applyInPandas(_links, _LINK.format(key=key)))
+    links = stage(placed.groupBy(*RUN, "block").applyInArrow(_links, _LINK.format(key=key)))
     taken = follow(links, RUN, longest, levels)
     pieces = links.join(taken.select(*RUN, "pos"), [*RUN, "pos"], "left_semi").select(
         "rec_id",
@@ -348,6 +349,7 @@ def pad_spans(spans: DataFrame, s: SegmentationSettings) -> DataFrame:
 # --- merging --------------------------------------------------------------------------------
 
 ISLAND = ["rec_id", "island"]
+FOLD_SPANS = 256
 
 
 def _merge_links(max_chunk: float):
@@ -379,13 +381,34 @@ def _merge_links(max_chunk: float):
     return links
 
 
+def _fold(members: DataFrame, max_chunk: float) -> DataFrame:
+    """Greedy merge of groups of at most ``FOLD_SPANS`` spans, as a fold inside the JVM."""
+    span = F.struct("start", "end")
+    start = F.slice(F.col("spans"), 1, 0)
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), x["end"].alias("end"))
+        return F.when(
+            x["end"] - last["start"] <= max_chunk,
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)),
+        ).otherwise(F.concat(acc, F.array(x)))
+
+    listed = members.groupBy(*ISLAND).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    merged = listed.select("rec_id", F.explode(F.aggregate("spans", start, step)).alias("m"))
+    return merged.select(
+        "rec_id", "m.start", F.least(F.col("m.end"), F.col("m.start") + max_chunk).alias("end")
+    )
+
+
 def merge_spans(
     spans: DataFrame, s: SegmentationSettings, *, levels: tuple[int, ...] = LEVELS
 ) -> DataFrame:
     """Join spans left to right while the gap is small and the result still fits a chunk.
 
     Spans are first grouped at gaps that always separate them. A group that fits one chunk is
-    one aggregate; only longer groups need the greedy walk, again in bounded blocks.
+    one aggregate, a longer one of few spans is folded in place, and only groups of many spans
+    need the walk over blocks.
     """
     max_chunk, max_gap = s.max_chunk_seconds, s.max_merge_gap_seconds
     cells = F.floor(F.col("start_frame") / s.block_frames).cast("long")
@@ -402,14 +425,21 @@ def merge_spans(
         cells,
         {"island": ("max", F.when(F.col("opens"), F.col("start_frame")))},
     ).select("rec_id", "island", "start_frame", "start", "end"))
-    extent = grouped.groupBy(*ISLAND).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    extent = stage(
+        grouped.groupBy(*ISLAND).agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("spans")
+        )
+    )
     fits = F.col("end") - F.col("start") <= max_chunk
     whole = extent.where(fits).select("rec_id", "start", "end")
-    wide = extent.where(~fits).select(*ISLAND, F.col("start").alias("island_start"))
+    short = F.col("spans") <= FOLD_SPANS
+    whole = whole.unionByName(_fold(grouped.join(extent.where(~fits & short).select(*ISLAND), ISLAND), max_chunk))
+    whole = whole.where(F.col("end") > F.col("start"))
+    if extent.where(~fits & ~short).isEmpty():
+        return whole
+    wide = extent.where(~fits & ~short).select(*ISLAND, F.col("start").alias("island_start"))
     members = stage(numbered(grouped.join(wide, ISLAND), ISLAND, ["start_frame"], cells, "pos"))
     longest = members.agg(F.max("pos")).first()[0]
-    if longest is None:
-        return whole.where(F.col("end") > F.col("start"))
     key = spans.schema["rec_id"].dataType.simpleString()
     block_seconds = 4096 * max_chunk
     offset = F.col("start") - F.col("island_start")
@@ -434,7 +464,7 @@ def merge_spans(
     walked = links.join(taken.select(*ISLAND, "pos"), [*ISLAND, "pos"], "left_semi").select(
         "rec_id", "start", "end"
     )
-    return whole.unionByName(walked).where(F.col("end") > F.col("start"))
+    return whole.unionByName(walked.where(F.col("end") > F.col("start")))
 
 
 def plan_spans(frames: DataFrame, recordings: DataFrame, s: SegmentationSettings) -> DataFrame:

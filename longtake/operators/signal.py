@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import SegmentationSettings
-from .percentiles import exact_percentiles
+from .percentiles import SALTS, exact_percentiles
 
 FULL_SCALE = 32768.0
 # Fixed values of the level analysis.
@@ -81,9 +81,13 @@ def binned_peak(df: DataFrame, value: Column, bins: int, *, at_most_rows: bool =
     wide = F.lit(bins).cast("long")
     counts = counts.withColumn("__b", F.least(wide, F.col("__n")) if at_most_rows else wide)
     place = F.floor(((F.col("pos") + 1) * F.col("__b") - 1) / F.col("__n")).cast("long")
+    # Counts are repeated per salt, so a long recording is not joined in one task.
+    repeated = counts.withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    )
     peaks = (
-        df.select("rec_id", "pos", value.alias("__v"))
-        .join(counts, "rec_id")
+        df.select("rec_id", "pos", value.alias("__v"), F.pmod("pos", F.lit(SALTS).cast("long")).alias("__salt"))
+        .join(repeated, ["rec_id", "__salt"])
         .groupBy("rec_id", place.alias("bin"))
         .agg(F.max("__v").alias("peak"))
     )

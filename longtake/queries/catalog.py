@@ -118,14 +118,12 @@ best AS (SELECT rtf FROM versions v JOIN act USING (source) WHERE status = 'comp
     + ACTIVE
     + ", q AS (SELECT event_id, value * 60 AS duration, value * 60 * coalesce((SELECT rtf FROM best), 0.04::DOUBLE) AS e FROM events)"
     + """, r AS (SELECT *, CAST(round_even(e, 0) AS BIGINT) AS w FROM q)
-SELECT event_id, round(e, 6) AS estimate_seconds, CASE WHEN e < 0.1 THEN CAST(round_even(e * 1000, 0) AS BIGINT) || ' ms' WHEN e < 59.95 THEN format('{:.1f} s', e)
+SELECT event_id, e AS estimate_seconds, CASE WHEN e < 0.1 THEN CAST(round_even(e * 1000, 0) AS BIGINT) || ' ms' WHEN e < 59.95 THEN format('{:.1f} s', e)
   WHEN w >= 3600 THEN format('{:d} h {:02d} min {:02d} s', w // 3600, w % 3600 // 60, w % 60) ELSE format('{:d} min {:02d} s', w // 60, w % 60) END AS estimate FROM r"""
 )
 def agg_11_estimate_queue(spark, sf):
     queue = views.table(spark, sf, "events").select("event_id", (F.col("value") * 60).alias("duration"))
-    return rounded(
-        catalog.estimate_queue(queue, views.versions(spark, sf)).select("event_id", "estimate_seconds", "estimate"), 6
-    )
+    return catalog.estimate_queue(queue, views.versions(spark, sf)).select("event_id", "estimate_seconds", "estimate")
 
 
 @BOOK.add(

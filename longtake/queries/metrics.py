@@ -239,13 +239,13 @@ f AS (
   FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING))
 SELECT job_id, seq, (ok0 + job_id % 3)::BIGINT AS ok, ns::BIGINT AS no_speech, fl::BIGINT AS failed,
   (ok0 + job_id % 3 + ns + fl)::BIGINT AS done_chunks, total_chunks::BIGINT AS total_chunks,
-  round(100.0::DOUBLE * (ok0 + job_id % 3 + ns + fl) / total_chunks, 9) AS percent,
+  100.0::DOUBLE * (ok0 + job_id % 3 + ns + fl) / total_chunks AS percent,
   (audio + 10 * (job_id % 3))::DOUBLE AS audio_done_s, el AS elapsed_s,
   CASE WHEN el > 0 AND audio > 0 THEN CASE WHEN audio_total - (audio + 10 * (job_id % 3)) <= 0 THEN 0.0::DOUBLE
-    ELSE round((audio_total - (audio + 10 * (job_id % 3))) / (audio / el::DOUBLE), 9) END END AS eta_s,
-  CASE WHEN el > 0 AND audio > 0 THEN round(1.0::DOUBLE / (audio / el), 9) END AS real_time_factor,
-  CASE WHEN el > 0 AND audio > 0 THEN round(audio / el, 9) END AS throughput_x,
-  audio::DOUBLE AS tokens, CASE WHEN cw > 0 THEN round(cs::DOUBLE / cw, 9) END AS confidence_mean
+    ELSE (audio_total - (audio + 10 * (job_id % 3))) / (audio / el::DOUBLE) END END AS eta_s,
+  CASE WHEN el > 0 AND audio > 0 THEN 1.0::DOUBLE / (audio / el) END AS real_time_factor,
+  CASE WHEN el > 0 AND audio > 0 THEN audio / el END AS throughput_x,
+  audio::DOUBLE AS tokens, CASE WHEN cw > 0 THEN cs::DOUBLE / cw END AS confidence_mean
 FROM f JOIN t USING (job_id)"""
 )
 def win_11_progress_series(spark, sf):
@@ -266,7 +266,7 @@ def win_11_progress_series(spark, sf):
         (F.lit(10) * (F.col("job_id") % 3)).alias("seed_audio"),
     )
     series = metrics.progress_series(_finished(spark, sf), totals, seeds)
-    return rounded(series)
+    return series
 
 
 @BOOK.add(

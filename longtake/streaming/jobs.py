@@ -73,7 +73,8 @@ def write_job_events(stream: DataFrame, path: str, **options) -> StreamingQuery:
     """Append each event to the folder of its job, across runs."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+        # Few files per job, however many tasks the batch had; a busy job is still split.
+        batch.withColumn("batch", F.lit(batch_id)).hint("rebalance", "job_id").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("job_id", "batch").parquet(path)
 
