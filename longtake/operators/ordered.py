@@ -2,10 +2,14 @@
 
 A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here every key is cut into
 blocks along its order: a window runs inside each (key, block), one summary row per block is
-combined across the blocks of a key, and the summary is joined back on (key, block). The large
-side is shuffled once, on (key, block); only the summaries are ever ordered per key.
+combined across the blocks of a key, and the summary is joined back. The large side is shuffled
+once, on its cell; only the summaries are ever ordered per key.
+
+A cell is one struct of key and block, not two columns: rows that already lie together by key
+alone would satisfy a window over both columns, and a hot key would stay in one task.
 
 ``block`` must grow with the order: rows of a later block come after all rows of an earlier one.
+A column made by ``cell`` may be given instead, where a join before has used it.
 """
 
 from __future__ import annotations
@@ -15,11 +19,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = "__block"
+CELL = "__cell"
 
 Spec = tuple[str, Column]
 
 
+def cell(keys: Sequence[str], block: Column) -> Column:
+    return F.struct(*[F.col(k).alias(k) for k in keys], block.alias("block"))
+
+
+def _with_cell(df: DataFrame, keys: Sequence[str], block: Column | str) -> DataFrame:
+    if isinstance(block, str):
+        return df.withColumn(CELL, F.col(block))
+    return df.withColumn(CELL, cell(keys, block))
+
+
+def _keys_of_cell(keys: Sequence[str]) -> list[Column]:
+    return [F.col(CELL).getField(k).alias(k) for k in keys]
+
+
 def _fold(kind: str, value: Column) -> Column:
     if kind == "last":
         return F.last(value, ignorenulls=True)
@@ -44,15 +62,15 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | str,
     aggregates: Mapping[str, Spec],
     *,
     exclusive: bool = False,
 ) -> DataFrame:
     """Add running aggregates (``sum``, ``max``, ``min``, ``last`` non-null) up to each row."""
-    tagged = df.withColumn(BLOCK, block)
+    tagged = _with_cell(df, keys, block)
     inside = (
-        Window.partitionBy(*keys, BLOCK)
+        Window.partitionBy(CELL)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
@@ -61,22 +79,25 @@ def running(
         *[_fold(kind, value).over(inside).alias(f"__l_{n}") for n, (kind, value) in aggregates.items()],
     )
     position = F.struct(*order)
-    totals = tagged.groupBy(*keys, BLOCK).agg(
-        *[
-            _block_total(kind, value, position).alias(f"__t_{n}")
-            for n, (kind, value) in aggregates.items()
-        ]
+    totals = (
+        tagged.groupBy(CELL)
+        .agg(
+            *[
+                _block_total(kind, value, position).alias(f"__t_{n}")
+                for n, (kind, value) in aggregates.items()
+            ]
+        )
+        .select("*", *_keys_of_cell(keys))
     )
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys,
-        BLOCK,
+        CELL,
         *[
             _fold(kind, F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}")
             for n, (kind, _) in aggregates.items()
         ],
     )
-    return local.join(carry, [*keys, BLOCK], "left").select(
+    return local.join(carry, CELL, "left").select(
         *df.columns,
         *[
             _combine(kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n)
@@ -89,16 +110,16 @@ def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | str,
     *,
     before: Mapping[str, Column] | None = None,
     after: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add values of the previous (``before``) and next (``after``) row of the same key."""
     before, after = before or {}, after or {}
-    tagged = df.withColumn(BLOCK, block)
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    tagged = _with_cell(df, keys, block)
+    inside = Window.partitionBy(CELL).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(CELL)
     position = F.struct(*order)
     local, edges, carried = [], [], []
     for tag, fields, shift, pick in (
@@ -112,20 +133,21 @@ def neighbours(
         edges.append(pick(packed, position).alias(f"__e{tag}"))
         carried.append(shift(f"__e{tag}").over(across).alias(f"__c{tag}"))
     near = tagged.select("*", *local)
-    carry = tagged.groupBy(*keys, BLOCK).agg(*edges).select(*keys, BLOCK, *carried)
+    summed = tagged.groupBy(CELL).agg(*edges).select("*", *_keys_of_cell(keys))
+    carry = summed.select(CELL, *carried)
     out = []
     for tag, fields in (("b", before), ("a", after)):
         out.extend(
             F.coalesce(F.col(f"__l{tag}"), F.col(f"__c{tag}")).getField(n).alias(n) for n in fields
         )
-    return near.join(carry, [*keys, BLOCK], "left").select(*df.columns, *out)
+    return near.join(carry, CELL, "left").select(*df.columns, *out)
 
 
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | str,
     name: str,
     *,
     first: int = 0,

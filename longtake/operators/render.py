@@ -175,9 +175,14 @@ def publish(rendered: DataFrame, formats: str | Sequence[str]) -> DataFrame:
 
 
 def write_transcripts(rendered: DataFrame, formats: str | Sequence[str], path: str) -> None:
-    """One folder per job and format; the parts keep their order in ``part_no``."""
-    chosen = publish(rendered, formats).hint("rebalance", "job_id", "format")
-    chosen.write.mode("overwrite").partitionBy("job_id", "format").parquet(path)
+    """One folder per format, clustered and sorted by job and part.
+
+    A file of one job is the range of its rows; a filter on ``job_id`` skips all others, and
+    many small jobs share files.
+    """
+    by = ("job_id", "part_no")
+    chosen = publish(rendered, formats).repartitionByRange(*by).sortWithinPartitions("format", *by)
+    chosen.write.mode("overwrite").partitionBy("format").parquet(path)
 
 
 def transcript_order(segments: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ..settings import (
     SegmentationSettings,
 )
 from .chains import END, LEVELS, follow
-from .ordered import neighbours, numbered, running
+from .ordered import cell, neighbours, numbered, running
 
 RUN = ["rec_id", "run_start", "run_end"]
 
@@ -57,7 +57,7 @@ def frame_limits(recordings: DataFrame, s: SegmentationSettings) -> DataFrame:
 
 
 def _scored(frames: DataFrame, limits: DataFrame, block_frames: int, columns: list[str]) -> DataFrame:
-    """Frames with their recording's limits, joined on (recording, block).
+    """Frames with their recording's limits, joined on the cell (recording, block).
 
     Repeating the small side per block keeps one long recording from landing in one join task,
     and leaves the frames partitioned the way the windows after it need them.
@@ -68,9 +68,12 @@ def _scored(frames: DataFrame, limits: DataFrame, block_frames: int, columns: li
         "frame_limit",
         *columns,
         F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"),
+    ).withColumn("cell", cell(["rec_id"], F.col("block")))
+    block = F.floor(F.col("frame_idx") / block_frames).cast("long")
+    placed = frames.withColumn("cell", cell(["rec_id"], block))
+    return placed.join(per_block.drop("rec_id", "block"), "cell").where(
+        F.col("frame_idx") < F.col("frame_limit")
     )
-    placed = frames.withColumn("block", F.floor(F.col("frame_idx") / block_frames).cast("long"))
-    return placed.join(per_block, ["rec_id", "block"]).where(F.col("frame_idx") < F.col("frame_limit"))
 
 
 def speech_runs(
@@ -86,7 +89,7 @@ def speech_runs(
     scored = _scored(frames, limits, s.block_frames, ["onset", "offset", "end_frames"]).select(
         "rec_id",
         "frame_idx",
-        "block",
+        "cell",
         "end_frames",
         (F.col("prob") < F.col("offset")).alias("low"),
         (F.col("prob") >= F.col("onset")).alias("high"),
@@ -96,7 +99,7 @@ def speech_runs(
         scored,
         ["rec_id"],
         ["frame_idx"],
-        F.col("block"),
+        "cell",
         {
             "last_low": ("max", F.when(F.col("low"), idx)),
             "last_other": ("max", F.when(~F.col("low"), idx)),

@@ -37,8 +37,10 @@ EVENT_TYPES = [  # Fixed values: the event types, in protocol order.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # The tables hold UTC times without a zone; casts and formats follow the session.
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # Times without a zone are UTC; a plain cast would follow the session time zone.
     naive = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 

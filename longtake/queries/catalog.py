@@ -294,7 +294,7 @@ def snk_3_publish(spark, sf):
     render.write_transcripts(_rendered(spark, sf, ["md", "srt", "txt"]), "srt, txt", path)
     return (
         spark.read.parquet(path)
-        .groupBy(F.col("job_id").cast("long").alias("job_id"), "format")
+        .groupBy("job_id", "format")
         .agg(F.count_distinct("part_no").alias("parts"))
     )
 

@@ -104,27 +104,28 @@ def col_2_parse_versions(spark, sf):
 PENDING = (
     KEYED
     + f""",
-arts AS (SELECT doc_id AS version, unnest([{ARTIFACT_NAMES}]) AS name, doc_id FROM keyed),
-whole AS (SELECT version FROM arts WHERE NOT (doc_id % 6 = 1 AND name = 'report.json') GROUP BY version HAVING count(DISTINCT name) = 6),
+arts AS (SELECT doc_id AS version, unnest([{ARTIFACT_NAMES}]) AS name, size FROM keyed),
+whole AS (SELECT version FROM arts WHERE NOT (size < 500 AND name = 'report.json') GROUP BY version HAVING count(DISTINCT name) = 6),
 finished AS (
-  SELECT DISTINCT k.source_key, k.doc_id % 2 AS fp FROM keyed k JOIN whole w ON w.version = k.doc_id WHERE k.doc_id % 3 <> 0)"""
+  SELECT DISTINCT k.source_key, k.doc_id % 2 AS fp FROM keyed k JOIN whole w ON w.version = k.doc_id WHERE k.size <= 4000)"""
 )
 
 
 def _pending_inputs(spark, sf):
     keyed = identity.identify(views.sources(spark, sf)).select(
-        "doc_id", "source_key", (F.col("doc_id") % 2).alias("fingerprint")
+        "doc_id", "source_key", "size", (F.col("doc_id") % 2).alias("fingerprint")
     )
     versions = keyed.select(
         F.col("doc_id").alias("version"),
         "source_key",
         "fingerprint",
-        F.when(F.col("doc_id") % 3 == 0, "incomplete").otherwise("completed").alias("status"),
+        F.when(F.col("size") > 4000, "incomplete").otherwise("completed").alias("status"),
     )
     artifacts = keyed.select(
         F.col("doc_id").alias("version"),
+        "size",
         F.explode(F.array(*[F.lit(n) for n in identity.REQUIRED_ARTIFACTS])).alias("name"),
-    ).where(~((F.col("version") % 6 == 1) & (F.col("name") == "report.json")))
+    ).where(~((F.col("size") < 500) & (F.col("name") == "report.json")))
     return keyed, versions, artifacts
 
 
@@ -167,7 +168,7 @@ def _legacy(spark, sf):
 @BOOK.add(
     "WITH "
     + KEYED
-    + """, own AS (SELECT doc_id AS record, source AS name, size, CASE WHEN doc_id % 3 = 0 THEN source_key END AS k FROM keyed),
+    + """, own AS (SELECT doc_id AS record, source AS name, size, CASE WHEN size > 1000 THEN source_key END AS k FROM keyed),
 shared AS (SELECT name, size, arg_max(k, record) AS k FROM own WHERE k IS NOT NULL GROUP BY ALL)
 SELECT o.record, o.name, o.size, coalesce(o.k, s.k, substr(sha256('metadata:' || o.size || ':' || o.name), 1, 12)) AS source_key,
   CASE WHEN coalesce(o.k, s.k) IS NOT NULL THEN 'content' ELSE 'metadata' END AS basis
@@ -175,7 +176,7 @@ FROM own o LEFT JOIN shared s USING (name, size)"""
 )
 def join_5_propagate_keys(spark, sf):
     records = _legacy(spark, sf)
-    located = records.where(F.col("record") % 3 == 0).select("record", "source_key")
+    located = records.where(F.col("size") > 1000).select("record", "source_key")
     return identity.propagate_keys(records.drop("source_key"), located)
 
 
@@ -204,12 +205,12 @@ placed AS (
     coalesce(r.k, s.k, substr(sha256('metadata:' || r.size || ':' || r.name), 1, 12)) AS key,
     NOT migrated AND length(fingerprint) >= 8 AND created IS NOT NULL AS usable
   FROM rec r LEFT JOIN shared s USING (name, size)),
-folders AS (SELECT source_key, min(source || '.wav-known') AS known FROM keyed WHERE doc_id % 19 = 0 GROUP BY source_key),
+folders AS (SELECT source_key, min(source || '.wav-known') AS known FROM keyed WHERE size < 300 GROUP BY source_key),
 aimed AS (
   SELECT p.*, CASE WHEN usable THEN coalesce(f.known, regexp_replace(name, '\\.wav$', '') || '-' || key) || '/20240101T1030Z_base-1.5b_full_' || substr(fingerprint, 1, 8) END AS target
   FROM placed p LEFT JOIN folders f ON f.source_key = p.key),
 claims AS (SELECT target, min(record) AS claimed_by FROM aimed WHERE usable GROUP BY target),
-existing AS (SELECT DISTINCT target FROM aimed WHERE usable AND record % 23 = 0)"""
+existing AS (SELECT DISTINCT target FROM aimed WHERE usable AND size > 6000)"""
 )
 
 
@@ -240,12 +241,13 @@ def col_11_rekey_plan(spark, sf):
         F.when(n % 2 == 0, F.col("source_key")).alias("located_key"),
         (n % 17 == 0).alias("migrated"),
     )
-    folders = keyed.where(n % 19 == 0).select(
+    folders = keyed.where(F.col("size") < 300).select(
         "source_key", F.concat("source", F.lit(".wav-known")).alias("folder")
     )
     nothing = records.select(F.lit("").alias("target")).where(F.lit(False))
     wanted = identity.rekey_plan(records, folders, nothing)
-    targets = wanted.where((F.col("record") % 23 == 0) & F.col("target").isNotNull()).select("target")
+    large = keyed.where(F.col("size") > 6000).select(n.alias("record"))
+    targets = wanted.where(F.col("target").isNotNull()).join(large, "record", "left_semi").select("target")
     return identity.rekey_plan(records, folders, stage(targets))
 
 
@@ -253,9 +255,9 @@ def col_11_rekey_plan(spark, sf):
     "WITH "
     + ATTEMPTS
     + """, t AS (
-  SELECT job_id, chunk_idx, 'plan' AS kind FROM plan WHERE chunk_idx % 10 <> 9
+  SELECT job_id, chunk_idx, 'plan' AS kind FROM attempts WHERE outcome = 'ok'
   UNION ALL SELECT job_id, chunk_idx, 'done' FROM last_attempts WHERE outcome <> 'degenerate'
-  UNION ALL SELECT job_id, chunk_idx, 'failed' FROM last_attempts WHERE outcome = 'degenerate' OR chunk_idx % 7 = 0
+  UNION ALL SELECT job_id, chunk_idx, 'failed' FROM attempts WHERE outcome = 'degenerate'
   UNION ALL SELECT job_id, chunk_idx, 'attempts' FROM attempts),
 f AS (SELECT job_id, chunk_idx, bool_or(kind = 'plan') AS p, bool_or(kind = 'done') AS d, bool_or(kind = 'failed') AS f, bool_or(kind = 'attempts') AS a FROM t GROUP BY ALL)
 SELECT job_id, chunk_idx, problem FROM (
@@ -265,12 +267,13 @@ SELECT job_id, chunk_idx, problem FROM (
   UNION ALL SELECT job_id, chunk_idx, 'done and failed' FROM f WHERE d AND f)"""
 )
 def join_10_key_violations(spark, sf):
-    last = views.last_attempts(spark, sf)
+    """Planned is what was ever ok, failed what was ever degenerate: every rule is broken."""
+    attempts = views.attempts(spark, sf)
     return identity.key_violations(
-        views.chunk_plan(spark, sf).where(F.col("chunk_idx") % 10 != 9),
-        last.where(F.col("outcome") != "degenerate"),
-        last.where((F.col("outcome") == "degenerate") | (F.col("chunk_idx") % 7 == 0)),
-        views.attempts(spark, sf),
+        attempts.where(F.col("outcome") == "ok"),
+        views.done(spark, sf),
+        attempts.where(F.col("outcome") == "degenerate"),
+        attempts,
     )
 
 
@@ -355,12 +358,12 @@ def set_1_known_folders(spark, sf):
 @BOOK.add(
     "WITH "
     + ATTEMPTS
-    + """ SELECT job_id, chunk_idx, 'unplanned' AS side FROM (SELECT DISTINCT job_id, chunk_idx FROM attempts EXCEPT SELECT job_id, chunk_idx FROM plan WHERE chunk_idx % 4 <> 0)
-UNION ALL SELECT job_id, chunk_idx, 'planned' FROM (SELECT job_id, chunk_idx FROM attempts INTERSECT SELECT job_id, chunk_idx FROM plan WHERE chunk_idx % 4 <> 0)"""
+    + """ SELECT job_id, chunk_idx, 'unplanned' AS side FROM (SELECT DISTINCT job_id, chunk_idx FROM attempts EXCEPT SELECT job_id, chunk_idx FROM last_attempts WHERE outcome = 'ok')
+UNION ALL SELECT job_id, chunk_idx, 'planned' FROM (SELECT job_id, chunk_idx FROM attempts INTERSECT SELECT job_id, chunk_idx FROM last_attempts WHERE outcome = 'ok')"""
 )
 def set_2_contract_sets(spark, sf):
     seen = views.attempts(spark, sf).select("job_id", "chunk_idx")
-    planned = views.chunk_plan(spark, sf).where(F.col("chunk_idx") % 4 != 0).select("job_id", "chunk_idx")
+    planned = views.last_attempts(spark, sf).where(F.col("outcome") == "ok").select("job_id", "chunk_idx")
     return (
         seen.subtract(planned).withColumn("side", F.lit("unplanned"))
         .unionByName(seen.intersect(planned).withColumn("side", F.lit("planned")))
@@ -385,9 +388,9 @@ def set_3_file_sets(spark, sf):
     """WITH p AS (
   SELECT doc_id AS job_id, CASE WHEN doc_id % 2 = 0 THEN 'report.json' ELSE 'transcript.txt' END AS name,
     CASE WHEN doc_id % 29 = 0 THEN 0 ELSE n_chars END AS size,
-    CASE WHEN doc_id % 6 = 0 THEN '{"n": 1}' WHEN doc_id % 6 = 2 THEN '{"n": ' ELSE '[]' END AS content FROM documents WHERE doc_id % 31 <> 0),
+    CASE WHEN doc_id % 6 = 0 THEN '{"n": 1}' WHEN doc_id % 6 = 2 THEN '{"n": ' ELSE '[]' END AS content FROM documents WHERE lang <> 'es'),
 c AS (SELECT doc_id AS job_id, CASE WHEN doc_id % 2 = 0 THEN 'report.json' ELSE 'transcript.txt' END AS name,
-    CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE doc_id % 5 <> 0),
+    CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE lang <> 'fr'),
 b AS (SELECT coalesce(p.job_id, c.job_id) AS job_id, coalesce(p.name, c.name) AS name, p.size, c.size AS cs, p.content
   FROM p FULL JOIN c ON p.job_id = c.job_id AND p.name = c.name)
 SELECT job_id, name, size,
@@ -401,13 +404,13 @@ def join_9_verify_artifacts(spark, sf):
     d = views.table(spark, sf, "documents")
     n = F.col("doc_id")
     name = F.when(n % 2 == 0, "report.json").otherwise("transcript.txt").alias("name")
-    public = d.where(n % 31 != 0).select(
+    public = d.where(F.col("lang") != "es").select(
         n.alias("job_id"),
         name,
         F.when(n % 29 == 0, 0).otherwise(F.col("n_chars")).alias("size"),
         F.when(n % 6 == 0, '{"n": 1}').when(n % 6 == 2, '{"n": ').otherwise("[]").alias("content"),
     )
-    canonical = d.where(n % 5 != 0).select(
+    canonical = d.where(F.col("lang") != "fr").select(
         n.alias("job_id"), name, F.when(n % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size")
     )
     return identity.verify_artifacts(public, canonical)

@@ -223,6 +223,21 @@ def str_4_stable_files_stream(spark, sf):
     return out.select("path", "scan", "stable_count", "ready")
 
 
+OBSERVATIONS_RESULTS = (
+    "WITH RECURSIVE "
+    + OBSERVATIONS
+    + """, o AS (SELECT path, scan, size, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 0 END AS won FROM observations),
+w AS (
+  SELECT path, scan, size, 1 AS cnt, 0 AS tb, FALSE AS ready, CASE WHEN won = 1 THEN size END AS ds, CASE WHEN won = 0 THEN 1 ELSE 0 END AS ta FROM o WHERE scan = 1
+  UNION ALL
+  SELECT path, scan, size, cnt, tb, cnt >= 2 AND ds IS DISTINCT FROM size AND tb < 3,
+    CASE WHEN won = 1 OR (won = 0 AND tb + 1 >= 3) THEN size ELSE ds END, CASE WHEN won = 1 THEN 0 WHEN won = 0 THEN tb + 1 ELSE tb END
+  FROM (SELECT o.path, o.scan, o.size, o.won, w.ds, CASE WHEN o.size = w.size THEN w.cnt + 1 ELSE 1 END AS cnt, CASE WHEN o.size = w.size THEN w.ta ELSE 0 END AS tb
+    FROM w JOIN o ON o.path = w.path AND o.scan = w.scan + 1))
+SELECT path, scan, cnt::BIGINT AS stable_count, tb::BIGINT AS failures_before, ready FROM w"""
+)
+
+
 def _with_results(spark, sf):
     seen = views.observations(spark, sf)
     status = (
@@ -231,7 +246,9 @@ def _with_results(spark, sf):
     return seen.select("path", "scan", "size", "mtime", status.alias("status"))
 
 
-@BOOK.add()
+@BOOK.add(
+    OBSERVATIONS_RESULTS
+)
 def str_4_stable_files_results(spark, sf):
     """With results of earlier scans: retries, giving up, changed files start over."""
     seen = _with_results(spark, sf)
@@ -364,7 +381,7 @@ def str_8_write_status(spark, sf):
 def snk_1_job_events(spark, sf):
     path = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
     jobs.write_job_events(views.stream_of(views.run_event_files(spark, sf), 1000), path).awaitTermination()
-    return spark.read.parquet(path).select(F.col("job_id").cast("long").alias("job_id"), "run_id", "seq", "type")
+    return jobs.job_log(spark, path).select(F.col("job_id").cast("long").alias("job_id"), "run_id", "seq", "type")
 
 
 @BOOK.add(

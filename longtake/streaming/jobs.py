@@ -6,7 +6,7 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -70,17 +70,27 @@ def job_events(stream: DataFrame) -> DataFrame:
 
 
 def write_job_events(stream: DataFrame, path: str, **options) -> StreamingQuery:
-    """Append each event to the folder of its job, across runs."""
+    """Append each event to its job's log, across runs.
+
+    The log of a job is the range of rows with its key: every batch is clustered and sorted by
+    job, so a filter on ``job_id`` skips the rest. A folder per job would mean millions of tiny
+    files; clustering by (job, run, seq) also splits a job that has most of the events.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # Few files per job, however many tasks the batch had; a busy job is still split.
-        batch.withColumn("batch", F.lit(batch_id)).hint("rebalance", "job_id").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("job_id", "batch").parquet(path)
+        by = ("job_id", "run_id", "seq")
+        clustered = batch.repartitionByRange(*by).sortWithinPartitions(*by)
+        clustered.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return start(job_events(stream), sink, **options)
 
 
+def job_log(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
+    """All job logs, or the log of one job."""
+    log = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return log if job_id is None else log.where(F.col("job_id") == job_id)
+
+
 def write_status(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str, *, every: str | None = None) -> StreamingQuery:
     """Keep the folded state current: one snapshot of the changed keys per trigger.
 
