@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clock, duration_text, timing_text
+from ..functions.columns import clock, duration_text, one_decimal, timing_text
 from .ordered import numbered
 
 PART_CUES = 1000
@@ -209,13 +209,12 @@ STEPS = ["audio_extraction", "speech_detection", "chunk_slicing"]
 
 def speed_text(rtf: Column) -> Column:
     speed = 1 / rtf
-    from ..functions.columns import one_decimal
 
     return F.when(
         rtf > 0,
         F.concat(
             F.lit("- Real-time factor "),
-            rtf.cast("string"),
+            F.bround(rtf, 4).cast("string"),
             F.lit(", that is "),
             one_decimal(F.when(speed >= 1, speed).otherwise(rtf)),
             F.when(speed >= 1, "x faster").otherwise("x slower"),
@@ -239,7 +238,9 @@ def run_report(versions: DataFrame) -> DataFrame:
     timed = lambda head, seconds: F.struct(F.lit(head).alias("text"), F.lit(True).alias("timed"), seconds.cast("double").alias("seconds"))
     percent = F.when(
         F.col("completion_percent").isNotNull(),
-        F.concat(F.regexp_replace(F.col("completion_percent").cast("string"), r"\.0$", ""), F.lit("%")),
+        F.concat(
+            F.regexp_replace(F.bround("completion_percent", 1).cast("string"), r"\.0$", ""), F.lit("%")
+        ),
     ).otherwise("unknown")
     text = lambda label, column, default="unknown": F.concat(
         F.lit(f"- {label}: "), F.coalesce(F.col(column).cast("string"), F.lit(default))
@@ -304,6 +305,24 @@ def run_report(versions: DataFrame) -> DataFrame:
     )
 
 
+def run_rows(runs: DataFrame) -> DataFrame:
+    """The runs table of a report, one line per run in order of their start.
+
+    ``runs(job_id, run_no, started, ended, wall_seconds, status)``.
+    """
+    ordered = numbered(
+        runs, ["job_id"], ["run_no"], F.floor(F.col("run_no") / 65536), "line_no", first=1
+    )
+    cells = [
+        F.coalesce("started", F.lit("n/a")),
+        F.coalesce("ended", F.lit("in progress")),
+        timing_text(F.col("wall_seconds")),
+        F.coalesce("status", F.lit("n/a")),
+    ]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    return ordered.select("job_id", "line_no", line.alias("line"))
+
+
 def timings_line(total: Column, stages: Column) -> Column:
     part = lambda label, key: F.when(
         stages[key].isNotNull(), F.concat(F.lit(f"{label} "), duration_text(stages[key]))

@@ -66,6 +66,8 @@ def gate_sources(df: DataFrame, max_bytes: int | None, limit: int | None = None)
 
 def queue_order(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Case-folded path order; a limit is a top-k, never a full sort in one place."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
     ordered = df.orderBy(F.lower("path"), "path")
     return ordered if limit is None else ordered.limit(limit)
 

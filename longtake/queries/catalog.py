@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import catalog, identity, render
-from ..operators.ordered import running
+from ..operators import catalog, metrics, render
 from ..plans import views
-from ..session import shared_folder, stage
-from .base import ATTEMPTS, EVENTS, RUN_EVENTS, SEGMENTS, VERSIONS, Book, rounded
+from ..session import work_folder, stage
+from .base import ATTEMPTS, RUN_EVENTS, SEGMENTS, VERSIONS, Book, rounded
 
 BOOK = Book()
 
@@ -179,7 +178,7 @@ def top_3_recent_texts(spark, sf):
     + " SELECT source, count(*) AS version_count, strftime(max(updated), '%Y-%m-%d') AS last_activity FROM versions GROUP BY source"
 )
 def snk_4_rebuild_catalog(spark, sf):
-    path = f"{shared_folder(spark)}/catalog"
+    path = f"{work_folder(spark)}/catalog"
     catalog.rebuild_catalog(views.versions(spark, sf), path)
     again = catalog.rebuild_catalog(views.versions(spark, sf), path)
     return again.select("source", "version_count", F.date_format("last_activity", "yyyy-MM-dd").alias("last_activity"))
@@ -290,7 +289,7 @@ def agg_16_warnings(spark, sf):
 
 @BOOK.add("WITH " + CUES + " SELECT job_id, f.format, count(DISTINCT (n - 1) // 1000) AS parts FROM cues, (SELECT unnest(['txt', 'srt']) AS format) f GROUP BY ALL")
 def snk_3_publish(spark, sf):
-    path = f"{shared_folder(spark)}/published"
+    path = f"{work_folder(spark)}/published"
     render.write_transcripts(_rendered(spark, sf, ["md", "srt", "txt"]), "srt, txt", path)
     return (
         spark.read.parquet(path)
@@ -348,6 +347,61 @@ def col_8_run_report(spark, sf):
     )
 
 
+@BOOK.add(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_totalprice / 1000.0::DOUBLE AS s FROM orders),
+t AS (SELECT *, CAST(round_even(s, 0) AS BIGINT) AS w FROM r)
+SELECT o_custkey AS job_id, n AS line_no, '| ' || strftime(o_orderdate, '%Y-%m-%d') || ' | in progress | '
+  || CASE WHEN s < 0.1 THEN CAST(round_even(s * 1000, 0) AS BIGINT) || ' ms' WHEN s < 59.95 THEN format('{:.1f} s', s) ELSE format('{:d} min {:02d} s', w // 60, w % 60) || ' (' || format('{:.1f} s', s) || ')' END
+  || ' | ' || o_orderstatus || ' |' AS line FROM t"""
+)
+def col_8_run_rows(spark, sf):
+    o = views.table(spark, sf, "orders")
+    runs = o.select(
+        F.col("o_custkey").alias("job_id"),
+        F.col("o_orderkey").alias("run_no"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("started"),
+        F.lit(None).cast("string").alias("ended"),
+        (F.col("o_totalprice") / 1000.0).alias("wall_seconds"),
+        F.col("o_orderstatus").alias("status"),
+    )
+    return render.run_rows(runs)
+
+
+@BOOK.add(
+    """WITH t AS (SELECT *, o_totalprice / 20000.0::DOUBLE AS s FROM orders)
+SELECT o_orderkey AS version, 'Timings: total ' || CASE WHEN s < 0.1 THEN CAST(round_even(s * 1000, 0) AS BIGINT) || ' ms' ELSE format('{:.1f} s', s) END
+  || CASE WHEN o_orderstatus = 'F' THEN ' | preparation 2.5 s' ELSE '' END || ' | inference 10.0 s' AS line FROM t"""
+)
+def col_8_timings_line(spark, sf):
+    o = views.table(spark, sf, "orders")
+    stages = F.create_map(
+        F.lit("preparation"), F.when(F.col("o_orderstatus") == "F", 2.5), F.lit("inference"), F.lit(10.0)
+    )
+    return o.select(
+        F.col("o_orderkey").alias("version"),
+        render.timings_line(F.col("o_totalprice") / 20000.0, stages).alias("line"),
+    )
+
+
+@BOOK.add(
+    """SELECT o_orderkey AS job_id, o_orderstatus || ' | ' || o_orderkey || ' | chunks ok=3 no_speech=1 failed=0 of 4' || CASE WHEN o_orderstatus = 'P' THEN ' | error: disk full' ELSE '' END AS line FROM orders"""
+)
+def agg_12_summary_lines(spark, sf):
+    o = views.table(spark, sf, "orders")
+    rollup = o.select(
+        F.col("o_orderkey").alias("job_id"),
+        F.col("o_orderstatus").alias("status"),
+        F.lit(4).alias("total_chunks"),
+        F.lit(3).alias("chunks_ok"),
+        F.lit(1).alias("chunks_no_speech"),
+        F.lit(0).alias("chunks_failed"),
+        F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("double").alias("wall_seconds"),
+        F.when(F.col("o_orderstatus") == "P", "disk full").alias("error"),
+    )
+    return metrics.summary_lines(rollup)
+
+
 @BOOK.add(
     r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS f FROM documents)
 SELECT doc_id, CASE WHEN length(f) <= 200 THEN f ELSE substr(f, 1, 199) || '...' END AS message FROM t"""

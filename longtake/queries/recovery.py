@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recovery, signal
 from ..plans import views
-from ..session import shared_folder, stage
+from ..session import work_folder, stage
 from ..settings import InferenceSettings
 from ..streaming import jobs
 from .base import ATTEMPTS, Book
@@ -116,7 +116,7 @@ def udf_5_order_independent(spark, sf):
 
 @BOOK.add("SELECT 'good' AS sink, 0 AS failures, count(*) AS rows FROM events UNION ALL SELECT 'broken', 1, 0 FROM (SELECT 1)")
 def udf_6_sink_registry(spark, sf):
-    path = f"{shared_folder(spark)}/sinks"
+    path = f"{work_folder(spark)}/sinks"
     registry = jobs.SinkRegistry()
 
     def broken(batch, batch_id):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans import views
 from ..schemas import RESOURCE_KEYS
-from ..session import shared_folder, stage
+from ..session import work_folder, stage
 from ..sources import events as event_source
 from ..sources import media, state
 from ..streaming import fold, jobs, series, watch
@@ -35,7 +35,7 @@ def _log_lines(spark, sf):
     broken = views.table(spark, sf, "events").select(
         F.when(F.col("event_type") == "view", '{"type": 5, "seq": 1}').otherwise('{"type": "lo').alias("value")
     )
-    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/log-{uuid.uuid4().hex}"
     good.unionByName(broken).write.text(path)
     return path
 
@@ -79,8 +79,8 @@ def src_3_read_state(spark, sf):
             )
         ).alias("value")
     )
-    broken = views.table(spark, sf, "conversations").select(F.substring("text", 1, 20).alias("value"))
-    path = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    broken = views.table(spark, sf, "conversations").select(F.col("text").alias("value"))
+    path = f"{work_folder(spark)}/state-{uuid.uuid4().hex}"
     documents.unionByName(broken).write.text(path)
     found = state.read_state(spark, path, state.CHECKPOINT, multi_line=False)
     return state.done_chunks(found).select(
@@ -353,7 +353,7 @@ def str_6_activity_sessions(spark, sf):
 def str_7_follow(spark, sf):
     log = views.run_event_files(spark, sf)
     first = log.where(F.col("type") == "run.finished").agg(F.min("run_id")).first()[0]
-    path = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/follow-{uuid.uuid4().hex}"
     everything = views.stream_of(log, 1000)
     return jobs.follow(everything, first, path).select("run_id", "seq", "type")
 
@@ -370,7 +370,7 @@ def str_8_snapshots_due(spark, sf):
 
 @BOOK.add("WITH " + RUN_EVENTS + " SELECT run_id, max(seq) AS last_seq FROM run_events GROUP BY run_id")
 def str_8_write_status(spark, sf):
-    path = f"{shared_folder(spark)}/status-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/status-{uuid.uuid4().hex}"
     stream = views.stream_of(views.run_event_files(spark, sf))
     jobs.write_status(stream, fold.run_headers, path).awaitTermination()
     table = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
@@ -379,7 +379,7 @@ def str_8_write_status(spark, sf):
 
 @BOOK.add("WITH " + RUN_EVENTS + " SELECT job_id, run_id, seq, type FROM run_events WHERE type <> 'resource.sample'")
 def snk_1_job_events(spark, sf):
-    path = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/jobs-{uuid.uuid4().hex}"
     jobs.write_job_events(views.stream_of(views.run_event_files(spark, sf), 1000), path).awaitTermination()
     return jobs.job_log(spark, path).select(F.col("job_id").cast("long").alias("job_id"), "run_id", "seq", "type")
 

@@ -51,9 +51,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it can be dropped when the job is over."""
+    return f"{shared_folder(spark)}/longtake-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application wrote between its steps."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_table(df: DataFrame) -> str:
     """Write ``df`` to a new folder in the shared folder; returns its path."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 # Fixed values.
@@ -22,6 +23,10 @@ class SegmentationSettings:
     energy_margin_db: float = 15.0
     block_frames: int = BLOCK_FRAMES
 
+    def __post_init__(self) -> None:
+        if not (math.isfinite(self.max_chunk_seconds) and self.max_chunk_seconds > 0):
+            raise ValueError("max_chunk_seconds must be finite and positive")
+
     @property
     def pad(self) -> float:
         """Padding, never more than a quarter of the longest chunk."""

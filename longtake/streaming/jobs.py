@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..session import shared_folder
+from ..session import work_folder
 
 # Events that refresh the status at once, and its shortest interval otherwise.
 URGENT_PREFIXES = ["run.", "job.", "stage."]
@@ -18,7 +18,7 @@ STATUS_SECONDS = 0.5
 
 
 def _checkpoint(df: DataFrame) -> str:
-    return f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return f"{work_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
 
 
 def ingest_events(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -52,7 +52,7 @@ def to_table(path: str) -> Callable[[DataFrame, int], None]:
 def run_to_table(df: DataFrame, *, mode: str = "append") -> DataFrame:
     """Process what is available and return the written rows (with their ``batch``)."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/out-{uuid.uuid4().hex}"
     start(df, to_table(path), mode=mode).awaitTermination()
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
 

@@ -96,3 +96,9 @@ def test_quantise_and_fixed_chunks(spark):
     spans = spark.createDataFrame([(1, 0.5, 1.0), (1, 1.0, 9.0)], "rec_id long, start double, end double")
     cut = seg.quantise(spans, recs, 16000, replace(DEFAULT, max_chunk_seconds=1.0)).orderBy("chunk_idx")
     assert [tuple(r) for r in cut.collect()] == [(1, 0, 8000, 16000), (1, 1, 16000, 32000)]
+
+
+def test_settings_are_checked():
+    for wrong in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            SegmentationSettings(max_chunk_seconds=wrong)

@@ -122,3 +122,37 @@ def test_formats():
     for wrong in ("", "doc", []):
         with pytest.raises(ValueError):
             render.parse_formats(wrong)
+
+
+def test_run_report_has_a_fixed_order(spark):
+    schema = (
+        "job_id int, name string, version string, model string, status string, completion_percent double, total_wall double, "
+        "stages_seconds map<string,double>, analysed_seconds double, real_time_factor double, total_chunks int, chunks_ok int, "
+        "chunks_no_speech int, chunks_failed int, error string"
+    )
+    rows = [
+        (1, "a.wav", "v1", "m", "completed", 100.0, 262.4, {"preparation": 60.0, "speech_detection": 44.2, "inference": 188.5}, 7546.0, 0.025, 581, 580, 1, 0, None),
+        (2, "b.wav", "v2", "m", "failed", None, None, {"preparation": 3.0}, None, None, None, None, None, None, "disk full"),
+    ]
+    lines = render.run_report(spark.createDataFrame(rows, schema)).orderBy("job_id", "line_no").collect()
+    first = [r.line for r in lines if r.job_id == 1]
+    assert first[6] == "- Completion: 100%"
+    assert first[12:16] == [
+        "| All runs together | 4 min 22 s (262.4 s) |", "| Preparing, all steps | 1 min 00 s (60.0 s) |",
+        "| > finding speech | 44.2 s |", "| Transcribing | 3 min 08 s (188.5 s) |",
+    ]
+    assert "- Real-time factor 0.025, that is 40.0x faster than the recording plays" in first
+    second = [r.line for r in lines if r.job_id == 2]
+    assert sum("only known as part of the total" in x for x in second) == 3
+    assert second[-1] == "- Error: disk full" and "| All runs together | n/a |" in second
+
+
+def test_summary_lines(spark):
+    from longtake.operators import metrics
+
+    df = spark.createDataFrame(
+        [(1, "completed", 4, 3, 1, 0, 0.91, 12.5, None), (2, "failed", None, None, None, None, None, None, "no model")],
+        "job_id int, status string, total_chunks int, chunks_ok int, chunks_no_speech int, chunks_failed int, confidence double, wall_seconds double, error string",
+    )
+    got = [r.line for r in metrics.summary_lines(df).orderBy("job_id").collect()]
+    assert got == ["completed | 1 | chunks ok=3 no_speech=1 failed=0 of 4 | confidence 0.91 | wall 12.5s", "failed | 2 | error: no model"]
