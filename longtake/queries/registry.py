@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import ship
+
 MODULES = ("segmentation", "metrics", "identity", "signal", "catalog", "streaming", "recovery")
 
 
@@ -17,8 +23,17 @@ def _gather(attribute: str) -> dict:
     return found
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def all_queries() -> dict:
-    return _gather("QUERIES")
+    return {name: _shipped(query) for name, query in _gather("QUERIES").items()}
 
 
 def all_oracles() -> dict:
