@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import __spark_entry__ as entry
+from longtake.queries import registry
 
 WITHOUT_TWIN = {"col_4_repetition_gate", "win_17_sample_windows"}
 
 
 def test_every_query_has_a_twin_or_is_known_to_have_none():
-    queries, twins = entry.queries(), entry.oracle_sql()
+    queries, twins = registry.all_queries(), registry.all_oracles()
     assert set(queries) - set(twins) == WITHOUT_TWIN
     assert set(twins) <= set(queries)
+    assert set(queries) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_every_operator_of_the_inventory_has_a_query():
