@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, mixing, rules, shards
+from . import chat, mixing, rules, shards, tokens
 from .common import table, text_of
 
 QUERIES: dict = {}
@@ -188,3 +188,15 @@ def op10_shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokens.write_shards(table(spark, sf_dir, "documents"), tokenizer_path())
+    return tokens.read_documents(spark, folder).drop("shard")
