@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, mixing, rules, shards, tokens
+from . import chat, mixing, quality_model, rules, shards, tokens
 from .common import table, text_of
 
 QUERIES: dict = {}
@@ -200,3 +200,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokens.write_shards(table(spark, sf_dir, "documents"), tokenizer_path())
     return tokens.read_documents(spark, folder).drop("shard")
+
+
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
