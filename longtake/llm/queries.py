@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, mixing, quality_model, rules, shards, tokens
+from . import chat, mixing, privacy, quality_model, rules, shards, tokens
 from .common import table, text_of
 
 QUERIES: dict = {}
@@ -206,3 +206,14 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.personal_data(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
+        F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
