@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, mixing, privacy, quality_model, rules, shards, tokens
+from . import chat, decontaminate, mixing, privacy, quality_model, rules, shards, tokens
 from .common import table, text_of
 
 QUERIES: dict = {}
@@ -217,3 +217,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
         F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
     )
+
+
+@query()
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
