@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, mixing, privacy, quality_model, rules, shards, tokens
+from . import chat, decontaminate, mixing, near, privacy, quality_model, rules, shards, tokens
 from .common import table, text_of
 
 QUERIES: dict = {}
@@ -222,3 +222,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
