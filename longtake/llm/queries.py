@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, mixing, near, privacy, quality_model, rules, shards, tokens
+from . import chat, decontaminate, mixing, near, privacy, quality_model, rules, shards, substrings, tokens
 from .common import table, text_of
 
 QUERIES: dict = {}
@@ -227,3 +227,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"), 13)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
