@@ -1,12 +1,17 @@
-"""The corpus pipeline: filter, remove copies, decontaminate, mix, encode."""
+"""The corpus pipeline: quality rules, near copies, decontamination, mixing, token shards.
+
+Every stage takes documents and returns documents with the same columns; the last returns one row
+per document of the written token shards.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from longtake.llm import mixing, rules
+from longtake.llm import decontaminate, mixing, near, rules, tokens
 from longtake.llm.common import table
-from longtake.session import ship
+from longtake.llm.queries import tokenizer_path
+from longtake.session import ship, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,19 +20,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep(docs)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that of the smallest doc_id."""
+    ship(spark)
+    return near.first_of_class(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     ship(spark)
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources)]
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards."""
+    ship(spark)
+    return tokens.read_documents(spark, tokens.write_shards(docs, tokenizer_path())).drop("shard")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("token_shards", token_shards),
+]
 
+# Near copies, tokens and BM25 are not SQL: tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what one keeps is written before the next reads it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

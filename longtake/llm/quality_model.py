@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Model = Model()) -> np.n
     rows = stage(sample.mapInPandas(featurise, "at long, quality int, index binary, value binary"))
     passes = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(settings.epochs))))
     one = passes.repartition(1).sortWithinPartitions("epoch", "at", "index", "value").select("quality", "index", "value")
-    return np.frombuffer(one.mapInPandas(learn, "weights binary").first()["weights"], "<f4")
+    learned = one.mapInPandas(learn, "weights binary").first()
+    return np.frombuffer(learned["weights"], "<f4") if learned else np.zeros((1 << bits) + 1, "<f4")
 
 
 def score(docs: DataFrame, weights: np.ndarray, settings: Model = Model()) -> DataFrame:
