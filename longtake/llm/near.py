@@ -36,7 +36,7 @@ class Near:
     least_of: int = 5
     screen: float = 0.4
     together: int = 2_000
-    best: int = 8
+    best: int = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -173,29 +173,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _screened(groups: DataFrame, settings: Near) -> DataFrame:
-    """Pairs of different components inside a sketch that the signatures call near enough."""
+def _screened(groups: DataFrame, settings: Near, turn: int) -> DataFrame:
+    """Pairs inside a sketch to hold against each other next.
+
+    Every text outside the largest class of its sketch gets the ``best`` texts of other classes by
+    their signatures, in the next turn the ``best`` after these. So pairs grow with texts only.
+    """
 
     def screen(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
         sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), SIGNATURE)
         ids, label, n = group["id"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy()
+        names, sizes = np.unique(label, return_counts=True)
         found = []
-        for x in range(len(group) - 1):
-            rest = slice(x + 1, None)
-            low, high = np.minimum(n[x], n[rest]), np.maximum(n[x], n[rest])
-            some = (sig[rest] > 0) | (sig[x] > 0)
-            alike = ((sig[rest] == sig[x]) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
+        for x in np.flatnonzero(label != names[sizes.argmax()]).tolist():
+            low, high = np.minimum(n[x], n), np.maximum(n[x], n)
+            some = (sig > 0) | (sig[x] > 0)
+            alike = ((sig == sig[x]) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
             good = np.flatnonzero(
-                (label[rest] != label[x]) & (low * settings.least_of >= high * settings.least) & (alike >= settings.screen)
+                (label != label[x]) & (low * settings.least_of >= high * settings.least) & (alike >= settings.screen)
             )
             good = good[np.argsort(-alike[good], kind="stable")]
-            taken: dict[int, int] = {}
-            for y in good.tolist():
-                other = int(label[x + 1 + y])
-                taken[other] = taken.get(other, 0) + 1
-                if taken[other] <= settings.best:
-                    found.append((ids[x + 1 + y], ids[x]))
+            for y in good[turn * settings.best : (turn + 1) * settings.best].tolist():
+                found.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
         return pd.DataFrame(np.asarray(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return groups.groupBy("band", "key", "block").applyInPandas(screen, "a long, b long").distinct()
@@ -206,9 +206,9 @@ def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
 
     Equal texts (null as empty) are one text; n_copies counts its rows. Texts are linked if their
     word shingles agree in order (``Near``), and classes are the connected texts. Per sketch every
-    text is held against the smallest id that shares it; what then lies in different classes but
-    shares a sketch is screened by signatures and held against each other. Sketches with more than
-    ``together`` such texts are screened in blocks, dealt anew for each sketch. Rows without id
+    text is held against the smallest id that shares it. What then shares a sketch but not its class
+    is held against the texts it is most like by signature, in turns until one finds no new link.
+    Sketches with more than ``together`` such texts are screened in blocks, dealt anew each time. Rows without id
     take part through equal texts only: their class is that of the rows with their text, null where
     these have no id either. Repeated rows are kept; other columns are ignored; an empty table
     gives no rows.
@@ -237,7 +237,6 @@ def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
         )
     )
     members = texts.where("id is not null").select("id", "n", F.posexplode("keys").alias("band", "key"))
-    # A fingerprint of the whole column for the join below, so that hot sketches are one row here.
     hubs = members.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     grouped = stage(members.join(hubs, ["band", "key"]))
     wanted = grouped.select("id").distinct()
@@ -250,16 +249,19 @@ def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
     pairs = pairs.join(lengths, pairs["b"] == lengths["hub"])
     fits = F.least("n", "hub_n") * settings.least_of >= F.greatest("n", "hub_n") * settings.least
     edges = verified(pairs.where(fits).select("a", "b"), bodies, settings)
-    labels = components(edges)
-    labelled = grouped.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = stage(labelled.join(texts.select("id", "sig"), "id"))
-    open_groups = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    block = F.pmod(F.xxhash64("id", "band", "key"), F.ceil(F.col("size") / settings.together)).cast("int")
-    screened = _screened(
-        labelled.join(open_groups, ["band", "key"]).select("band", "key", block.alias("block"), "id", "label", "n", "sig"), settings
-    )
-    more = verified(screened, bodies, settings)
-    labels = components(stage(edges.union(more)))
+    labels, turn = components(edges), 0
+    signed = stage(grouped.where("size > 2").join(texts.select("id", "sig"), "id"))
+    while True:
+        labelled = signed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        several = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        several = several.where("low != high").select("band", "key")
+        block = F.pmod(F.xxhash64("id", "band", "key", F.lit(turn)), F.ceil(F.col("size") / settings.together)).cast("int")
+        rest = labelled.join(several, ["band", "key"]).select("band", "key", block.alias("block"), "id", "label", "n", "sig")
+        more = verified(_screened(rest, settings, turn), bodies, settings)
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+        labels, turn = components(edges), turn + 1
     named = texts.join(labels, "id", "left").select(
         "same", F.coalesce("label", "id").alias("class_id"), "n_copies"
     )
