@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from . import wavelet
 from .common import exclusive_sums, text_of
 
 MEMO_WORDS, MEMO_LETTERS = 400_000, 64
+ENCODED_WORDS = 1_000_000  # about 200 bytes each
 
 
 class WordEncoder:
@@ -30,6 +32,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         self.library = Tokenizer.from_file(path)
         self.levels = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.dtype("<u2" if self.levels <= 16 else "<u4")
@@ -38,20 +41,29 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         found = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
         fresh = {w: np.asarray(e.ids, self.kind).tobytes() for w, e in zip(words, found, strict=True)}
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > ENCODED_WORDS:
             self.memo.clear()
         self.memo.update((w, i) for w, i in fresh.items() if len(w) <= MEMO_LETTERS)
         return fresh
 
     def encode(self, text: str | None) -> bytes:
         words = text.encode().split() if text else []
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            known = {w: self.memo.get(w) for w in words}
-            fresh = self._learn([w for w, i in known.items() if i is None])
-            known.update(fresh)
-            return b"".join(map(known.__getitem__, words))
+        found = [*map(self.memo.get, words)]
+        if None in found:
+            fresh = self._learn([*{w for w, i in zip(words, found, strict=True) if i is None}])
+            found = [fresh[w] if i is None else i for w, i in zip(words, found, strict=True)]
+        return b"".join(found)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this Python worker: what one task has learned serves the next one too."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
@@ -91,7 +103,7 @@ def write_shards(
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         tail = np.asarray([end_id], encoder.kind).tobytes()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
