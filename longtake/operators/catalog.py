@@ -9,7 +9,6 @@ from ..functions.columns import duration_text
 from .ordered import first_per_key, numbered
 
 DEFAULT_RTF = 0.04
-ACTIVE_SOURCES = 25
 PREVIEW_CHARS = 220
 # Which report speaks for a version, best first.
 REPORT_KINDS = ["final", "private", "intermediate"]
@@ -137,28 +136,24 @@ def locate(sources: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def measured_rtf(versions: DataFrame) -> DataFrame:
-    """At most one row: the real-time factor of the newest completed version that has one,
-    searched over the most active sources."""
-    active = (
-        versions.groupBy("source")
-        .agg(F.max("updated").alias("activity"))
-        .orderBy(F.desc("activity"), F.desc("source"))
-        .limit(ACTIVE_SOURCES)
-    )
-    usable = versions.where((F.col("status") == "completed") & (F.col("rtf") > 0))
-    # The active sources are at most 25 rows.
-    return (
-        usable.join(F.broadcast(active), "source")
-        .orderBy(*[F.desc(c) for c in ("activity", "source", "created", "updated", "version")])
-        .limit(1)
-        .select("rtf")
-    )
+def measured_rtf(versions: DataFrame, sources: int | None = None) -> DataFrame:
+    """One row: the real-time factor of the newest completed version that has one, null for none.
+
+    Sources are searched by their last activity, the most active first: all of them, or the first
+    ``sources``. One aggregate per source and one over the sources; nothing is joined.
+    """
+    usable = (F.col("status") == "completed") & (F.col("rtf") > 0)
+    newest = F.when(usable, F.struct("created", "updated", "version"))
+    active = versions.groupBy("source").agg(F.max("updated").alias("activity"), F.max_by("rtf", newest).alias("rtf"))
+    if sources is not None:
+        active = active.orderBy(F.desc("activity"), F.desc("source")).limit(sources)
+    measured = F.when(F.col("rtf").isNotNull(), F.struct("activity", "source"))
+    return active.agg(F.max_by("rtf", measured).alias("rtf"))
 
 
-def estimate_queue(queue: DataFrame, versions: DataFrame) -> DataFrame:
+def estimate_queue(queue: DataFrame, versions: DataFrame, sources: int | None = None) -> DataFrame:
     """Expected processing time of every queued recording, as seconds and as text."""
-    rtf = F.coalesce(measured_rtf(versions).scalar(), F.lit(DEFAULT_RTF))
+    rtf = F.coalesce(measured_rtf(versions, sources).scalar(), F.lit(DEFAULT_RTF))
     timed = queue.withColumn("estimate_seconds", F.col("duration") * rtf)
     return timed.withColumn(
         "estimate", F.when(F.col("duration").isNotNull(), duration_text(F.col("estimate_seconds")))

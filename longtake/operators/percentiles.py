@@ -1,9 +1,8 @@
 """Exact percentiles per key without gathering a key's values in one task.
 
-A mergeable sketch brackets each wanted rank; then one counting pass keeps only the values
-inside the bracket apart and folds everything below and above it into single counts. The rows
-that are still ordered are a small share of the key (about ``8 / SKETCH`` of it). Keys of
-up to ``SMALL`` rows are ordered whole.
+Equal values are counted first, so a value that holds most of a key is one row. The counts are
+summed along the values in blocks (``ordered.running``) and the wanted ranks are read off. Block
+edges come from a sketch of the distinct values; they balance the tasks and change no result.
 """
 
 from __future__ import annotations
@@ -15,25 +14,11 @@ from pyspark.sql import functions as F
 
 from .ordered import running
 
-SKETCH = 10_000
-SLACK = 4.0 / SKETCH
-SMALL = SKETCH
-SLICES = 1024
+BLOCKS = 32
+SKETCH = 1_000
 SALTS = 32
 
 
-def _ranks(name: str, fraction: float, kind: str, n: Column) -> list[Column]:
-    """Zero-based ranks to read: one for nearest rank, two to interpolate between."""
-    if kind == "nearest":
-        rank = F.greatest(F.lit(0), F.ceil(F.lit(fraction) * n).cast("long") - 1)
-        return [F.struct(F.lit(name).alias("name"), F.lit("at").alias("side"), rank.cast("long").alias("rank"))]
-    position = F.lit(fraction) * (n - 1)
-    return [
-        F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.cast("long").alias("rank"))
-        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position)))
-    ]
-
-
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,95 +30,34 @@ def exact_percentiles(
     ``kind`` is ``nearest`` (``sorted[max(0, ceil(f*n)-1)]``) or ``linear``
     (interpolated at ``f*(n-1)``). Nulls are left out.
     """
-    rows = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    names = list(wanted)
-    edges = [
-        edge
-        for name in names
-        for edge in (
-            max(0.0, wanted[name][0] - SLACK),
-            min(1.0, wanted[name][0] + SLACK),
-        )
-    ]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", edges, SKETCH).alias("__e"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
+    values = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    counted = values.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    edges = [i / BLOCKS for i in range(1, BLOCKS)]
+    bounds = counted.groupBy(*keys).agg(
+        F.sum("__c").alias("__n"), F.percentile_approx("__v", edges, SKETCH).alias("__edges")
     )
-    small = F.col("__n") <= SMALL
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                # Small keys and the outermost ranks use the whole range.
-                F.when(small | F.lit(edges[2 * i] <= 0.0), F.col("__min"))
-                .otherwise(F.col("__e")[2 * i])
-                .alias("lo"),
-                F.when(small | F.lit(edges[2 * i + 1] >= 1.0), F.col("__max"))
-                .otherwise(F.col("__e")[2 * i + 1])
-                .alias("hi"),
-            )
-            for i, name in enumerate(names)
-        ]
-    )
-    bounds = sketch.select(*keys, "__n", brackets.alias("__b"))
-    # The few bounds are repeated per salt, so the rows of one key meet them in many tasks.
-    repeated = bounds.drop("__n").withColumn(
+    # The few bounds are repeated per salt, so the values of one key meet them in many tasks.
+    repeated = bounds.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     )
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS).cast("long")))
-    tagged = salted.join(repeated, [*keys, "__salt"]).select(
-        *keys, "__v", F.explode("__b").alias("b")
-    )
-    v, lo, hi = F.col("__v"), F.col("b.lo"), F.col("b.hi")
-    zone = F.when(v < lo, 0).when(v > hi, 2).otherwise(1)
-    width = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * SLICES)).otherwise(0)
-    counted = (
-        tagged.select(
-            *keys,
-            F.col("b.name").alias("name"),
-            zone.alias("zone"),
-            F.when(zone == 1, v).alias("v"),
-            F.when(zone == 1, width).otherwise(0).cast("long").alias("slice"),
-        )
-        .groupBy(*keys, "name", "zone", "slice", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
+    salted = counted.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS).cast("long")))
+    placed = salted.join(repeated, [*keys, "__salt"]).select(
+        *keys, "__v", "__c", "__n", F.size(F.filter("__edges", lambda e: e < F.col("__v"))).alias("__block")
     )
-    ranked = running(
-        counted,
-        [*keys, "name"],
-        ["zone", "slice", "v"],
-        F.struct("zone", "slice"),
-        {"upto": ("sum", F.col("c"))},
-    )
-    targets = bounds.select(
-        *keys,
-        "__n",
-        F.explode(
-            F.concat(*[F.array(*_ranks(n, f, k, F.col("__n"))) for n, (f, k) in wanted.items()])
-        ).alias("t"),
-    ).select(*keys, "__n", "t.name", "t.side", "t.rank")
-    found = (
-        ranked.join(targets, [*keys, "name"])
-        .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
-        .select(
-            *keys,
-            "name",
-            "side",
-            "__n",
-            F.when(F.col("zone") == 1, F.col("v"))
-            .otherwise(F.raise_error(F.lit("percentile rank fell outside its bracket")))
-            .alias("v"),
-        )
-    )
-    picks = []
+    ranked = running(placed, keys, ["__v"], F.col("__block"), {"__upto": ("sum", F.col("__c"))})
+    n, upto, c = F.col("__n"), F.col("__upto"), F.col("__c")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < upto) & (rank >= upto - c), F.col("__v")))
+
+    picks, combined = [], []
     for name, (fraction, kind) in wanted.items():
-        at = lambda side, n=name: F.max(F.when((F.col("name") == n) & (F.col("side") == side), F.col("v")))
         if kind == "nearest":
-            picks.append(at("at").alias(name))
+            picks.append(at(F.greatest(F.lit(0), F.ceil(F.lit(fraction) * n).cast("long") - 1)).alias(name))
+            combined.append(F.col(name))
         else:
-            position = F.lit(fraction) * (F.max("__n") - 1)
-            low, high = at("low"), at("high")
-            picks.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return found.groupBy(*keys).agg(F.max("__n").alias("n"), *picks)
+            position = F.lit(fraction) * (n - 1)
+            picks += [at(F.floor(position)).alias(f"__low_{name}"), at(F.ceil(position)).alias(f"__high_{name}")]
+            low, high, share = F.col(f"__low_{name}"), F.col(f"__high_{name}"), F.lit(fraction) * (F.col("n") - 1)
+            combined.append((low + (high - low) * (share - F.floor(share))).alias(name))
+    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), *picks).select(*keys, "n", *combined)

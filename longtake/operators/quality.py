@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions.columns import folded_words, let
-from ..functions.languages import alias_table
+from ..functions.languages import COLLATION, alias_table
 
 MIN_JUDGED_CHARS = 40
 ECHO_WORDS = 6
@@ -159,10 +159,8 @@ def normalise_language(df: DataFrame, column: str, supported: list[str] | None =
     typed = F.trim(column)
     out = df
     for i, part in enumerate((typed, F.split_part(typed, F.lit("-"), F.lit(1)), F.split_part(typed, F.lit("_"), F.lit(1)))):
-        names = aliases.select(
-            F.collate("alias", "UNICODE_CI_AI").alias(f"__a{i}"), F.col("code").alias(f"__c{i}")
-        )
-        out = out.join(names, F.collate(part, "UNICODE_CI_AI") == F.col(f"__a{i}"), "left").drop(f"__a{i}")
+        names = aliases.select(F.col("alias").alias(f"__a{i}"), F.col("code").alias(f"__c{i}"))
+        out = out.join(names, F.collate(part, COLLATION) == F.col(f"__a{i}"), "left").drop(f"__a{i}")
     code = F.coalesce("__c0", "__c1", "__c2")
     if supported is not None:
         code = F.when(code.isin(supported), code)

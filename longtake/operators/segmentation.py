@@ -278,11 +278,14 @@ def split_runs(
         .drop("cell")
     )
     key = frames.schema["rec_id"].dataType.simpleString()
-    if longest <= size:
-        pieces = inside.groupBy(*RUN).applyInArrow(
-            _pieces, f"rec_id {key}, start_frame long, end_frame long"
-        )
-        return whole.unionByName(pieces).where(F.col("end_frame") > F.col("start_frame"))
+    # Each run that fits one block is cut in one task; only longer ones need links.
+    run_length = F.col("run_end") - F.col("run_start")
+    fitting = inside.where(run_length <= size).groupBy(*RUN)
+    pieces = fitting.applyInArrow(_pieces, f"rec_id {key}, start_frame long, end_frame long")
+    whole = whole.unionByName(pieces)
+    if longest <= size:  # no other runs
+        return whole.where(F.col("end_frame") > F.col("start_frame"))
+    inside = inside.where(run_length > size)
     relative = F.col("frame_idx") - F.col("run_start")
     own = F.floor(relative / size).cast("long")
     reach = F.col("max_frames") + F.col("end_frames") + 1

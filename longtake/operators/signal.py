@@ -19,13 +19,19 @@ WINDOW_SAMPLES = 512
 
 
 def frame_windows(df: DataFrame, column: str, frame: int = WINDOW_SAMPLES) -> DataFrame:
-    """Fixed windows of an array column, the last one padded with zeros; row by row, no shuffle."""
+    """Fixed windows of an array column, the last one padded with zeros; row by row, no shuffle.
+
+    Every window is cut from the array itself and only the last is copied to be padded, so the work
+    grows with the length of the array.
+    """
     size = F.size(column)
     count = F.ceil(size / frame).cast("int")
-    windows = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.slice(F.concat(F.col(column), F.array_repeat(F.lit(0.0), count * frame - size)), i * frame + 1, frame),
+    last = F.slice(column, (count - 1) * frame + 1, frame)
+    padded = F.concat(last, F.array_repeat(F.lit(0.0), count * frame - size))
+    full = F.transform(
+        F.slice(F.sequence(F.lit(0), count - 1), 1, count - 1), lambda i: F.slice(column, i * frame + 1, frame)
     )
+    windows = F.concat(full, F.array(padded))
     kept = [c for c in df.columns if c != column]
     return df.where(size > 0).select(*kept, F.posexplode(windows).alias("window_idx", "samples"))
 

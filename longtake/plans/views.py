@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ordered import numbered, running
-from ..session import stage
+from ..session import write_table
 
 FRAME_SECONDS = 0.032
 THRESHOLD = 0.5
@@ -49,15 +50,30 @@ def _k():
     return F.get_json_object("props", "$.k").cast("int")
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[tuple, str, StructType]] = {}
 
 
-def _written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table many queries share, written once per application."""
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table; empty where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return ()
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(where))
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table many queries share, written once for each state of its source table.
+
+    It is written anew when files of the source have changed or what was written is gone.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = stage(build())
-    return _WRITTEN[key]
+    state = _files(spark, f"{sf_dir}/{source}.parquet")
+    known = _WRITTEN.get(key)
+    if known is None or known[0] != state or not _files(spark, known[1]):
+        table = build()
+        known = _WRITTEN[key] = (state, write_table(table), table.schema)
+    return spark.read.schema(known[2]).parquet(known[1])
 
 
 def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +81,7 @@ def _numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "numbered_events",
+        "events",
         lambda: numbered(
             table(spark, sf_dir, "events"),
             ["user_id"],
@@ -295,6 +312,7 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "numbered_runs",
+        "events",
         lambda: numbered(
             table(spark, sf_dir, "events").withColumn("run_id", F.date_format("ts", "yyyy-MM-dd")),
             ["run_id"],
@@ -356,13 +374,14 @@ def run_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as a written table; its files serve as the input of streams."""
-    return _written(spark, sf_dir, "event_log", lambda: run_event_log(spark, sf_dir))
+    return _written(spark, sf_dir, "event_log", "events", lambda: run_event_log(spark, sf_dir))
 
 
 def stream_of(table: DataFrame, files_per_trigger: int = 2) -> DataFrame:
     """A stream over the files of a written table."""
     spark = table.sparkSession
-    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    plan = table._jdf.queryExecution().optimizedPlan().collectLeaves().head()
+    folder = plan.relation().location().rootPaths().head().toString()  # the folder, not its files
     return (
         spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
@@ -106,7 +108,7 @@ def top_2_newest_first(spark, sf):
     return catalog.newest_first(views.versions(spark, sf)).select("source", "version", "newest_no")
 
 
-ACTIVE = """, act AS (SELECT source, max(updated) AS activity FROM versions GROUP BY source ORDER BY activity DESC, source DESC LIMIT 25),
+ACTIVE = """, act AS (SELECT source, max(updated) AS activity FROM versions GROUP BY source ORDER BY activity DESC, source DESC),
 best AS (SELECT rtf FROM versions v JOIN act USING (source) WHERE status = 'completed' AND rtf > 0
   ORDER BY activity DESC, source DESC, created DESC, updated DESC, version DESC LIMIT 1)"""
 
@@ -178,7 +180,7 @@ def top_3_recent_texts(spark, sf):
     + " SELECT source, count(*) AS version_count, strftime(max(updated), '%Y-%m-%d') AS last_activity FROM versions GROUP BY source"
 )
 def snk_4_rebuild_catalog(spark, sf):
-    path = f"{work_folder(spark)}/catalog"
+    path = f"{work_folder(spark)}/catalog-{uuid.uuid4().hex}"
     catalog.rebuild_catalog(views.versions(spark, sf), path)
     again = catalog.rebuild_catalog(views.versions(spark, sf), path)
     return again.select("source", "version_count", F.date_format("last_activity", "yyyy-MM-dd").alias("last_activity"))
@@ -262,12 +264,14 @@ def col_7_render_md(spark, sf):
 FROM heads h JOIN cues c USING (job_id) GROUP BY h.job_id, h.backend"""
 )
 def col_7_render_json(spark, sf):
-    """The JSON payload and report parsed back; transcripts here have one part."""
+    """The JSON payload and report parsed back, their parts joined in order."""
     rows = _rendered(spark, sf, ["json", "report-json"])
-    content = rows.groupBy("job_id").agg(
-        F.max(F.when(F.col("format") == "json", F.col("content"))).alias("payload"),
-        F.max(F.when(F.col("format") == "report-json", F.col("content"))).alias("report"),
-    )
+
+    def whole(kind):
+        parts = F.collect_list(F.when(F.col("format") == kind, F.struct("part_no", "content")))
+        return F.array_join(F.transform(F.array_sort(parts), lambda p: p["content"]), "")
+
+    content = rows.groupBy("job_id").agg(whole("json").alias("payload"), whole("report-json").alias("report"))
     parsed = F.from_json("payload", "segments array<struct<text:string>>").getField("segments")
     return content.select(
         "job_id",
@@ -289,7 +293,7 @@ def agg_16_warnings(spark, sf):
 
 @BOOK.add("WITH " + CUES + " SELECT job_id, f.format, count(DISTINCT (n - 1) // 1000) AS parts FROM cues, (SELECT unnest(['txt', 'srt']) AS format) f GROUP BY ALL")
 def snk_3_publish(spark, sf):
-    path = f"{work_folder(spark)}/published"
+    path = f"{work_folder(spark)}/published-{uuid.uuid4().hex}"
     render.write_transcripts(_rendered(spark, sf, ["md", "srt", "txt"]), "srt, txt", path)
     return (
         spark.read.parquet(path)

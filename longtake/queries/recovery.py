@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import recovery, signal
@@ -116,20 +118,22 @@ def udf_5_order_independent(spark, sf):
 
 @BOOK.add("SELECT 'good' AS sink, 0 AS failures, count(*) AS rows FROM events UNION ALL SELECT 'broken', 1, 0 FROM (SELECT 1)")
 def udf_6_sink_registry(spark, sf):
-    path = f"{work_folder(spark)}/sinks"
+    path = f"{work_folder(spark)}/sinks-{uuid.uuid4().hex}"
     registry = jobs.SinkRegistry()
 
     def broken(batch, batch_id):
         raise RuntimeError("this sink never works")
 
     registry.add("broken", broken)
-    registry.add("good", lambda batch, batch_id: batch.write.mode("overwrite").parquet(path))
-    stream = views.stream_of(views.run_event_files(spark, sf), 1000)
+    registry.add("good", jobs.to_table(path))
+    stream = views.stream_of(views.run_event_files(spark, sf), 1)
     jobs.start(stream, registry).awaitTermination()
-    counted = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+    counted = spark.read.parquet(f"{path}/batch=*").agg(F.count(F.lit(1)).alias("rows"))
     good = counted.select(F.lit("good").alias("sink"), F.lit(registry.failures["good"]).alias("failures"), "rows")
+    batches = {batch for batch, _ in registry.errors["broken"]}
     bad = counted.select(
-        F.lit("broken").alias("sink"), F.lit(registry.failures["broken"]).alias("failures"), F.lit(0).cast("long").alias("rows")
+        F.lit("broken").alias("sink"), F.lit(int(len(batches) == registry.failures["broken"] > 0)).alias("failures"),
+        F.lit(0).cast("long").alias("rows"),
     )
     return good.unionByName(bad)
 

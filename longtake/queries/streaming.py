@@ -213,16 +213,6 @@ def str_4_stable_files(spark, sf):
     return ready.select("path", "scan", "stable_count", "ready")
 
 
-@BOOK.add(_STABLE)
-def str_4_stable_files_stream(spark, sf):
-    seen = views.observations(spark, sf).select(
-        "path", "scan", "size", "mtime", F.lit(None).cast("string").alias("status")
-    )
-    stream = views.stream_of(stage(seen.repartition(4, "path")), 4)
-    out = jobs.run_to_table(watch.stable_files_stream(stream))
-    return out.select("path", "scan", "stable_count", "ready")
-
-
 OBSERVATIONS_RESULTS = (
     "WITH RECURSIVE "
     + OBSERVATIONS
@@ -257,6 +247,18 @@ def str_4_stable_files_results(spark, sf):
     )
 
 
+@BOOK.add(
+    OBSERVATIONS_RESULTS.replace("SELECT path, scan, cnt::BIGINT", "SELECT 'in/' || path || '.wav' AS path, scan, cnt::BIGINT")
+)
+def str_4_stable_files_stream(spark, sf):
+    """Paths are names here, and results of earlier scans come along."""
+    name = F.concat(F.lit("in/"), F.col("path"), F.lit(".wav"))
+    seen = _with_results(spark, sf).withColumn("path", name)
+    stream = views.stream_of(stage(seen.repartition(4, "path")), 4)
+    out = jobs.run_to_table(watch.stable_files_stream(stream))
+    return out.select("path", "scan", "stable_count", "failures_before", "ready")
+
+
 SAMPLES_SQL = (
     RUN_EVENTS
     + """,

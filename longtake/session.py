@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,14 +44,18 @@ def local_session(cores: int | str = 8, name: str = "longtake", **extra: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only a session on one machine may name none; it gets a temporary folder. Elsewhere a folder of
+    this machine would be out of the executors' reach, so that is an error.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors of {master} share")
+        folder = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -65,7 +72,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="run-", dir="/tmp")) / f"{package.name}.zip"
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
@@ -73,9 +80,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_TIDIED: set[str] = set()
+
+
 def work_folder(spark: SparkSession) -> str:
-    """This application's part of the shared folder; it can be dropped when the job is over."""
-    return f"{shared_folder(spark)}/longtake-{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder; dropped when its Python process ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _TIDIED:
+        _TIDIED.add(application)
+        atexit.register(_release_at_end, spark)
+    return f"{shared_folder(spark)}/longtake-{application}"
+
+
+def _release_at_end(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            release(spark)
 
 
 def release(spark: SparkSession) -> None:

@@ -15,7 +15,10 @@ CHECKPOINT = (
 def read_state(
     spark: SparkSession, path: str, schema: str, *, multi_line: bool = True
 ) -> DataFrame:
-    """Documents that fit ``schema``; broken ones count as missing, never as an error."""
+    """Documents that fit ``schema``; broken ones count as missing, and so does a missing folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
     with_corrupt = f"{schema}, {CORRUPT} string"
     rows = spark.read.json(path, schema=with_corrupt, multiLine=multi_line, mode="PERMISSIVE")
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)

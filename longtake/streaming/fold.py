@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..operators.ordered import first_per_key
 
 MARKS_PER_PART = 1000
-MAX_PLAN_CHUNKS = 50_000
 
 
 def _data(key: str) -> Column:
@@ -136,10 +135,10 @@ def recent_activity(events: DataFrame, n: int = 40) -> DataFrame:
 
 
 def plans(events: DataFrame) -> DataFrame:
-    """Per run: size of the last plan and when it was made; oversized plans are ignored."""
+    """Per run: size of the last plan and when it was made."""
     size = _data("planned").cast("long")
     return (
-        events.where(_is("job.prepared") & (size <= MAX_PLAN_CHUNKS))
+        events.where(_is("job.prepared") & size.isNotNull())
         .groupBy("run_id")
         .agg(F.max("seq").alias("plan_seq"), F.max_by(size, "seq").alias("planned"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -116,8 +117,14 @@ def snapshots_due(events: DataFrame, seconds: float = STATUS_SECONDS) -> DataFra
     )
 
 
-def follow(stream: DataFrame, run_id: str, path: str, *, every: str = "1 second", timeout: float = 60.0) -> DataFrame:
-    """Copy the events of one run until it has finished, then stop."""
+def follow(
+    stream: DataFrame, run_id: str, path: str, *, every: str = "1 second", timeout: float | None = None
+) -> DataFrame:
+    """Copy the events of one run until it has finished, then stop.
+
+    A stream that fails or ends before that, and a run that outlasts a given ``timeout``, are
+    errors: an incomplete copy is never returned.
+    """
     over = threading.Event()
     sink = to_table(path)
 
@@ -127,27 +134,38 @@ def follow(stream: DataFrame, run_id: str, path: str, *, every: str = "1 second"
             over.set()
 
     query = start(stream.where(F.col("run_id") == run_id), copy, every=every)
+    deadline = None if timeout is None else time.monotonic() + timeout
     try:
-        over.wait(timeout)
+        while not over.wait(0.2):
+            if not query.isActive and not over.is_set():
+                raise query.exception() or RuntimeError(f"the stream ended before run {run_id} did")
+            if deadline is not None and time.monotonic() > deadline:
+                raise TimeoutError(f"run {run_id} had not finished after {timeout} seconds")
     finally:
         query.stop()
     return stream.sparkSession.read.option("basePath", path).parquet(f"{path}/batch=*")
 
 
 class SinkRegistry:
-    """Named sinks for a batch; one that fails is counted and does not stop the others."""
+    """Named sinks for a batch; one that fails is counted and does not stop the others.
+
+    ``errors`` keeps (batch, message) of every failure, so that the batch can be replayed into it.
+    """
 
     def __init__(self) -> None:
         self.sinks: dict[str, Callable[[DataFrame, int], None]] = {}
         self.failures: dict[str, int] = {}
+        self.errors: dict[str, list[tuple[int, str]]] = {}
 
     def add(self, name: str, sink: Callable[[DataFrame, int], None]) -> None:
         self.sinks[name] = sink
         self.failures.setdefault(name, 0)
+        self.errors.setdefault(name, [])
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         for name, sink in self.sinks.items():
             try:
                 sink(batch, batch_id)
-            except Exception:
+            except Exception as problem:
                 self.failures[name] += 1
+                self.errors[name].append((batch_id, str(problem)))

@@ -75,21 +75,26 @@ def stable_files(
     )
 
 
-_OUT = "path long, scan long, stable_count long, failures_before long, ready boolean"
 _STATE = (
     "scan long, size long, mtime long, count long, done_size long, done_mtime long, "
     "try_size long, try_mtime long, tries long"
 )
 
 
-def _watch(stable_scans: int, limit: int):
+def _watch(stable_scans: int, limit: int, forget: int | None):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("scan")
         scan, size, mtime, count, ds, dm, ts, tm, tries = (
             state.get if state.exists else (-9, -1, -1, 0, -1, -1, -1, -1, 0)
         )
         out = []
         for row in rows.itertuples():
+            if row.scan <= scan:  # behind a scan that has been answered: no count can be right now
+                out.append((key[0], row.scan, None, None, False))
+                continue
             known = row.size_ == size and row.mtime == mtime
             count = count + 1 if known and row.scan == scan + 1 else 1
             if (ts, tm) != (row.size_, row.mtime):
@@ -104,20 +109,30 @@ def _watch(stable_scans: int, limit: int):
                 if tries >= limit:
                     ds, dm = size, mtime
         state.update(tuple(int(x) for x in (scan, size, mtime, count, ds, dm, ts, tm, tries)))
-        yield pd.DataFrame(out, columns=["path", "scan", "stable_count", "failures_before", "ready"])
+        if forget is not None:
+            state.setTimeoutDuration(forget)
+        columns = ["path", "scan", "stable_count", "failures_before", "ready"]
+        yield pd.DataFrame(out, columns=columns).astype({"stable_count": "Int64", "failures_before": "Int64"})
 
     return step
 
 
 def stable_files_stream(
-    observations: DataFrame, *, stable_scans: int = 2, retries: int = 2
+    observations: DataFrame, *, stable_scans: int = 2, retries: int = 2, forget_days: float | None = None
 ) -> DataFrame:
     """The same over a stream of ``(path, scan, size, mtime, status)``; scans arrive in order.
 
-    The state of a path is one small row. A batch of one path holds only the scans since the
-    last trigger.
+    A scan that arrives after a later one of its path comes out without counts and changes nothing.
+    The state of a path is one small row, dropped when nothing was seen of it for ``forget_days``;
+    such a stream wakes up for its timeouts, so it never runs out as ``availableNow`` asks for.
+    A batch of one path holds only the scans since the last trigger.
     """
+    kind = observations.schema["path"].dataType.simpleString()
+    result = f"path {kind}, scan long, stable_count long, failures_before long, ready boolean"
+    lasting = forget_days is None
+    step = _watch(stable_scans, retries + 1, None if lasting else int(forget_days * 86_400_000))
+    timeout = GroupStateTimeout.NoTimeout if lasting else GroupStateTimeout.ProcessingTimeTimeout
     named = observations.select("path", "scan", F.col("size").alias("size_"), "mtime", "status")
     return named.groupBy("path").applyInPandasWithState(
-        _watch(stable_scans, retries + 1), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
+        step, result, _STATE, "append", timeout
     )

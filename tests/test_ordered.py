@@ -58,15 +58,13 @@ def test_neighbours_and_numbers(table):
     assert no["i"].tolist() == pdf.groupby("key").cumcount().tolist()
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_percentiles(spark, monkeypatch, small):
-    """With ``small`` at 0 every key goes through the sketch and its bracket."""
-    monkeypatch.setattr(percentiles, "SMALL", small)
-    monkeypatch.setattr(percentiles, "SLACK", 0.02)
+@pytest.mark.parametrize("blocks", [1, 2, 32])
+def test_percentiles(spark, monkeypatch, blocks):
+    """The number of blocks changes no result."""
+    monkeypatch.setattr(percentiles, "BLOCKS", blocks)
     rng = np.random.default_rng(1)
     data = {"hot": rng.normal(size=3000), "same": np.full(900, 2.5), "steps": rng.integers(0, 7, 2000) * 1.0}
-    if small:
-        data |= {"one": np.array([4.0]), "two": np.array([1.0, 2.0]), "eleven": rng.normal(size=11)}
+    data |= {"one": np.array([4.0]), "two": np.array([1.0, 2.0]), "eleven": rng.normal(size=11)}
     rows = [(k, float(x)) for k, xs in data.items() for x in xs] + [("hot", None)]
     df = stage(spark.createDataFrame(rows, "key string, v double"))
     wanted = {"p10": (0.1, "nearest"), "p95": (0.95, "nearest"), "l10": (0.1, "linear"), "l95": (0.95, "linear"), "top": (1.0, "nearest")}

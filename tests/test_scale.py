@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,42 @@ def test_hot_percentiles_and_summaries(spark, partitions):
     assert (row.total_chunks, row.chunks_ok, row.attempts, row.token_calls) == (1000, 1000, 3000, 1500)
     assert (row.request_seconds_sum, row.audio_seconds_sent, row.tokens_sum, row.tokens_p95) == (3000.0, 0.0, 6000.0, 4.0)
     assert row.real_time_factor is None and row.effective_concurrency is None
+
+
+def test_a_value_that_holds_most_of_a_key_is_one_row(spark, partitions):
+    """Nine of ten values are the floor level: no task reads more than its share of the rest."""
+    partitions(8)
+    rows = spark.range(40_000).select(
+        F.lit("k").alias("key"), F.when(F.col("id") % 10 > 0, -90.0).otherwise(-F.col("id") / 1000.0).alias("v")
+    )
+    found = exact_percentiles(stage(rows), ["key"], F.col("v"), {"low": (0.5, "nearest"), "high": (0.95, "nearest")}).first()
+    assert (found.n, found.low, found.high) == (40_000, -90.0, sorted(-i / 1000.0 if i % 10 == 0 else -90.0 for i in range(40_000))[37_999])
+    counted = rows.groupBy("key", "v").count()
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(32)))
+    assert salted.groupBy("salt").count().agg(F.max("count")).first()[0] < 3 * counted.count() / 32
+
+
+def test_windows_of_a_long_array_take_linear_time(spark):
+    def seconds(n):
+        rows = stage(spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("double")).alias("s")))
+        began = time.monotonic()
+        signal.frame_windows(rows, "s").write.format("noop").mode("overwrite").save()
+        return time.monotonic() - began
+
+    seconds(200_000)
+    assert seconds(1_600_000) < 16 * max(seconds(200_000), 0.25)
+
+
+def test_runs_on_both_sides_of_a_block(spark, monkeypatch):
+    """One huge run and middling ones: each is cut by its own length, borders included."""
+    rows, recs = [], []
+    for rec, n in enumerate((63, 64, 65, 700, 30)):
+        rows += [(rec, i, 0.9 if i % 9 else 0.3) for i in range(n)]
+        recs.append((rec, 0.032, 0.5, n * 0.032))
+    frames = stage(spark.createDataFrame(rows, "rec_id long, frame_idx long, prob double"))
+    recordings = spark.createDataFrame(recs, "rec_id long, frame_seconds double, threshold double, total_seconds double")
+    s = SegmentationSettings(max_chunk_seconds=0.64, speech_pad_seconds=0.032, min_silence_seconds=0.08)
+    runs = stage(seg.speech_runs(frames, recordings, s))
+    cut = lambda levels: sorted(tuple(r) for r in seg.split_runs(runs, frames, recordings, s, levels=levels).collect())
+    whole = cut((1 << 16, 1 << 28))
+    assert len(whole) > 30 and cut((64, 256)) == whole == cut((32, 128))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import threading
 
 import pytest
 
@@ -143,3 +144,86 @@ def test_waveform_and_curve_bins(spark):
     for r in data:
         starts = [w.start for w in windows if w.rec_id == r]
         assert all(abs(a - b) >= 0.5 for i, a in enumerate(starts) for b in starts[:i])
+
+
+def run_log(folder, name, lines):
+    (folder / f".{name}").write_text("\n".join(lines) + "\n")
+    (folder / f".{name}").rename(folder / name)
+
+
+def test_follow_waits_for_the_end_or_fails(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    run_log(log, "a.jsonl", LOG)
+    stream = source.read_events(spark, str(log), stream=True)
+    with pytest.raises(TimeoutError):
+        jobs.follow(stream, "r", f"{tmp_path}/early", every="100 milliseconds", timeout=2)
+    late = threading.Timer(3, run_log, (log, "b.jsonl", [event(17, "run.finished", {}, None)]))
+    late.start()
+    copied = jobs.follow(stream, "r", f"{tmp_path}/whole", every="100 milliseconds")
+    late.join()
+    assert copied.count() == len(LOG) + 1
+
+    class Broken(Exception):
+        pass
+
+    def fail(x):
+        raise Broken
+
+    broken = stream.withColumn("seq", F.udf(fail, "long")("seq"))
+    with pytest.raises(Exception, match="Broken"):
+        jobs.follow(broken, "r", f"{tmp_path}/broken", every="100 milliseconds")
+
+
+def test_large_plans_have_a_map(spark):
+    rows = [("r", 1, "job.prepared", '{"planned": 60000}'), ("r", 2, "chunk.started", '{"index": 59999}')]
+    events = spark.createDataFrame(rows, "run_id string, seq long, type string, data string")
+    parts = fold.chunk_map(fold.plans(events), fold.chunk_marks(events)).orderBy("part_no").collect()
+    assert len(parts) == 60 and "".join(p.marks for p in parts) == "." * 59_999 + "a"
+
+
+def test_every_batch_reaches_a_sink_and_failures_are_kept(spark, log_dir, tmp_path):
+    events = stage(source.read_events(spark, log_dir).repartition(3))
+    registry = jobs.SinkRegistry()
+    registry.add("good", jobs.to_table(f"{tmp_path}/sink"))
+
+    def broken(batch, batch_id):
+        raise RuntimeError(f"no place for batch {batch_id}")
+
+    registry.add("broken", broken)
+    jobs.start(stream_of(events, 1), registry).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/sink/batch=*").count() == len(LOG)
+    assert len(registry.errors["broken"]) == registry.failures["broken"] > 1
+    assert registry.errors["broken"][0] == (0, "no place for batch 0")
+
+
+def test_late_scans_of_named_files_change_nothing(spark, tmp_path):
+    schema = "path string, scan long, size long, mtime long, status string"
+    first = [("/a.wav", 1, 5, 5, None), ("/a.wav", 2, 5, 5, None)]
+    late = [("/a.wav", 1, 9, 9, None), ("/a.wav", 3, 5, 5, None)]
+    for rows in (first, late):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/seen")
+        jobs.start(
+            watch.stable_files_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/seen")),
+            jobs.to_table(f"{tmp_path}/out{len(rows)}{rows[1][1]}"), checkpoint=f"{tmp_path}/state",
+        ).awaitTermination()
+    got = [tuple(r)[:5] for r in spark.read.parquet(f"{tmp_path}/out22/batch=*", f"{tmp_path}/out23/batch=*").orderBy("scan", "ready").collect()]
+    assert sorted(got, key=str) == sorted(
+        [("/a.wav", 1, 1, 0, False), ("/a.wav", 2, 2, 0, True), ("/a.wav", 1, None, None, False), ("/a.wav", 3, 3, 0, True)], key=str
+    )
+
+
+def test_missing_state_is_no_state(spark, tmp_path):
+    assert state.read_state(spark, f"{tmp_path}/nowhere", state.CHECKPOINT).count() == 0
+
+
+def test_written_views_follow_their_table(spark, tmp_path):
+    from longtake import session
+    from longtake.plans import views
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for n in (50, 80):
+        events.limit(n).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        assert views.frames(spark, str(tmp_path)).count() == n
+    session.release(spark)
+    assert views.frames(spark, str(tmp_path)).count() == 80
