@@ -17,6 +17,7 @@ from .near import mixed
 from .tokens import MEMO_LETTERS, MEMO_WORDS, shard_bounds
 
 ROUNDS = 2
+STRETCH = 200_000  # words that are named at once
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 _B_BACK = np.uint64(pow(int(_B), -1, 1 << 64))
 _ONE = np.uint64(1)
@@ -41,6 +42,9 @@ class Names:
         return np.fromiter((memo.get(w) or slow(w) for w in words), np.uint64, len(words))
 
 
+_NAMES = Names()  # of this Python worker
+
+
 def window_names(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """A name for the ``width`` words at each start that depends on these words alone.
 
@@ -119,26 +123,42 @@ def unpack_names(data: bytes, n: int) -> np.ndarray:
 
 
 class Chunk:
-    """The windows of some whole documents: their names, and the documents they start in."""
+    """The windows of some whole documents: their names, and the documents they start in.
+
+    Names do not depend on what stands around a window, so they are made for a stretch of documents
+    at a time, and only names stay: eight bytes per window.
+    """
 
-    def __init__(self, group: pd.DataFrame, width: int, memo: Names):
+    def __init__(self, group: pd.DataFrame, width: int):
         null = group["doc_id"].isna().to_numpy()
         self.doc_ids = [None if x else int(d) for x, d in zip(null, group["doc_id"], strict=True)]
-        self.words = [bare(t) for t in group["text"]]
-        lengths = np.asarray([len(w) for w in self.words], np.int64)
+        self.texts = group["text"]
+        lengths, names, words, starts = [], [np.zeros(0, np.uint64)], [], []
+
+        def name() -> None:
+            if starts:
+                names.append(window_names(_NAMES.of(words), np.concatenate(starts), width))
+            words.clear()
+            starts.clear()
+
+        for text in self.texts:
+            mine = bare(text)
+            lengths.append(len(mine))
+            if len(mine) >= width:
+                starts.append(np.arange(len(words), len(words) + len(mine) - width + 1))
+                words += mine
+                if len(words) >= STRETCH:
+                    name()
+        name()
+        lengths = np.asarray(lengths, np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         ranks = {d: r for r, d in enumerate(sorted({d for d in self.doc_ids if d is not None}), 1)}
-        rank = np.asarray([ranks.get(d, 0) for d in self.doc_ids], np.int64)
+        rank = np.asarray([ranks.get(d, 0) for d in self.doc_ids], np.int32)
         counts = np.maximum(lengths - width + 1, 0)
-        total = int(counts.sum())
-        owner = np.repeat(np.arange(len(counts)), counts)
-        self.starts = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + self.offsets[owner]
-        self.ranks = rank[owner]
-        if total:
-            every = memo.of([w for words in self.words for w in words])
-            self.names = window_names(every, self.starts, width)
-        else:
-            self.names = np.zeros(0, np.uint64)
+        shift = self.offsets[:-1] - (np.cumsum(counts) - counts)
+        self.starts = np.arange(int(counts.sum())) + np.repeat(shift, counts)
+        self.ranks = np.repeat(rank, counts)
+        self.names = np.concatenate(names)
 
     def distinct(self) -> np.ndarray:
         return np.unique(self.names)
@@ -148,7 +168,7 @@ class Chunk:
         marks = np.zeros(self.offsets[-1] + 1, np.int64)
         if len(self.names):
             _, which = np.unique(self.names, return_inverse=True)
-            lowest = np.full(len(earlier), np.iinfo(np.int64).max)
+            lowest = np.full(len(earlier), np.iinfo(np.int32).max, np.int32)
             np.minimum.at(lowest, which, self.ranks)
             gone = self.starts[earlier[which] | (lowest[which] < self.ranks)]
             np.add.at(marks, gone, 1)
@@ -156,7 +176,7 @@ class Chunk:
         return np.cumsum(marks)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, *, chunk_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, *, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every row without the words of repeated windows.
 
     A word goes if a window of ``width`` words over it also starts in a document with a smaller
@@ -172,7 +192,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, *, chunk_bytes: int = 16 <<
     bounds = np.asarray(shard_bounds(docs, chunk_bytes), np.int64)
     shared = spark.sparkContext.broadcast(bounds)  # 8 bytes per chunk
     chunks = len(bounds) + 1
-    bits = max(0, (chunks - 1).bit_length())
+    bits = max(0, (chunks // 2).bit_length())
 
     @F.pandas_udf("int")
     def chunk_of(doc_id: pd.Series) -> pd.Series:
@@ -191,7 +211,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, *, chunk_bytes: int = 16 <<
     spark.sql(f"DROP TABLE {name}")  # only the name; the files stay
 
     def reveal(group: pd.DataFrame) -> pd.DataFrame:
-        names = Chunk(group, width, Names()).distinct()
+        names = Chunk(group, width).distinct()
         edges = np.searchsorted(names >> np.uint64(64 - bits) if bits else np.zeros(len(names)), np.arange((1 << bits) + 1))
         rows = [
             (b, group["chunk"].iloc[0], edges[b + 1] - edges[b], pack_names(names[edges[b] : edges[b + 1]]))
@@ -212,12 +232,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, *, chunk_bytes: int = 16 <<
         return group.drop(columns="names").assign(bits=[np.packbits(p).tobytes() for p in parts])
 
     def remove(key: tuple, group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(group, width, Names())
+        chunk = Chunk(group, width)
         replies = replies.sort_values("bucket")
         known = [np.unpackbits(np.frombuffer(d, np.uint8), count=n) for d, n in zip(replies["bits"], replies["n"], strict=True)]
         gone = chunk.covered(np.concatenate([np.zeros(0, np.uint8), *known]).astype(bool), width)
         rows = []
-        for k, (doc_id, words) in enumerate(zip(chunk.doc_ids, chunk.words, strict=True)):
+        for k, (doc_id, text) in enumerate(zip(chunk.doc_ids, chunk.texts, strict=True)):
+            words = bare(text)
             mine = gone[chunk.offsets[k] : chunk.offsets[k + 1]]
             kept = [w for w, g in zip(words, mine.tolist(), strict=True) if not g] if mine.any() else words
             rows.append((None if doc_id is None else str(doc_id), len(words), len(words) - len(kept), b" ".join(kept).decode()))
