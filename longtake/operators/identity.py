@@ -6,6 +6,7 @@ import json
 import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,30 @@ def identify(sources: DataFrame, block: int = KEY_BLOCK) -> DataFrame:
     )
 
 
+def file_key(path: str, block: int = KEY_BLOCK) -> str:
+    """The same key as ``source_key`` from two ranges of a stored file; the rest is not read."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as source:
+        size = source.size()
+        head = source.read_at(min(block, size), 0)
+        tail = source.read_at(min(block, size), max(0, size - block))
+    return hashlib.sha256(f"{size}:".encode() + head + tail).hexdigest()[:KEY_LENGTH]
+
+
+def identify_files(listing: DataFrame, block: int = KEY_BLOCK) -> DataFrame:
+    """``listing(path, relative, …)`` with key, stem and folder, for files of any size."""
+
+    def keys(paths: pd.Series) -> pd.Series:
+        return pd.Series([file_key(p, block) for p in paths], dtype="str")
+
+    key = F.pandas_udf(keys, "string")("path")
+    return listing.withColumns({"source_key": key, "stem": safe_stem(F.col("relative"))}).withColumn(
+        "folder", F.concat_ws("-", "stem", "source_key")
+    )
+
+
 def duplicates(identified: DataFrame) -> DataFrame:
     """Keys carried by more than one source: how many, and the first name."""
     return (

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 # Suffixes of recordings, and folder names that are never searched.
 SUFFIXES = [
     "aac", "aif", "aiff", "alac", "avi", "flac", "m4a", "m4v", "mkv", "mov",
     "mp3", "mp4", "mpeg", "mpg", "ogg", "opus", "wav", "webm", "wma", "wmv",
 ]
 EXCLUDED = [".git", "process", "output"]
+FOLDER_TASKS = 64
 
 
 def filter_media(listing: DataFrame, path: str = "path") -> DataFrame:
@@ -20,21 +26,44 @@ def filter_media(listing: DataFrame, path: str = "path") -> DataFrame:
     return listing.where(suffix.isin(SUFFIXES) & ~hidden)
 
 
+_ENTRIES = "path string, relative string, length long, modificationTime timestamp, folder boolean"
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies directly in each folder, whatever its name starts with."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, relative in zip(batch["path"], batch["relative"], strict=True):
+            store, folder = fs.FileSystem.from_uri(path)
+            found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            if found:
+                yield pd.DataFrame(
+                    {
+                        "path": [f"{path.rstrip('/')}/{f.base_name}" for f in found],
+                        "relative": [f"{relative}{f.base_name}" for f in found],
+                        "length": [f.size or 0 for f in found],
+                        "modificationTime": pd.to_datetime([f.mtime_ns for f in found], utc=True).floor("us"),
+                        "folder": [f.type == fs.FileType.Directory for f in found],
+                    }
+                )
+
+
 def list_media(spark: SparkSession, root: str) -> DataFrame:
     """``(path, relative, length, modificationTime)`` below ``root``, in case-folded order.
 
-    Only the listing is read: the content column is pruned. Spark itself leaves out names that
-    start with an underscore.
+    Folders are listed level by level, each level by many tasks; no file is opened. Spark's own
+    file sources leave out names that start with an underscore, so they are not used here.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length", "modificationTime")
-    )
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    base = "/" + root.removeprefix("file:").strip("/") + "/"
-    relative = F.substr(plain, F.lit(len(base) + 1))
-    return filter_media(files.withColumn("relative", relative), "relative").orderBy(
-        F.lower("relative"), "relative"
-    )
+    found = spark.createDataFrame([], _ENTRIES)
+    level = spark.createDataFrame([(root, "")], "path string, relative string")
+    while True:
+        listed = stage(level.mapInPandas(_entries, _ENTRIES))
+        found = found.union(listed.where("not folder"))
+        name = F.regexp_extract("relative", r"([^/]*)$", 1)
+        inner = listed.where(F.col("folder") & ~name.startswith(".") & ~name.isin(EXCLUDED))
+        level = inner.select("path", F.concat("relative", F.lit("/")).alias("relative")).repartition(FOLDER_TASKS)
+        if inner.isEmpty():
+            break
+    kept = filter_media(found, "relative").select("path", "relative", "length", "modificationTime")
+    return kept.orderBy(F.lower("relative"), "relative")

@@ -23,10 +23,18 @@ def _checkpoint(df: DataFrame) -> str:
 
 
 def ingest_events(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Each (run, seq) once, even when a writer or a file is replayed within the delay."""
+    """Each (run, seq) once, even when a writer or a file is replayed within the delay.
+
+    Rows that are later than the delay are left out; ``dropped_late`` counts them for a query.
+    """
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "seq"])
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows of the recent batches that came behind the watermark and were left out."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
 def start(
     df: DataFrame,
     sink: Callable[[DataFrame, int], None],

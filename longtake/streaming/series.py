@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import first_per_key, neighbours
+from ..operators.ordered import first_per_key, neighbours, running
 from ..schemas import RESOURCE_KEYS
 
 SEQ_BLOCK = 1 << 16
@@ -123,7 +123,20 @@ def stalls(events: DataFrame, gap_seconds: int = STALL_SECONDS) -> DataFrame:
 
 
 def activity_sessions(events: DataFrame, gap_seconds: int = STALL_SECONDS) -> DataFrame:
-    """Stretches without a stall, as session windows; a closed one marks the start of a stall."""
+    """Stretches of a run without a stall, in order of its events; no run lies in one task."""
+    active = events.where(F.col("type") != "resource.sample").select("run_id", "seq", "ts")
+    block = F.floor(F.col("seq") / SEQ_BLOCK)
+    seen = neighbours(active, ["run_id"], ["seq"], block, before={"idle_from": F.col("ts")})
+    idle = (F.unix_micros("ts") - F.unix_micros("idle_from")) / 1e6
+    opens = F.when(idle.isNull() | (idle >= gap_seconds), 1).otherwise(0).cast("long")
+    named = running(seen, ["run_id"], ["seq"], block, {"session": ("sum", opens)})
+    return named.groupBy("run_id", "session").agg(
+        F.min("ts").alias("first_event"), F.max("ts").alias("last_event"), F.count(F.lit(1)).alias("events")
+    )
+
+
+def activity_sessions_stream(events: DataFrame, gap_seconds: int = STALL_SECONDS) -> DataFrame:
+    """The same over a stream with a watermark: a closed session is a run that has stalled since."""
     active = events.where(F.col("type") != "resource.sample")
     return (
         active.groupBy("run_id", F.session_window("ts", f"{gap_seconds} seconds").alias("s"))

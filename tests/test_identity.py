@@ -81,3 +81,24 @@ def test_estimate_falls_back_to_the_default(spark):
     rows = catalog.estimate_queue(queue, versions).orderBy("id").collect()
     assert (rows[0].estimate_seconds, rows[0].estimate) == (40.0, "40.0 s")
     assert (rows[1].estimate_seconds, rows[1].estimate) == (None, None)
+
+
+def test_files_of_any_size_have_the_key_of_their_ranges(spark, tmp_path):
+    import hashlib
+
+    data = {"a.wav": b"head" + b"x" * 90 + b"tail", "b.wav": b"short", "c.wav": b""}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    big = tmp_path / "big.wav"
+    with open(big, "wb") as out:  # mostly a hole: over 2 GB and no room taken
+        out.write(b"first")
+        out.seek((2 << 30) + 100)
+        out.write(b"last!")
+    rows = [(str(tmp_path / n), n) for n in [*data, "big.wav"]]
+    found = identity.identify_files(spark.createDataFrame(rows, "path string, relative string"), 16)
+    got = {r.relative: (r.source_key, r.stem) for r in found.collect()}
+    content = spark.createDataFrame([(n, bytearray(c)) for n, c in data.items()], "name string, content binary")
+    assert {n: k for n, (k, _) in got.items() if n != "big.wav"} == {r.name: r.source_key for r in identity.identify(content, 16).collect()}
+    size = (2 << 30) + 105
+    want = hashlib.sha256(f"{size}:".encode() + b"first" + b"\0" * 11 + b"\0" * 11 + b"last!").hexdigest()[:12]
+    assert got["big.wav"] == (want, "big")

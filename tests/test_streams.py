@@ -115,12 +115,14 @@ def test_rate_history_and_gaps(spark):
 
 
 def test_listing_and_state(spark, tmp_path):
-    for name in ("a/B.WAV", "a/c.mp3", ".git/d.wav", "process/e.wav", "a/.f.wav", "g.txt", "H.flac"):
+    for name in ("a/B.WAV", "a/c.mp3", ".git/d.wav", "process/e.wav", "a/.f.wav", "g.txt", "H.flac", "_x/_y.wav"):
         target = tmp_path / "in" / name
         os.makedirs(target.parent, exist_ok=True)
         target.write_bytes(b"x" * 3)
     rows = media.list_media(spark, str(tmp_path / "in")).collect()
-    assert [r.relative for r in rows] == ["a/B.WAV", "a/c.mp3", "H.flac"]
+    assert [r.relative for r in rows] == ["_x/_y.wav", "a/B.WAV", "a/c.mp3", "H.flac"]
+    assert all(r.length == 3 and open(r.path, "rb").read() == b"xxx" for r in rows)
+    assert media.list_media(spark, f"{tmp_path}/nowhere").count() == 0
     docs = tmp_path / "state"
     docs.mkdir()
     (docs / "good.json").write_text('{\n "job_id": 1,\n "chunks": {"0": [], "2": [{"start": 0, "end": 1, "text": "x"}]}\n}')
