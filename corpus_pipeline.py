@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from longtake.llm import decontaminate, mixing, near, rules, tokens
-from longtake.llm.common import table
+from longtake.llm.common import prepare, table
 from longtake.llm.queries import tokenizer_path
-from longtake.session import ship, stage
+from longtake.session import stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    ship(spark)
+    prepare(spark)
     return rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, that of the smallest doc_id."""
-    ship(spark)
+    prepare(spark)
     return near.first_of_class(docs)
 
 
@@ -33,13 +33,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    ship(spark)
+    prepare(spark)
     return mixing.mix(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards."""
-    ship(spark)
+    prepare(spark)
     return tokens.read_documents(spark, tokens.write_shards(docs, tokenizer_path())).drop("shard")
 
 

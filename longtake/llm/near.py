@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import bare
 
-MEMO_WORDS, MEMO_LETTERS = 400_000, 64
+MEMO_WORDS, MEMO_LETTERS = 200_000, 64
 SIGNATURE = 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -7,9 +7,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
 from . import chat, decontaminate, mixing, near, privacy, quality_model, rules, shards, substrings, tokens
-from .common import table, text_of
+from .common import prepare, table, text_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +18,7 @@ def query(sql: str | None = None):
     def register(function):
         @wraps(function)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            prepare(spark)
             return function(spark, sf_dir)
 
         QUERIES[function.__name__] = run
