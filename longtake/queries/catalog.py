@@ -39,7 +39,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, versio
 meta AS (SELECT o_custkey AS source, o_orderkey AS version,
     CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN NULL ELSE 'incomplete' END AS status,
     CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS model, CASE WHEN o_orderstatus = 'P' THEN 'cfg' END AS config_model, o_custkey % 40 AS chunk_count
-  FROM orders WHERE o_orderpriority <> '1-URGENT'),
+  FROM orders),
 joined AS (
   SELECT coalesce(m.source, b.source) AS source, coalesce(m.version, b.version) AS version,
     coalesce(m.status, CASE WHEN b.kind IN ('final', 'private') THEN 'completed' ELSE 'incomplete' END) AS status,
@@ -50,7 +50,7 @@ joined AS (
 
 
 def _summary(spark, sf):
-    o = views.table(spark, sf, "orders").where(F.col("o_orderpriority") != "1-URGENT")
+    o = views.table(spark, sf, "orders")
     meta = o.select(
         F.col("o_custkey").alias("source"),
         F.col("o_orderkey").alias("version"),

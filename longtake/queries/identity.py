@@ -377,6 +377,7 @@ SELECT coalesce(e.job_id, a.job_id) AS job_id, coalesce(e.name, a.name) AS name,
 FROM e FULL JOIN a ON a.job_id = e.job_id AND a.name = e.name WHERE a.name IS NULL OR e.name IS NULL"""
 )
 def set_3_file_sets(spark, sf):
+    """Both sides read all orders: files are expected of those begun, and there for those not over."""
     o = views.table(spark, sf, "orders")
     files = lambda df: df.select(F.col("o_custkey").alias("job_id"), F.col("o_orderpriority").alias("name"))
     return identity.file_set_difference(
@@ -401,6 +402,7 @@ SELECT job_id, name, size,
 FROM b"""
 )
 def join_9_verify_artifacts(spark, sf):
+    """All documents: one language is not published yet, one has no canonical copy."""
     d = views.table(spark, sf, "documents")
     n = F.col("doc_id")
     name = F.when(n % 2 == 0, "report.json").otherwise("transcript.txt").alias("name")
