@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,11 @@ from . import wavelet
 from .common import exclusive_sums, text_of
 
 MEMO_WORDS, MEMO_LETTERS = 400_000, 64
-ENCODED_WORDS = 1_000_000  # about 200 bytes each
+ENCODED_WORDS = 800_000  # about 200 bytes each
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u024f]+)([!-&(-/:-@\[-`{-~]*)")  # no apostrophe: it starts contractions
+# Byte-level vocabularies write the bytes that do not print as letters from U+0100 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class WordEncoder:
@@ -37,15 +42,49 @@ class WordEncoder:
         self.levels = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.dtype("<u2" if self.levels <= 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        # The short way is taken where the library agrees on a sample of what it covers.
+        self.splits = True
+        sample = [*"aZ\u00e9\u0130.,", "Word", "d\u00e9j\u00e0!!", "Stra\u00dfe&&&", "x%$#", "\u00c9T\u00c9\u2026"[:3] + "|"]
+        self.splits = all(self._plain(w.encode()) in (None, self._whole(w)) for w in sample)
+        self.pieces.clear()
+
+    def _whole(self, word: str) -> bytes:
+        return np.asarray(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        fresh = {w: np.asarray(e.ids, self.kind).tobytes() for w, e in zip(words, found, strict=True)}
+        fresh = {w: self._plain(w) for w in words}
+        rest = [w for w, i in fresh.items() if i is None]
+        if rest:
+            found = self.library.encode_batch([w.decode() for w in rest], add_special_tokens=False)
+            fresh.update((w, np.asarray(e.ids, self.kind).tobytes()) for w, e in zip(rest, found, strict=True))
         if len(self.memo) > ENCODED_WORDS:
             self.memo.clear()
         self.memo.update((w, i) for w, i in fresh.items() if len(w) <= MEMO_LETTERS)
         return fresh
 
+    def _plain(self, word: bytes) -> bytes | None:
+        """Ids of Latin letters and the ASCII marks after them, by the library's model alone.
+
+        Letters and marks are tokens of their own before merging, and lower case is all that
+        happens to them, so the model gets each as the bytes it knows. None for any other word.
+        """
+        parts = _PLAIN.fullmatch(word.decode()) if self.splits else None
+        if parts is None or not parts[1].isalpha() or not (low := parts[1].lower()).isalpha():
+            return None
+        return self._model(low) + (self._model(parts[2]) if parts[2] else b"")
+
+    def _model(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > ENCODED_WORDS:
+                self.pieces.clear()
+            known = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = np.asarray([t.id for t in self.library.model.tokenize(known)], self.kind).tobytes()
+            if len(piece) <= MEMO_LETTERS:
+                self.pieces[piece] = ids
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         words = text.encode().split() if text else []
         found = [*map(self.memo.get, words)]
