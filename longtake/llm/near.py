@@ -36,7 +36,7 @@ class Near:
     least_of: int = 5
     screen: float = 0.4
     together: int = 2_000
-    best: int = 4
+    together_labels: int = 2_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -173,32 +173,111 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _screened(groups: DataFrame, settings: Near, turn: int) -> DataFrame:
-    """Pairs inside a sketch to hold against each other next.
+TASK = ["band", "key", "low", "high"]
 
-    Every text outside the largest class of its sketch gets the ``best`` texts of other classes by
-    their signatures, in the next turn the ``best`` after these. So pairs grow with texts only.
+
+def _untested(group: pd.DataFrame, settings: Near) -> Iterator[tuple[int, np.ndarray]]:
+    """Per text its partners in this task that no other task holds it against, by row number.
+
+    They are of another class, of a fitting length and alike by signature, and share no earlier
+    sketch, where they would be met as well. Pairs with the smallest id of the sketch are known.
     """
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), SIGNATURE)
+    keys = np.asarray(group["keys"].tolist(), np.int64)[:, : group["band"].iloc[0]]
+    label, n, block = group["label"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
+    free = (group["id"] != group["hub"]).to_numpy()
+    low, high = group["low"].iloc[0], group["high"].iloc[0]
+    at = np.arange(len(group))
+    for x in np.flatnonzero(free & (block == low)).tolist():
+        other = (at > x) if low == high else (block == high)
+        short, long = np.minimum(n[x], n), np.maximum(n[x], n)
+        fits = short * settings.least_of >= long * settings.least
+        good = np.flatnonzero(other & free & (label != label[x]) & fits)
+        if len(good):
+            some = (sig[good] > 0) | (sig[x] > 0)
+            alike = ((sig[good] == sig[x]) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
+            good = good[alike >= settings.screen]
+            good = good[~(keys[good] == keys[x]).any(axis=1)]
+            if len(good):
+                yield x, good
+
+
+def _links(group: pd.DataFrame, settings: Near) -> list[tuple[int, int]]:
+    """Near pairs among the untested ones of a task; pairs that its links have joined are left out."""
+    shingles, label = Shingles(settings.width), group["label"].tolist()
+    labels = [shingles.of(t) for t in group["text"]]
+    ends = np.cumsum([0, *map(len, labels)])
+    names, codes = np.unique(np.concatenate(labels), return_inverse=True)
+    mark, top = np.zeros(len(names), bool), {x: x for x in label}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    ids, found = group["id"].tolist(), []
+    for x, good in _untested(group, settings):
+        mine = codes[ends[x] : ends[x + 1]]
+        mark[mine] = True
+        for y in good.tolist():
+            if find(label[x]) == find(label[y]):
+                continue
+            shared = np.count_nonzero(mark[codes[ends[y] : ends[y + 1]]])
+            need = (len(labels[x]) + len(labels[y])) * settings.least
+            if shared * (settings.least + settings.least_of) >= need and shared_in_order(labels[x], labels[y], settings):
+                top[find(label[x])] = find(label[y])
+                found.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+        mark[mine] = False
+    return found
+
+
+def _rest(grouped: DataFrame, labels: DataFrame, texts: DataFrame, bodies: DataFrame, settings: Near) -> DataFrame:
+    """(a, b): what links the classes that still share a sketch, every pair of their texts held against each other.
+
+    Texts of a sketch are dealt into blocks, those of its largest class apart, as they need not be
+    held against each other; a task takes one or two blocks, and every pair of blocks has its task.
+    Texts are fetched only for tasks and ids with an untested pair, so no table of pairs is made.
+    """
+    labelled = grouped.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("texts"), F.sum("n").alias("of_texts"))
+    several = sizes.groupBy("band", "key").agg(
+        F.max(F.struct("texts", "of_texts", "label")).alias("main"), F.sum("texts").alias("texts"), F.sum("of_texts").alias("of_texts"),
+        F.count("*").alias("classes"),
+    ).where("classes > 1")
+
+    def blocks(texts, of_texts):
+        by_size = F.greatest(texts / (settings.together / 2), of_texts / (settings.together_labels / 2))
+        return F.greatest(F.lit(1), F.ceil(by_size)).cast("int")
+
+    main = F.col("main")
+    several = several.select(
+        "band", "key", main["label"].alias("main"),
+        blocks(F.col("texts") - main["texts"], F.col("of_texts") - main["of_texts"]).alias("open_blocks"),
+        blocks(main["texts"], main["of_texts"]).alias("main_blocks"),
+    )
+    deal = lambda n: F.pmod(F.xxhash64("id", "band", "key"), n).cast("int")
+    inside = F.col("label") == F.col("main")
+    dealt = labelled.join(several, ["band", "key"]).withColumn(
+        "block", F.when(inside, F.col("open_blocks") + deal(F.col("main_blocks"))).otherwise(deal(F.col("open_blocks")))
+    )
+    tasks = F.sequence(F.lit(0), F.col("open_blocks") + F.when(inside, 0).otherwise(F.col("main_blocks")) - 1)
+    dealt = dealt.withColumn("task", F.explode(tasks)).select(
+        "band", "key", F.least("block", "task").alias("low"), F.greatest("block", "task").alias("high"), "block", "id", "hub", "n", "label"
+    )
+    dealt = dealt.join(texts.select("id", "sig", "keys"), "id").select(*TASK, "block", "id", "hub", "n", "label", "sig", "keys")
 
     def screen(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", ignore_index=True)
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), SIGNATURE)
-        ids, label, n = group["id"].to_numpy(), group["label"].to_numpy(), group["n"].to_numpy()
-        names, sizes = np.unique(label, return_counts=True)
-        found = []
-        for x in np.flatnonzero(label != names[sizes.argmax()]).tolist():
-            low, high = np.minimum(n[x], n), np.maximum(n[x], n)
-            some = (sig > 0) | (sig[x] > 0)
-            alike = ((sig == sig[x]) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
-            good = np.flatnonzero(
-                (label != label[x]) & (low * settings.least_of >= high * settings.least) & (alike >= settings.screen)
-            )
-            good = good[np.argsort(-alike[good], kind="stable")]
-            for y in good[turn * settings.best : (turn + 1) * settings.best].tolist():
-                found.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
-        return pd.DataFrame(np.asarray(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+        hit = np.zeros(len(group), bool)
+        for x, good in _untested(group, settings):
+            hit[x] = hit[good] = True
+        return group[hit]
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(np.asarray(_links(group, settings), np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return groups.groupBy("band", "key", "block").applyInPandas(screen, "a long, b long").distinct()
+    open_texts = stage(dealt.groupBy(*TASK).applyInPandas(screen, dealt.schema))
+    return stage(open_texts.join(bodies, "id").groupBy(*TASK).applyInPandas(link, "a long, b long"))
 
 
 def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
@@ -206,9 +285,9 @@ def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
 
     Equal texts (null as empty) are one text; n_copies counts its rows. Texts are linked if their
     word shingles agree in order (``Near``), and classes are the connected texts. Per sketch every
-    text is held against the smallest id that shares it. What then shares a sketch but not its class
-    is held against the texts it is most like by signature, in turns until one finds no new link.
-    Sketches with more than ``together`` such texts are screened in blocks, dealt anew each time. Rows without id
+    text is held against the smallest id that shares it. Then every two texts that share a sketch but
+    not their class are held against each other if their signatures are alike; sketches with more
+    than ``together`` texts are dealt into blocks, and every pair of blocks is taken. Rows without id
     take part through equal texts only: their class is that of the rows with their text, null where
     these have no id either. Repeated rows are kept; other columns are ignored; an empty table
     gives no rows.
@@ -249,19 +328,8 @@ def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
     pairs = pairs.join(lengths, pairs["b"] == lengths["hub"])
     fits = F.least("n", "hub_n") * settings.least_of >= F.greatest("n", "hub_n") * settings.least
     edges = verified(pairs.where(fits).select("a", "b"), bodies, settings)
-    labels, turn = components(edges), 0
-    signed = stage(grouped.where("size > 2").join(texts.select("id", "sig"), "id"))
-    while True:
-        labelled = signed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        several = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        several = several.where("low != high").select("band", "key")
-        block = F.pmod(F.xxhash64("id", "band", "key", F.lit(turn)), F.ceil(F.col("size") / settings.together)).cast("int")
-        rest = labelled.join(several, ["band", "key"]).select("band", "key", block.alias("block"), "id", "label", "n", "sig")
-        more = verified(_screened(rest, settings, turn), bodies, settings)
-        if more.isEmpty():
-            break
-        edges = edges.union(more)
-        labels, turn = components(edges), turn + 1
+    more = _rest(grouped.where("size > 2"), components(edges), texts, bodies, settings)
+    labels = components(edges.union(more))
     named = texts.join(labels, "id", "left").select(
         "same", F.coalesce("label", "id").alias("class_id"), "n_copies"
     )

@@ -99,6 +99,26 @@ def test_one_original_with_many_different_copies(spark, documents):
     assert got == {0}
 
 
+ONE_SKETCH = near.Near(kept=0, sketches=1)  # every text shares it
+
+
+def edited(w, places):
+    copy = w.copy()
+    for at, word in places.items():
+        copy[at] = word
+    return copy
+
+
+def test_a_star_of_more_texts_than_a_task_takes(spark, documents):
+    """Copies are near to the original only, all meet in one sketch, and the original is not the smallest id."""
+    rng = random.Random(10)
+    w = words(rng, 200, 5_000)
+    rows = [(9_999, " ".join(w))]
+    for k in range(2_100):
+        rows.append((k, " ".join(edited(w, {5 * at: f"n{k}.{at}" for at in rng.sample(range(40), 4)}))))
+    assert {r["class_id"] for r in near.classes(documents(rows), ONE_SKETCH).collect()} == {0}
+
+
 def test_alignment_counts_order():
     many = near.mixed(np.arange(1, 101, dtype=np.uint64))
     s = near.Near()
@@ -248,5 +268,3 @@ def test_terms_that_give_an_entity_away(spark, documents):
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(documents([r for r in rows if r[0] is not None], extra=True)).collect()}
     assert "secretname" not in clean[200] and "[EMAIL]" in clean[200] and clean[301] is None and clean[5] == rows[5][1]
     assert privacy.personal_data(documents([])).count() == 0
-
-
