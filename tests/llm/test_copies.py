@@ -119,6 +119,18 @@ def test_a_star_of_more_texts_than_a_task_takes(spark, documents):
     assert {r["class_id"] for r in near.classes(documents(rows), ONE_SKETCH).collect()} == {0}
 
 
+def test_partners_behind_many_that_look_more_alike(spark, documents):
+    """Rotated texts have the signature of the text, but not its order; the true partner comes after them."""
+    w = words(random.Random(11), 200, 5_000)
+    v = edited(w, {40 * k + 20: f"new{k}" for k in range(4)})
+    rows = [(0, " ".join(words(random.Random(12), 200, 5_000)))]
+    for d, k in enumerate((0, 40, 70, 100, 130, 160)):
+        rows += [(10 + d, " ".join(w[k:] + w[:k])), (20 + d, " ".join(v[k:] + v[:k]))]
+    want = plain_classes(rows)
+    assert want[20] == 10
+    assert {r["doc_id"]: r["class_id"] for r in near.classes(documents(rows), ONE_SKETCH).collect()} == want
+
+
 def test_alignment_counts_order():
     many = near.mixed(np.arange(1, 101, dtype=np.uint64))
     s = near.Near()
