@@ -30,13 +30,12 @@ SPAN = "array<struct<kind: string, start: int, end: int>>"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``reach`` letters on each side of an entity are its context.
+    """The whole document of an entity is its context.
 
     A term discloses an entity by PMI(entity; term) / IC(entity): 1 where the term occurs only in
     documents of the entity, 0 where they are independent. ``support`` documents must hold both.
     """
 
-    reach: int = 60
     support: int = 2
     remove_at: float = 0.95
     generalise_at: float = 0.8
@@ -88,17 +87,16 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _NOT_DIGIT.sub('', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of whole words near each entity, outside of all entities."""
-    taken = np.asarray([(a, b) for _, a, b in spans])
-    found = []
-    for kind, a, b in spans:
-        low, high = max(0, a - reach), min(len(text), b + reach)
-        for m in _TERM.finditer(text, max(0, low - 64), min(len(text), high + 64)):
-            if m.start() < low or m.end() > high or ((taken[:, 0] < m.end()) & (m.start() < taken[:, 1])).any():
-                continue
-            found.append((_entity(kind, text[a:b]), m[0].lower(), m.start(), m.end()))
-    return found
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the whole words of a text outside of all its entities."""
+    edges = np.zeros(len(text) + 1, np.int64)
+    for _, a, b in spans:
+        edges[a] += 1
+        edges[b] -= 1
+    taken = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
+    for m in _TERM.finditer(text):
+        if taken[m.start()] == taken[m.end()]:
+            yield m[0].lower(), m.start(), m.end()
 
 
 def _bit(term: str, bits: int) -> int:
@@ -110,38 +108,39 @@ def personal_data(docs: DataFrame, settings: Disclosure = Disclosure()) -> DataF
 
     Null text is empty and has no spans; null ids stay null; repeated rows are counted and reported
     each; other columns are ignored. Counts cover all rows: rows with an entity, with a term, and
-    with a term in the context of the entity. Which terms to count is told to the tasks by a bit
+    with both, anywhere in the text. Every occurrence of a disclosing term in a row with its entity
+    is a span. Which terms to count is told to the tasks by a bit
     set of fixed size; a term that only shares a bit is counted for nothing and not used.
     """
-    reach, bits = settings.reach, settings.filter_bits
+    bits = settings.filter_bits
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             base = [base_spans(t) for t in batch["text"]]
-            near = [contexts(t, s, reach) if s else [] for t, s in zip(batch["text"], base, strict=True)]
-            as_rows = lambda rows, names: [[dict(zip(names, r, strict=True)) for r in row] for row in rows]
+            held = [sorted({_entity(k, t[a:b]) for k, a, b in s}) for t, s in zip(batch["text"], base, strict=True)]
+            terms = [sorted({w for w, _, _ in terms_outside(t, s)}) if s else [] for t, s in zip(batch["text"], base, strict=True)]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
-                    "base": as_rows(base, ("kind", "start", "end")),
-                    "near": as_rows(near, ("entity", "term", "start", "end")),
+                    "base": [[dict(zip(("kind", "start", "end"), r, strict=True)) for r in s] for s in base],
+                    "entities": held,
+                    "terms": terms,
+                    "text": [t if s else None for t, s in zip(batch["text"], base, strict=True)],
                 }
             )
 
-    near_type = "array<struct<entity: string, term: string, start: int, end: int>>"
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     found = stage(
-        texts.mapInPandas(scan, f"doc_id string, base {SPAN}, near {near_type}")
+        texts.mapInPandas(scan, f"doc_id string, base {SPAN}, entities array<string>, terms array<string>, text string")
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
-    pair = F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))
-    pairs = found.select(F.explode(pair).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    entities = stage(entities.where(F.col("with_entity") >= settings.support))  # others cannot share so many rows with a term
+    held = found.select("row", "terms", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity")
+    held = held.select("row", "entity", F.explode("terms").alias("term"))
+    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("both"))
     pairs = stage(pairs.where(F.col("both") >= settings.support))
-    entities = (
-        found.select(F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("with_entity"))
-    )
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,12 +180,19 @@ def personal_data(docs: DataFrame, settings: Disclosure = Disclosure()) -> DataF
     kind = F.when(told >= settings.remove_at, "removed").when(told >= settings.generalise_at, "generalised")
     disclosing = pairs.join(entities, "entity").join(terms, "term").select("entity", "term", kind.alias("kind"))
     disclosing = stage(disclosing.where("kind is not null"))
-    hits = (
-        found.select("row", F.explode("near").alias("n")).select("row", "n.*")
-        .join(disclosing, ["entity", "term"])
-        .groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))  # removed outranks generalised
-        .groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
-    )
+    told = held.join(disclosing, ["entity", "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))  # removed outranks generalised
+    told = told.groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            extra = []
+            for text, base, kinds in zip(batch["text"], batch["base"], batch["told"], strict=True):
+                kind = {t["term"]: t["kind"] for t in kinds}
+                found = terms_outside(text, [(s["kind"], s["start"], s["end"]) for s in base])
+                extra.append([{"kind": kind[w], "start": a, "end": b} for w, a, b in found if w in kind])
+            yield pd.DataFrame({"row": batch["row"], "extra": extra})
+
+    hits = found.select("row", "text", "base").join(told, "row").mapInPandas(mark, f"row long, extra {SPAN}")
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     every = F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))
     keyed = F.array_sort(

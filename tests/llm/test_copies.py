@@ -280,3 +280,14 @@ def test_terms_that_give_an_entity_away(spark, documents):
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(documents([r for r in rows if r[0] is not None], extra=True)).collect()}
     assert "secretname" not in clean[200] and "[EMAIL]" in clean[200] and clean[301] is None and clean[5] == rows[5][1]
     assert privacy.personal_data(documents([])).count() == 0
+
+
+def test_terms_far_from_their_entity(spark, documents):
+    """Terms count over the whole text of an entity, and are marked wherever they occur in it."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, 30)) + " common") for i in range(100)]
+    text = "secretname x.y@mail.example " + "common " * 30 + "distantname and Secretname"
+    rows += [(200 + i, text) for i in range(3)]
+    got = {r["doc_id"]: [(s["kind"], text[s["start"] : s["end"]]) for s in r["spans"]] for r in privacy.personal_data(documents(rows)).collect()}
+    marked = [("removed", "secretname"), ("email", "x.y@mail.example"), ("removed", "distantname"), ("removed", "and"), ("removed", "Secretname")]
+    assert got[200] == got[202] == marked and got[0] == []
