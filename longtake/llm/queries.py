@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near, privacy, quality_model, rules, shards, substrings, tokens
+from . import chat, decontaminate, hard_negatives, mixing, near, nearest, privacy, quality_model, rules, shards, substrings, tokens
 from .common import prepare, table, text_of
 
 QUERIES: dict = {}
@@ -232,3 +232,47 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"), 13)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_FINITE_SQL = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)"
+
+
+@query(
+    f"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE_SQL}),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.vec_id = r.vec_id AS own, a.label = r.label AS same,
+         CAST(list_inner_product(a.e, r.e) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON len(a.e) = len(r.e) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND NOT own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query(
+    f"""
+WITH rows AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND {_FINITE_SQL} AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT q.vec_id AS query_id,
+       CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, r.e) DESC, r.vec_id) AS INTEGER) AS rank,
+       r.vec_id, list_inner_product(q.e, r.e) AS score
+FROM rows q JOIN rows r ON len(q.e) = len(r.e) AND q.vec_id <> r.vec_id
+WHERE q.vec_id % 20 = 0
+QUALIFY rank <= 20"""
+)
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
