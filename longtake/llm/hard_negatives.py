@@ -211,14 +211,18 @@ class NegativeSolver(Solver):
                     c["least"][i] = best[1][-1]  # what scores less has no place any more
 
     def close(self, part: int) -> Iterator[pd.DataFrame]:
-        for (i, j), (ids, values) in self.kept.items():
-            c = self.columns[j]
-            yield pd.DataFrame(
-                {
-                    "part": part, "dim": self.a["v"].shape[1], "at": i, "n": j, "anchor_id": self.a["ids"][i],
-                    "positive_id": c["id"][i], "positive_score": c["score"][i], "negative_id": ids, "negative_score": values,
-                }
-            )
+        keys = list(self.kept)
+        sizes = [len(self.kept[key][0]) for key in keys]
+        at, n = (np.repeat(np.array([key[side] for key in keys], np.int64), sizes) for side in (0, 1))
+        of = lambda name: np.concatenate([np.repeat(self.columns[j][name][i], m) for (i, j), m in zip(keys, sizes, strict=True)] or [_NONE[0]])
+        yield pd.DataFrame(
+            {
+                "part": part, "dim": self.a["v"].shape[1], "at": at, "n": n, "anchor_id": self.a["ids"][at],
+                "positive_id": of("id"), "positive_score": of("score"),
+                "negative_id": np.concatenate([self.kept[key][0] for key in keys] or [_NONE[0]]),
+                "negative_score": np.concatenate([self.kept[key][1] for key in keys] or [_NONE[0]]),
+            }
+        )
 
 
 _POSITIVES = "part int, dim int, at int, positive_id long, score long"
