@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,16 +29,17 @@ SPAN = "array<struct<kind: string, start: int, end: int>>"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """The whole document of an entity is its context.
+    """The whole document of an entity is its context; texts that are the same are one document.
 
     A term discloses an entity by PMI(entity; term) / IC(entity): 1 where the term occurs only in
-    documents of the entity, 0 where they are independent. ``support`` documents must hold both.
+    texts of the entity, 0 where they are independent. ``support`` different texts must hold both.
+    Terms to count are told to the tasks by a table of at most ``2 ** most_bits`` places.
     """
 
     support: int = 2
     remove_at: float = 0.95
     generalise_at: float = 0.8
-    filter_bits: int = 20
+    most_bits: int = 24
 
 
 def luhn(digits: str) -> bool:
@@ -103,84 +103,119 @@ def _bit(term: str, bits: int) -> int:
     return xxhash.xxh32_intdigest(term.encode()) & ((1 << bits) - 1)
 
 
-def personal_data(docs: DataFrame, settings: Disclosure = Disclosure()) -> DataFrame:
-    """(doc_id, base, spans) for every row: base spans, and those of disclosing terms added.
+def _terms(text: str) -> set[str]:
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
+def _digest(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode())
 
-    Null text is empty and has no spans; null ids stay null; repeated rows are counted and reported
-    each; other columns are ignored. Counts cover all rows: rows with an entity, with a term, and
-    with both, anywhere in the text. Every occurrence of a disclosing term in a row with its entity
-    is a span. Which terms to count is told to the tasks by a bit
-    set of fixed size; a term that only shares a bit is counted for nothing and not used.
-    """
-    bits = settings.filter_bits
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, same, base, entities, terms, text) of every row; terms and text only beside entities."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             base = [base_spans(t) for t in batch["text"]]
-            held = [sorted({_entity(k, t[a:b]) for k, a, b in s}) for t, s in zip(batch["text"], base, strict=True)]
-            terms = [sorted({w for w, _, _ in terms_outside(t, s)}) if s else [] for t, s in zip(batch["text"], base, strict=True)]
+            both = list(zip(batch["text"], base, strict=True))
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
+                    "same": [_digest(t) for t in batch["text"]],
                     "base": [[dict(zip(("kind", "start", "end"), r, strict=True)) for r in s] for s in base],
-                    "entities": held,
-                    "terms": terms,
-                    "text": [t if s else None for t, s in zip(batch["text"], base, strict=True)],
+                    "entities": [sorted({_entity(k, t[a:b]) for k, a, b in s}) for t, s in both],
+                    "terms": [sorted({w for w, _, _ in terms_outside(t, s)}) if s else [] for t, s in both],
+                    "text": [t if s else None for t, s in both],
                 }
             )
 
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = stage(
-        texts.mapInPandas(scan, f"doc_id string, base {SPAN}, entities array<string>, terms array<string>, text string")
+    return stage(
+        texts.mapInPandas(scan, f"doc_id string, same binary, base {SPAN}, entities array<string>, terms array<string>, text string")
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    entities = stage(entities.where(F.col("with_entity") >= settings.support))  # others cannot share so many rows with a term
-    held = found.select("row", "terms", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity")
-    held = held.select("row", "entity", F.explode("terms").alias("term"))
-    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = stage(pairs.where(F.col("both") >= settings.support))
-
-    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+
+def _with_term(docs: DataFrame, limits: DataFrame, settings: Disclosure) -> DataFrame:
+    """(term, with_term): texts that hold a term of ``limits`` (term, most), as far as ``most`` asks.
+
+    The tasks know the terms by a table of places with the highest ``most`` of each place. A task
+    sends a term with each of its texts; behind more texts than ``most`` the term cannot disclose
+    anything, so no more of them are sent. A term that only shares a place is sent for nothing.
+    """
+    bits = min(max(16, limits.count().bit_length() + 4), settings.most_bits)
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"bit": [_bit(t, bits) for t in batch["term"]]}).drop_duplicates()
+            yield pd.DataFrame({"bit": [_bit(t, bits) for t in batch["term"]], "most": batch["most"]})
 
-    wanted = np.zeros(1 << bits, bool)  # at most as many rows come back as the set has bits
-    wanted[pairs.select("term").mapInPandas(positions, "bit int").distinct().toPandas()["bit"].to_numpy(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    asked = limits.mapInPandas(places, "bit int, most long").groupBy("bit").agg(F.max("most").alias("most")).toPandas()
+    most = np.zeros(1 << bits, np.uint16)
+    most[asked["bit"].to_numpy(np.int64)] = np.minimum(asked["most"].to_numpy(np.int64), 65_535)
+    shared = docs.sparkSession.sparkContext.broadcast(most)
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = np.unpackbits(shared.value).view(bool)
-        counts: Counter[str] = Counter()
-        memo: dict[str, bool] = {}
-        flush = lambda: pd.DataFrame({"term": list(counts), "n": list(counts.values())})
+    def holders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = shared.value
+        places: dict[str, int] = {}
+        sent: dict[str, set[bytes]] = {}
         for batch in batches:
+            terms, texts = [], []
             for text in batch["text"]:
-                for term in set(_TERM.findall(text.lower())) if text else ():
-                    ask = memo.get(term)
-                    if ask is None:
-                        if len(memo) > 300_000:
-                            memo.clear()
-                        ask = memo[term] = bool(asked[_bit(term, bits)])
-                    if ask:
-                        counts[term] += 1
-            if len(counts) > 100_000:
-                yield flush()
-                counts.clear()
-        if counts:
-            yield flush()
-
-    terms = docs.select("text").mapInPandas(frequencies, "term string, n long")
-    terms = terms.groupBy("term").agg(F.sum("n").alias("with_term"))
-    rows = F.lit(float(found.count()))
-    content = F.log2(rows / F.col("with_entity"))
-    pmi = F.log2(F.col("both") * rows / (F.col("with_entity") * F.col("with_term")))
+                same = _digest(text)
+                for term in _terms(text or ""):
+                    limit = places.get(term)
+                    if limit is None:
+                        if len(places) > 300_000:
+                            places.clear()
+                        limit = places[term] = int(most[_bit(term, bits)])
+                    if limit and (limit == 65_535 or len(sent.setdefault(term, set())) <= limit) and same not in sent.get(term, ()):
+                        if limit < 65_535:
+                            sent[term].add(same)
+                        terms.append(term)
+                        texts.append(same)
+            yield pd.DataFrame({"term": terms, "same": texts})
+
+    told = docs.select("text").mapInPandas(holders, "term string, same binary")
+    return told.join(limits.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, settings: Disclosure = Disclosure()) -> DataFrame:
+    """(entity, term, kind): what gives an entity away, over all texts; ``found`` is a scan of ``docs``."""
+    texts = found.select("same").distinct().count()
+    witnesses = found.where(F.size("entities") > 0).dropDuplicates(["same"]).select("same", "entities", "terms")
+    entities = witnesses.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    entities = stage(entities.where(F.col("with_entity") >= settings.support))  # others cannot share so many texts with a term
+    held = witnesses.select("terms", F.explode("entities").alias("entity")).join(entities, "entity")
+    pairs = held.select("entity", "with_entity", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.first("with_entity").alias("with_entity"), F.count("*").alias("both"))
+    # PMI / IC reaches the threshold only up to this many texts with the term; those with entities are a part of them.
+    most = F.floor(F.col("both") * F.pow(F.lit(float(texts)) / F.col("with_entity"), F.lit(1 - settings.generalise_at)) * (1 + 1e-9))
+    known = witnesses.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("known"))
+    pairs = pairs.where(F.col("both") >= settings.support).withColumn("most", most)
+    pairs = stage(pairs.join(known, "term").where(F.col("known") <= F.col("most")).drop("known"))
+    limits = stage(pairs.groupBy("term").agg(F.max("most").alias("most")))
+    content = F.log2(F.lit(float(texts)) / F.col("with_entity"))
+    pmi = F.log2(F.col("both") * F.lit(float(texts)) / (F.col("with_entity") * F.col("with_term")))
     told = F.when(content > 0, pmi / content).otherwise(0.0)
     kind = F.when(told >= settings.remove_at, "removed").when(told >= settings.generalise_at, "generalised")
-    disclosing = pairs.join(entities, "entity").join(terms, "term").select("entity", "term", kind.alias("kind"))
-    disclosing = stage(disclosing.where("kind is not null"))
-    told = held.join(disclosing, ["entity", "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))  # removed outranks generalised
+    disclosing = pairs.join(_with_term(docs, limits, settings), "term").select("entity", "term", kind.alias("kind"))
+    return stage(disclosing.where("kind is not null"))
+
+
+def personal_data(docs: DataFrame, settings: Disclosure = Disclosure()) -> DataFrame:
+    """(doc_id, base, spans) for every row: base spans, and those of disclosing terms added.
+
+    Null text is empty and has no spans; null ids stay null; repeated rows are reported each, but
+    equal texts are one witness; other columns are ignored; an empty table gives no rows. Counts
+    cover all rows: texts with an entity, with a term, and with both, anywhere in the text. Every
+    occurrence of a disclosing term in a row with its entity is a span.
+    """
+    found = _scanned(docs)
+    disclosing = disclosing_terms(docs, found, settings)
+    named = found.select("row", "terms", F.explode("entities").alias("entity"))
+    named = named.join(disclosing.select("entity").distinct(), "entity", "left_semi").select("row", "entity", F.explode("terms").alias("term"))
+    told = named.join(disclosing, ["entity", "term"]).groupBy("row", "term").agg(F.max("kind").alias("kind"))  # removed outranks generalised
     told = told.groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,15 +251,14 @@ def cut_spans(text: str | None, spans: list) -> str | None:
 
 
 def sanitise(docs: DataFrame, settings: Disclosure = Disclosure()) -> DataFrame:
-    """``docs`` with the found spans taken out of ``text``.
+    """``docs`` with the found spans taken out of ``text``; every row and column stays.
 
-    Spans come back by doc_id, so rows with text need ids that are not null and unique; where an id
-    is null or repeated the job stops with an error before anything is cut at a wrong place.
+    Rows are written with a number of their own, so null and repeated ids do no harm.
     """
-    repeated = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if not repeated.isEmpty():
-        raise ValueError("sanitise needs unique doc_ids that are not null")
-    found = personal_data(docs, settings).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    row = next(n for n in ("row", *(f"row_{i}" for i in range(len(docs.columns) + 1))) if n.lower() not in {c.lower() for c in docs.columns})
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = personal_data(numbered.select(F.col(row).alias("doc_id"), "text"), settings).select(F.col("doc_id").alias(row), F.col("spans"))
     cut = F.pandas_udf(lambda t, s: pd.Series([cut_spans(a, b) for a, b in zip(t, s, strict=True)]), "string")
-    joined = docs.join(found, F.col("doc_id") == F.col("__id"))
-    return joined.withColumn("text", cut("text", "__spans")).select(*docs.columns)
+    spans = found.select(row, F.col("spans").alias(f"{row}_spans"))
+    joined = numbered.join(spans, row).withColumn("text", cut("text", f"{row}_spans"))
+    return joined.select(*docs.columns)
