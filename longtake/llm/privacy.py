@@ -174,7 +174,7 @@ def _with_term(docs: DataFrame, limits: DataFrame, settings: Disclosure) -> Data
                             sent[term].add(same)
                         terms.append(term)
                         texts.append(same)
-            yield pd.DataFrame({"term": terms, "same": texts})
+            yield pd.DataFrame({"term": terms, "same": texts}, dtype=object)
 
     told = docs.select("text").mapInPandas(holders, "term string, same binary")
     return told.join(limits.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
