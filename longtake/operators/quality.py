@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.columns import folded_words, let
 from ..functions.languages import COLLATION, alias_table
@@ -34,11 +34,14 @@ def text_parts(parts: Column) -> Column:
 def normalise_responses(df: DataFrame, forced: Column | None = None) -> DataFrame:
     """Add ``text``, ``detected_language``, ``status`` and ``reason`` to raw answers.
 
-    Needs ``content``, ``finish_reason`` and ``mode`` (``json``, ``plain`` or ``tagged``). An
+    Needs ``content``, ``finish_reason`` and ``mode`` (``json``, ``plain`` or ``tagged``). Content
+    may be given as parts, an array of structs with ``type`` and ``text``; that is never JSON. An
     answer cut at its limit is degenerate before anything is parsed. With a forced language a
     tagged answer must either carry no prefix or exactly that language.
     """
     content, mode = F.col("content"), F.col("mode")
+    if isinstance(df.schema["content"].dataType, ArrayType):
+        content = F.when(content.isNotNull() & (mode != "json"), text_parts(content))
     forced = F.lit(None).cast("string") if forced is None else forced
     parsed = F.try_parse_json(content)
     is_json = F.coalesce(F.schema_of_variant(parsed) == "OBJECT<transcript: STRING>", F.lit(False))
@@ -63,7 +66,7 @@ def normalise_responses(df: DataFrame, forced: Column | None = None) -> DataFram
     )
     reason = (
         F.when(F.col("finish_reason").eqNullSafe("length"), "length")
-        .when(content.isNull(), "no_content")
+        .when(F.col("content").isNull(), "no_content")
         .when(text.isNull(), "invalid")
     )
     detected = F.when(

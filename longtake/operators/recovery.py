@@ -1,43 +1,51 @@
 """Running a user's model over chunks of all recordings, with retries, fallbacks and splits.
 
-The model is a Python function; everything around it is DataFrame work. Each rung of the ladder
-is one pass over the chunks still unsolved, written to a table before anything reads it, so a
-model is never asked twice because a plan was evaluated twice. Errors travel as rows.
+The model is a Python function; everything around it is DataFrame work. A chunk climbs its rungs
+inside one task: no rung needs another chunk, so the ladder is one pass over the chunks and, for
+those it leaves unsolved, one over their parts. Answers go to a log of bounded portions before
+anything reads them: a model is never asked twice because a plan was evaluated twice, a lost task
+repeats only its own portion, and a later run goes on from what the log holds. Errors travel as rows.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import degenerate_reason
 from ..session import stage as write
+from ..session import work_folder
 from ..settings import InferenceSettings
+from .answers import Answer, DegenerateError, read_answer
 from .signal import split_point
 
 CHUNK = ["job_id", "chunk_idx"]
 SEGMENTS = "array<struct<start:double,end:double,text:string>>"
 METRICS = (
-    "struct<completion_tokens:double,finish_reason:string,mean_token_prob:double,logprob_tokens:long>"
+    "struct<completion_tokens:double,finish_reason:string,mean_token_prob:double,logprob_tokens:long,compression_ratio:double>"
+)
+METRIC_NAMES = ["completion_tokens", "finish_reason", "mean_token_prob", "logprob_tokens", "compression_ratio"]
+ENTRY = (
+    "part:string,action:string,stage:string,temperature:double,audio_seconds:double,wall_seconds:double,outcome:string,"
+    f"error:string,context_omitted:boolean,metrics:{METRICS}"
 )
-METRIC_NAMES = ["completion_tokens", "finish_reason", "mean_token_prob", "logprob_tokens"]
 SOLVED = ["ok", "no_speech"]
 MIN_SPLIT_SECONDS = 2.0
+PORTION = 64  # chunks of one task
+TURN_CHUNKS = 1000  # chunks of one job that are asked before the log is written and read again
 
 
 class TransientError(Exception):
     """The backend was unavailable; the same call may be repeated."""
 
 
-class DegenerateError(Exception):
-    """The answer is unusable; repeating the same call will not help."""
-
-
 @dataclass
 class Call:
     """One request to the model, and the place for numbers about it."""
@@ -53,7 +61,8 @@ class Call:
     metrics: dict = field(default_factory=dict)
 
 
-Transcriber = Callable[[Call], list[tuple[float, float, str]]]
+# A model returns segments, or an Answer that is still to be read.
+Transcriber = Callable[[Call], "list[tuple[float, float, str]] | Answer"]
 
 
 def mock_transcriber() -> Transcriber:
@@ -61,6 +70,39 @@ def mock_transcriber() -> Transcriber:
     return lambda call: [(call.start, call.end, "mock transcript")]
 
 
+def _tries(model: Transcriber, make: Callable[[], Call], settings: InferenceSettings) -> Iterator[tuple[dict, list | None, bool]]:
+    """(entry, segments, fatal) of each try of one call: transient errors repeat it unchanged."""
+    for attempt in range(settings.retries + 1):
+        call = make()
+        began = time.monotonic()
+        segments, error, fatal = None, None, False
+        try:
+            given = model(call)
+            if isinstance(given, Answer):
+                text, _ = read_answer(given, settings, settings.prompt if call.use_prompt else None, call.metrics)
+                given = [(call.start, call.end, text)] if text else []
+            segments = [{"start": s, "end": e, "text": t} for s, e, t in given]
+            outcome = "ok" if segments else "no_speech"
+        except TransientError as problem:
+            outcome, error, fatal = "transient", str(problem), attempt == settings.retries
+        except DegenerateError as problem:
+            outcome, error = "degenerate", str(problem)
+        except Exception as problem:
+            outcome, error, fatal = "error", str(problem), True
+        entry = {
+            "part": call.part,
+            "action": None,
+            "audio_seconds": round(call.end - call.start, 3),
+            "wall_seconds": time.monotonic() - began,
+            "outcome": outcome,
+            "error": error,
+            "metrics": {m: call.metrics.get(m) for m in METRIC_NAMES},
+        }
+        yield entry, segments, fatal
+        if outcome != "transient":
+            return
+
+
 def transcribe(
     chunks: DataFrame,
     load: Callable[[], Transcriber],
@@ -70,53 +112,25 @@ def transcribe(
     default_temperature: float = 0.0,
     use_prompt: bool = True,
     retries: int = 2,
+    settings: InferenceSettings | None = None,
 ) -> DataFrame:
     """One call per chunk ``(job_id, chunk_idx, part, start, end[, payload])``.
 
     ``load`` runs once per task and returns the model. Transient errors repeat the same call up
     to ``retries`` times; a row with ``fatal`` set means the job cannot go on. Every try is a row.
+    ``settings`` say how an ``Answer`` is read.
     """
+    how = settings or InferenceSettings(retries=retries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for pdf in batches:
             rows = []
             for item in pdf.to_dict("records"):
-                for attempt in range(retries + 1):
-                    call = Call(
-                        item["job_id"], item["chunk_idx"], item["part"], item["start"], item["end"],
-                        temperature, use_prompt, item.get("payload"),
-                    )
-                    began = time.monotonic()
-                    segments, error, fatal = None, None, False
-                    try:
-                        segments = [
-                            {"start": s, "end": e, "text": t} for s, e, t in model(call)
-                        ]
-                        outcome = "ok" if segments else "no_speech"
-                    except TransientError as problem:
-                        outcome, error, fatal = "transient", str(problem), attempt == retries
-                    except DegenerateError as problem:
-                        outcome, error = "degenerate", str(problem)
-                    except Exception as problem:
-                        outcome, error, fatal = "error", str(problem), True
-                    rows.append(
-                        {
-                            "job_id": item["job_id"],
-                            "chunk_idx": item["chunk_idx"],
-                            "part": item["part"],
-                            "try_no": attempt,
-                            "audio_seconds": round(item["end"] - item["start"], 3),
-                            "wall_seconds": time.monotonic() - began,
-                            "outcome": outcome,
-                            "error": error,
-                            "fatal": fatal,
-                            "segments": segments,
-                            "metrics": {m: call.metrics.get(m) for m in METRIC_NAMES},
-                        }
-                    )
-                    if outcome != "transient":
-                        break
+                make = lambda: Call(*[item[c] for c in (*CHUNK, "part", "start", "end")], temperature, use_prompt, item.get("payload"))  # noqa: B023, E731
+                for attempt, (entry, segments, fatal) in enumerate(_tries(model, make, how)):
+                    del entry["action"]
+                    rows.append({**{c: item[c] for c in CHUNK}, **entry, "try_no": attempt, "segments": segments, "fatal": fatal})
             yield pd.DataFrame(rows)
 
     key = chunks.schema["job_id"].dataType.simpleString()
@@ -138,7 +152,8 @@ def transcribe(
 def spread(chunks: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distribute calls evenly whatever job they belong to; results carry their own key."""
     by = ("job_id", "chunk_idx", "part")
-    return chunks.repartition(tasks, *by) if tasks else chunks.repartition(*by)
+    # A number of its own, so that adaptive execution does not merge tasks of few bytes and long calls.
+    return chunks.repartition(tasks or chunks.sparkSession.sparkContext.defaultParallelism * 4, *by)
 
 
 # --- splitting ------------------------------------------------------------------------------
@@ -188,52 +203,130 @@ class LadderResult:
     jobs: DataFrame
 
 
-class _Ladder:
-    def __init__(self, load, settings: InferenceSettings, tasks: int | None) -> None:
-        self.load, self.settings, self.tasks = load, settings, tasks
-        self.passes: list[DataFrame] = []
-
-    def _pass(self, pending: DataFrame, **options) -> DataFrame:
-        answered = write(
-            transcribe(
-                spread(pending, self.tasks),
-                self.load,
-                default_temperature=self.settings.temperature,
-                retries=self.settings.retries,
-                **options,
-            ).withColumn("pass_no", F.lit(len(self.passes)))
+class _Lost(Exception):
+    """A call failed in a way that ends its job."""
+
+
+def _climb(model: Transcriber, item: dict, piece: dict, settings: InferenceSettings, history: list[dict]) -> list | None:
+    """All rungs of one part of a chunk; its segments, or None where every rung failed."""
+    rungs = [("base", None, True), *(("temperature", t, True) for t in settings.fallback_temperatures)]
+    if settings.context_free_fallback and settings.prompt:
+        rungs.append(("no_context", None, False))
+    echoed = False
+    for stage, temperature, use_prompt in rungs:
+        if stage == "no_context" and not echoed:
+            continue
+        make = lambda: Call(
+            item["job_id"], item["chunk_idx"], piece["part"], piece["start"], piece["end"], temperature, use_prompt, piece.get("payload")  # noqa: B023
+        )
+        for entry, segments, fatal in _tries(model, make, settings):
+            used = settings.temperature if temperature is None else temperature
+            history.append({**entry, "stage": stage, "temperature": used, "context_omitted": not use_prompt})
+            if fatal:
+                raise _Lost
+            if segments is not None:
+                return segments
+        limit = entry["metrics"]["finish_reason"] == "length"
+        loop = "repetition loop" in (entry["error"] or "")
+        echoed |= not limit and not loop and "instruction prompt" in (entry["error"] or "")
+    return None
+
+
+def _pieces(model: Transcriber, item: dict, settings: InferenceSettings) -> dict:
+    """One row of the log: the chunk, or its parts one after the other until one fails."""
+    history: list[dict] = list(item.get("history") or [])
+    segments: list | None = []
+    try:
+        for piece in item["pieces"]:
+            found = _climb(model, item, piece, settings, history)
+            if found is None:
+                segments = None
+                break
+            segments += found
+        outcome = "unsolved" if segments is None else "done"
+    except _Lost:
+        segments, outcome = None, "lost"
+    return {**{c: item[c] for c in CHUNK}, "outcome": outcome, "segments": segments, "history": history}
+
+
+def _ask(pieces: DataFrame, load: Callable[[], Transcriber], settings: InferenceSettings) -> DataFrame:
+    """Rows of the log for ``pieces(job_id, chunk_idx, pieces[, history])``.
+
+    A task keeps up to ``parallel_requests`` chunks in flight, in the order of their numbers. Once a job is lost the task asks
+    nothing more for it; what was in flight is kept.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, broken = load(), set()
+        flying: deque = deque()
+
+        def landed() -> dict:
+            row = flying.popleft().result()
+            if row["outcome"] == "lost":
+                broken.add(row["job_id"])
+            return row
+
+        with ThreadPoolExecutor(max(1, settings.parallel_requests)) as pool:
+            for pdf in batches:
+                rows = []
+                for item in pdf.to_dict("records"):
+                    while len(flying) >= max(1, settings.parallel_requests):
+                        rows.append(landed())
+                    if item["job_id"] not in broken:
+                        flying.append(pool.submit(_pieces, model, item, settings))
+                while flying:
+                    rows.append(landed())
+                if rows:
+                    yield pd.DataFrame(rows)
+
+    key = pieces.schema["job_id"].dataType.simpleString()
+    return pieces.mapInPandas(
+        run, f"job_id {key}, chunk_idx long, outcome string, segments {SEGMENTS}, history array<struct<{ENTRY}>>"
+    )
+
+
+class AnswerLog:
+    """Answers as a folder of written portions; what one run wrote, the next goes on from.
+
+    A row is a chunk as one step of one run left it: ``done``, ``unsolved`` or ``lost``. Portions
+    are only added. Rows of a step count as soon as they are there: each is whole in itself.
+    """
+
+    def __init__(self, path: str, key: str = "long") -> None:
+        self.path = path
+        self.schema = (
+            f"job_id {key}, chunk_idx long, outcome string, segments {SEGMENTS}, history array<struct<{ENTRY}>>, run int, turn long, step int"
+        )
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(self.path)
+
+    def next_run(self, spark: SparkSession) -> int:
+        last = self.read(spark).agg(F.max("run")).first()[0]
+        return 0 if last is None else last + 1
+
+    def append(self, rows: DataFrame, run: int, turn: int, step: int) -> DataFrame:
+        path = f"{self.path}/run={run}/turn={turn}/step={step}"
+        rows.write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+    def latest(self, spark: SparkSession) -> DataFrame:
+        """(job_id, chunk_idx, run, outcome, segments, history): each chunk as its last run left it."""
+        row = F.struct("run", "step", "outcome", "segments", "history")
+        # A chunk has two rows a run at most.
+        kept = self.read(spark).groupBy(*CHUNK).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+        last = F.element_at("rows", -1)
+        own = F.filter("rows", lambda r: r["run"] == last["run"])
+        return kept.select(
+            *CHUNK,
+            last["run"].alias("run"),
+            last["outcome"].alias("outcome"),
+            last["segments"].alias("segments"),
+            F.flatten(F.transform(own, lambda r: r["history"])).alias("history"),
         )
-        self.passes.append(answered)
-        return answered
-
-    def climb(self, chunks: DataFrame) -> DataFrame:
-        """All rungs for one part of each chunk; returns what stays unsolved."""
-        pending = chunks
-        rungs = [("base", None), *(("temperature", t) for t in self.settings.fallback_temperatures)]
-        seen: list[DataFrame] = []
-        for name, temperature in rungs:
-            answered = self._pass(pending, stage=name, temperature=temperature)
-            seen.append(answered)
-            pending = self._unsolved(pending, answered)
-            if pending.isEmpty():
-                return pending
-        if self.settings.context_free_fallback and self.settings.prompt:
-            echoed = None
-            for answered in seen:
-                reason = degenerate_reason(F.col("metrics.finish_reason"), F.col("error"))
-                hit = answered.where((F.col("outcome") == "degenerate") & (reason == "prompt_echo"))
-                keys = hit.select(*CHUNK)
-                echoed = keys if echoed is None else echoed.unionByName(keys)
-            retry = pending.join(echoed.distinct(), CHUNK, "left_semi")
-            answered = self._pass(retry, stage="no_context", use_prompt=False)
-            pending = self._unsolved(pending, answered)
-        return pending
-
-    @staticmethod
-    def _unsolved(pending: DataFrame, answered: DataFrame) -> DataFrame:
-        settled = answered.where(F.col("outcome").isin(SOLVED)).select(*CHUNK)
-        lost = answered.where("fatal").select("job_id").distinct()
-        return write(pending.join(settled, CHUNK, "left_anti").join(lost, "job_id", "left_anti"))
 
 
 def run_ladder(
@@ -243,82 +336,101 @@ def run_ladder(
     *,
     splitter: Callable[[DataFrame], DataFrame] | None = None,
     tasks: int | None = None,
+    done: DataFrame | None = None,
+    attempts: DataFrame | None = None,
+    log: str | None = None,
+    portion: int = PORTION,
+    turn_chunks: int = TURN_CHUNKS,
 ) -> LadderResult:
     """Transcribe ``chunks(job_id, chunk_idx, start, end[, payload])`` of many jobs.
 
     Base call, each fallback temperature, one call without context where the prompt was echoed,
     then one split whose parts climb the same rungs in order. Chunks that stay unsolved are
-    failed and leave their job incomplete; an unavailable backend fails the job, and what was
-    finished stays.
+    failed and leave their job incomplete. An unavailable backend or any other error loses the job:
+    its tasks ask nothing more for it, later turns leave it out, and what was finished stays.
+
+    Chunks in ``done(job_id, chunk_idx, segments)``, with their ``attempts``, and those that the
+    folder ``log`` has answers of are not asked again; all others get a fresh attempt. Every turn
+    takes the next ``turn_chunks`` numbers of every job, in tasks of about ``portion`` chunks
+    (or ``tasks`` tasks), and is written to the log before the next begins.
     """
-    ladder = _Ladder(load, settings, tasks)
-    whole = write(chunks.withColumn("part", F.lit("")))
-    pending = ladder.climb(whole)
-    split_rows, part_jobs = None, None
-    if settings.split_on_failure and splitter is not None and not pending.isEmpty():
-        parts = write(splitter(pending))
-        split = parts.select(*CHUNK).distinct()
-        split_rows = pending.join(split.withColumn("can", F.lit(True)), CHUNK, "left").select(
-            *CHUNK,
-            F.when(F.col("can"), "ok").otherwise("error").alias("outcome"),
-            F.when(F.col("can").isNull(), "chunk cannot be split").alias("error"),
-            F.lit(len(ladder.passes)).alias("pass_no"),
-        )
-        part_jobs = split
-        alive = split
-        for label in ("a", "b"):
-            todo = write(parts.where(F.col("part") == label).join(alive, CHUNK, "left_semi"))
-            if todo.isEmpty():
-                break
-            before = len(ladder.passes)
-            ladder.climb(todo)
-            solved = None
-            for answered in ladder.passes[before:]:
-                keys = answered.where(F.col("outcome").isin(SOLVED)).select(*CHUNK)
-                solved = keys if solved is None else solved.unionByName(keys)
-            alive = write(solved.distinct())
-    return _resolve(whole, ladder.passes, split_rows, part_jobs)
-
-
-def _resolve(whole, passes, split_rows, part_jobs) -> LadderResult:
-    calls = passes[0]
-    for other in passes[1:]:
-        calls = calls.unionByName(other)
-    entries = calls
-    if split_rows is not None:
-        entries = calls.unionByName(
-            split_rows.select("*", F.lit("").alias("part"), F.lit("split").alias("action"), F.lit(-1).alias("try_no")),
-            allowMissingColumns=True,
+    spark = chunks.sparkSession
+    key = chunks.schema["job_id"].dataType.simpleString()
+    answers = AnswerLog(log or f"{work_folder(spark)}/answers-{uuid.uuid4().hex}", key)
+    run = answers.next_run(spark)
+    known = answers.read(spark).where("outcome = 'done'").select(*CHUNK)
+    if done is not None:
+        known = known.unionByName(done.select(*CHUNK))
+    turn = F.floor(F.col("chunk_idx") / turn_chunks).cast("long").alias("turn")
+    planned = write(chunks.select(*CHUNK, "start", "end", turn))
+    asked = planned.join(known.distinct(), CHUNK, "left_anti") if done is not None or run else planned
+    sizes = {r["turn"]: r["n"] for r in asked.groupBy("turn").agg(F.count("*").alias("n")).collect()}
+    whole = F.struct(F.lit("").alias("part"), "start", "end", *[c for c in ("payload",) if c in chunks.columns])
+    for number in sorted(sizes):  # one row per turn, and a turn is a bounded number of chunks of each job
+        lost = answers.read(spark).where((F.col("run") == run) & (F.col("outcome") == "lost")).select("job_id").distinct()
+        open_keys = asked.where(F.col("turn") == number).select(*CHUNK)
+        todo = chunks if len(sizes) == 1 else chunks.where(turn == number)
+        if done is not None or run:
+            todo = todo.join(open_keys, CHUNK, "left_semi")
+        if number != min(sizes):
+            todo = todo.join(lost, "job_id", "left_anti")
+        n = tasks or max(-(-sizes[number] // portion), min(sizes[number], spark.sparkContext.defaultParallelism))
+        pieces = todo.select(*CHUNK, F.array(whole).alias("pieces")).repartition(n, *CHUNK).sortWithinPartitions(*CHUNK)
+        answered = answers.append(_ask(pieces, load, settings), run, number, 0)
+        if settings.split_on_failure and splitter is not None:
+            _split(todo, answered, load, settings, splitter, n, answers, run, number)
+    return _resolve(planned, answers, run, done, attempts)
+
+
+def _split(todo, answered, load, settings, splitter, n, answers, run, number) -> None:
+    """The step for chunks that no rung solved: two parts each, asked one after the other."""
+    unsolved = answered.where("outcome = 'unsolved'").select(*CHUNK)
+    if unsolved.isEmpty():
+        return
+    pending = write(todo.join(unsolved, CHUNK, "left_semi").withColumn("part", F.lit("")))
+    piece = F.struct("part", "start", "end", *[c for c in ("payload",) if c in todo.columns])
+    parts = splitter(pending).groupBy(*CHUNK).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    metrics = F.lit(None).cast(METRICS)
+    entry = lambda outcome, error: F.array(
+        F.struct(
+            F.lit("").alias("part"), F.lit("split").alias("action"), F.lit(None).cast("string").alias("stage"),
+            F.lit(None).cast("double").alias("temperature"), F.lit(None).cast("double").alias("audio_seconds"),
+            F.lit(None).cast("double").alias("wall_seconds"), F.lit(outcome).alias("outcome"),
+            F.lit(error).cast("string").alias("error"), F.lit(None).cast("boolean").alias("context_omitted"), metrics.alias("metrics"),
         )
-    # A chunk has a bounded number of entries: rungs times retries, twice with a split.
-    order = Window.partitionBy(*CHUNK).orderBy("pass_no", "try_no")
-    attempts = entries.withColumn("attempt_no", (F.row_number().over(order) - 1).cast("long")).select(
-        *CHUNK, "attempt_no", "part", "action", "stage", "temperature", "audio_seconds", "wall_seconds",
-        "outcome", "error", "context_omitted", "metrics",
     )
-    solved = calls.where(F.col("outcome").isin(SOLVED))
-    pieces = solved.groupBy(*CHUNK).agg(
-        F.bool_or(F.col("part") == "").alias("whole"),
-        F.count_distinct("part").alias("parts"),
-        F.flatten(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("part", "segments"))), lambda x: x["segments"]
-            )
-        ).alias("segments"),
-    )
-    done = pieces.where(F.col("whole") | (F.col("parts") == 2)).select(*CHUNK, "segments")
-    lost = calls.where("fatal").select("job_id").distinct().withColumn("lost", F.lit(True))
-    message = F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("pass_no", "try_no")))
-    errors = calls.groupBy(*CHUNK).agg(message.alias("error"))
-    failed = (
-        whole.join(done, CHUNK, "left_anti")
-        .join(lost, "job_id", "left_anti")
-        .join(errors, CHUNK, "left")
-        .select(*CHUNK, "start", "end", F.coalesce("error", F.lit("no usable transcription")).alias("error"))
+    parts = write(parts)
+    split = parts.withColumn("history", entry("ok", None)).repartition(n, *CHUNK).sortWithinPartitions(*CHUNK)
+    whole = pending.select(*CHUNK).join(parts.select(*CHUNK), CHUNK, "left_anti")
+    unsplit = whole.select(
+        *CHUNK, F.lit("unsolved").alias("outcome"), F.lit(None).cast(SEGMENTS).alias("segments"),
+        entry("error", "chunk cannot be split").alias("history"),
+    )
+    answers.append(_ask(split, load, settings).unionByName(unsplit), run, number, 1)
+
+
+def _resolve(planned: DataFrame, answers: AnswerLog, run: int, done: DataFrame | None, attempts: DataFrame | None) -> LadderResult:
+    spark = planned.sparkSession
+    # The log may know chunks that are not asked for any more.
+    latest = write(answers.latest(spark).join(planned.select(*CHUNK), CHUNK, "left_semi"))
+    entries = latest.select(*CHUNK, F.posexplode("history").alias("attempt_no", "e"))
+    columns = [c.split(":")[0] for c in ENTRY.split("metrics:")[0].rstrip(",").split(",")] + ["metrics"]
+    made = entries.select(*CHUNK, F.col("attempt_no").cast("long").alias("attempt_no"), *[F.col(f"e.{c}").alias(c) for c in columns])
+    solved = latest.where("outcome = 'done'").select(*CHUNK, "segments")
+    if done is not None:
+        earlier = done.join(latest.select(*CHUNK), CHUNK, "left_anti").select(*CHUNK, "segments")
+        solved = solved.unionByName(earlier)
+        if attempts is not None:
+            made = made.unionByName(attempts.join(earlier.select(*CHUNK), CHUNK, "left_semi").select(*made.columns))
+    errors = F.filter(F.transform("history", lambda e: e["error"]), lambda e: e.isNotNull())
+    unsolved = latest.where("outcome = 'unsolved'").select(*CHUNK, F.get(errors, F.size(errors) - 1).alias("error"))
+    failed = planned.join(unsolved, CHUNK).select(
+        *CHUNK, "start", "end", F.coalesce("error", F.lit("no usable transcription")).alias("error")
     )
+    lost = latest.where((F.col("run") == run) & (F.col("outcome") == "lost")).select("job_id").distinct().withColumn("lost", F.lit(True))
     counts = failed.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
     jobs = (
-        whole.select("job_id")
+        planned.select("job_id")
         .distinct()
         .join(lost, "job_id", "left")
         .join(counts, "job_id", "left")
@@ -327,7 +439,7 @@ def _resolve(whole, passes, split_rows, part_jobs) -> LadderResult:
             F.when(F.col("lost"), "failed").when(F.col("n") > 0, "incomplete").otherwise("completed").alias("status"),
         )
     )
-    return LadderResult(attempts, done, failed, jobs)
+    return LadderResult(made, solved, failed, jobs)
 
 
 # --- frame scorers --------------------------------------------------------------------------

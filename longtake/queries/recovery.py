@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import recovery, signal
+from ..operators import answers, recovery, signal
 from ..plans import views
-from ..session import work_folder, stage
+from ..session import stage, work_folder
 from ..settings import InferenceSettings
 from ..streaming import jobs
 from .base import ATTEMPTS, Book
@@ -92,6 +92,131 @@ def udf_3_ladder(spark, sf):
     )
 
 
+# What each kind of chunk goes through: (n, part, action, stage, temperature, solved).
+_RUNGS = [("base", 0.0), ("temperature", 0.2), ("temperature", 0.4)]
+_SCRIPT = [
+    *[(n, "", None, stage, t, int(i == n)) for n in range(6) for i, (stage, t) in enumerate(_RUNGS) if i <= n],
+    (3, "", None, "no_context", 0.0, 1),
+    *[(n, "", "split", None, None, 1) for n in (4, 5)],
+    *[(n, "a", None, "base", 0.0, 1) for n in (4, 5)],
+    (4, "b", None, "base", 0.0, 1),
+    *[(5, "b", None, stage, t, 0) for stage, t in _RUNGS],
+]
+
+
+def _script_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else repr(x)
+    at: dict[int, int] = {}
+    rows = []
+    for n, *rest in _SCRIPT:
+        rows.append(f"({n}, {at.get(n, 0)}, {', '.join(map(quoted, rest))})")
+        at[n] = at.get(n, 0) + 1
+    return f"script(n, attempt_no, part, action, stage, temperature, solved) AS (VALUES {', '.join(rows)})"
+
+
+@BOOK.add(
+    "WITH "
+    + ATTEMPTS
+    + ", "
+    + _script_sql()
+    + """
+SELECT job_id, chunk_idx, CAST(attempt_no AS BIGINT) AS attempt_no, part, action, stage, temperature::DOUBLE AS temperature,
+  CASE WHEN action IS NULL THEN CASE WHEN part = '' THEN 96 ELSE 48 END END AS audio_millis,
+  CASE WHEN solved = 0 THEN 'degenerate' WHEN action IS NULL AND part = '' AND chunk_idx % 5 = 0 THEN 'no_speech' ELSE 'ok' END AS outcome,
+  CASE WHEN solved = 0 THEN CASE n WHEN 3 THEN 'answer repeats the instruction prompt' ELSE 'answer looks like a repetition loop' END END AS error,
+  CASE WHEN action IS NULL THEN stage = 'no_context' END AS context_omitted, CASE WHEN action IS NULL THEN n::DOUBLE END AS tokens
+FROM plan JOIN script ON n = (job_id + chunk_idx) % 6"""
+)
+def udf_3_attempts(spark, sf):
+    """Every try in order, with stage, temperature and error."""
+    return _ladder(spark, sf).attempts.select(
+        "job_id", "chunk_idx", "attempt_no", "part", "action", "stage", "temperature",
+        F.round(F.col("audio_seconds") * 1000).cast("int").alias("audio_millis"), "outcome", "error", "context_omitted",
+        F.col("metrics.completion_tokens").alias("tokens"),
+    )
+
+
+def outage():
+    """Before the repair: chunk 2 of every third job finds no backend, other jobs have chunks that fail."""
+
+    def model(call: recovery.Call):
+        lost, n = call.job_id % 3 == 0, (call.job_id + call.chunk_idx) % 4
+        if lost and call.chunk_idx == 2:
+            raise recovery.TransientError("backend is away")
+        if (n == 1 and call.temperature is None) or (n == 3 and not lost):
+            raise recovery.DegenerateError("answer has no content")
+        return [(call.start, call.end, "before")]
+
+    return model
+
+
+def repaired():
+    def model(call: recovery.Call):
+        if (call.job_id + call.chunk_idx) % 4 == 1 and call.temperature is None:
+            raise recovery.DegenerateError("answer has no content")
+        return [(call.start, call.end, "after")]
+
+    return model
+
+
+@BOOK.add(
+    "WITH "
+    + ATTEMPTS
+    + """, n AS (SELECT *, (job_id + chunk_idx) % 4 AS n, job_id % 3 = 0 AS lost, max(chunk_idx) OVER (PARTITION BY job_id) >= 2 AS third FROM plan),
+c AS (SELECT *, lost AND chunk_idx = 2 AS away, n = 3 AND NOT lost AS failing, CASE WHEN n = 1 THEN 2 ELSE 1 END AS own FROM n)
+SELECT job_id, chunk_idx, CAST(CASE WHEN away OR failing THEN 2 ELSE 0 END + own AS BIGINT) AS calls, CAST(own AS BIGINT) AS kept,
+  CASE WHEN away OR failing THEN 'after' WHEN lost THEN 'either' ELSE 'before' END AS text,
+  CASE WHEN lost AND third THEN 'failed' WHEN bool_or(failing) OVER (PARTITION BY job_id) THEN 'incomplete' ELSE 'completed' END AS first_status,
+  'completed' AS second_status FROM c"""
+)
+def udf_3_resume(spark, sf):
+    """Two runs over one log: the second asks only for what the first left without an answer."""
+    settings = InferenceSettings(retries=1, fallback_temperatures=(0.2,), split_on_failure=False, parallel_requests=2)
+    log = f"{work_folder(spark)}/answers-{uuid.uuid4().hex}"
+    key = ["job_id", "chunk_idx"]
+    chunks = _chunks(spark, sf)
+    first = stage(recovery.run_ladder(chunks, outage, settings, log=log, turn_chunks=16).jobs)
+    second = recovery.run_ladder(chunks, repaired, settings, log=log)
+    rows = recovery.AnswerLog(log).read(spark)
+    calls = rows.groupBy(*key).agg(F.sum(F.size("history")).alias("calls"))
+    kept = second.attempts.groupBy(*key).agg(F.count("*").alias("kept"))
+    open_ended = (F.col("job_id") % 3 == 0) & (F.col("chunk_idx") != 2)  # asked in the first run or the second
+    text = F.when(open_ended, "either").otherwise(F.col("segments")[0]["text"]).alias("text")
+    jobs = first.withColumnRenamed("status", "first_status").join(second.jobs.withColumnRenamed("status", "second_status"), "job_id")
+    done = second.done.select(*key, text)
+    return calls.join(kept, key).join(done, key).join(jobs, "job_id").select(*key, "calls", "kept", "text", "first_status", "second_status")
+
+
+_ANSWERS = "length(text) > 0 AND doc_id % 9 <> 0"
+
+
+@BOOK.add(
+    f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[ \n\t]+|[ \n\t]+$', '', 'g') AS text FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 50 = 0 OR doc_id % 9 = 0 THEN 'degenerate' WHEN text = '' THEN 'no_speech' ELSE 'ok' END AS outcome,
+  CASE WHEN doc_id % 50 = 0 THEN 'answer reached its token limit' WHEN doc_id % 9 = 0 THEN 'answer has no text content' END AS error,
+  CASE WHEN doc_id % 50 > 0 AND {_ANSWERS} THEN text END AS text FROM t"""
+)
+def udf_2_read_answers(spark, sf):
+    """Raw answers, as text, as parts, cut at the limit or without text, read inside the call."""
+    docs = views.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("job_id"), F.lit(0).cast("long").alias("chunk_idx"), F.lit("").alias("part"),
+        F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.coalesce("text", F.lit("")).alias("payload"),
+    )
+    settings = InferenceSettings(retries=0, compression_ratio_threshold=1e9)
+    told = recovery.transcribe(recovery.spread(docs), raw_answers, settings=settings)
+    return told.select(F.col("job_id").alias("doc_id"), "outcome", "error", F.get("segments", F.lit(0))["text"].alias("text"))
+
+
+def raw_answers():
+    def model(call: recovery.Call):
+        text, half = call.payload, len(call.payload) // 2
+        parts = [{"type": "text", "text": text[:half]}, {"type": "image", "text": "pixels"}, {"text": text[half:]}]
+        content = 7 if call.job_id % 9 == 0 else parts if call.job_id % 2 else text
+        return answers.Answer(content, "length" if call.job_id % 50 == 0 else "stop")
+
+    return model
+
+
 @BOOK.add(
     "WITH "
     + ATTEMPTS

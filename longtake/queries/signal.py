@@ -41,6 +41,28 @@ def col_3_normalise_responses(spark, sf):
     return out.select("doc_id", "text", "detected_language", "status", "reason")
 
 
+@BOOK.add(
+    "WITH "
+    + RESPONSES
+    + f""", t AS (SELECT *, {_strip('raw')} AS stripped FROM resp)
+SELECT doc_id, CASE WHEN finish_reason <> 'length' AND doc_id % 7 > 0 THEN stripped END AS text,
+  CASE WHEN finish_reason = 'length' OR doc_id % 7 = 0 THEN 'degenerate' WHEN stripped = '' THEN 'no_speech' ELSE 'ok' END AS status,
+  CASE WHEN finish_reason = 'length' THEN 'length' WHEN doc_id % 7 = 0 THEN 'invalid' END AS reason FROM t"""
+)
+def col_3_content_parts(spark, sf):
+    """Content given as parts: text, something else, and a part without a type."""
+    part = lambda kind, text: F.struct(F.lit(kind).cast("string").alias("type"), text.alias("text"))
+    whole, half = F.col("content"), F.floor(F.length("content") / 2).cast("int")
+    parts = F.array(
+        part("text", F.substring(whole, F.lit(1), half)), part("image", F.lit("pixels")),
+        part(None, F.substring(whole, half + 1, F.length("content"))),
+    )
+    raw = views.responses(spark, sf).withColumn("mode", F.when(F.col("mode") == "json", "json").otherwise("plain"))
+    raw = raw.join(views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("plain")), "doc_id")
+    out = quality.normalise_responses(raw.withColumn("content", F.coalesce("plain", F.lit(""))).withColumn("content", parts))
+    return out.select("doc_id", "text", "status", "reason")
+
+
 @BOOK.add(
     r"""WITH c AS (
   SELECT event_id, CASE k % 8 WHEN 0 THEN 'language None<asr_text>' WHEN 1 THEN 'language none' WHEN 2 THEN 'language None<asr_text> words'

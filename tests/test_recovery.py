@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from longtake.operators import recovery
+from longtake.operators import answers, quality, recovery
 from longtake.operators.recovery import DegenerateError, TransientError
 from longtake.session import stage
 from longtake.settings import InferenceSettings
@@ -101,7 +101,8 @@ def test_other_errors_fail_the_job_at_once(chunks):
 
     _, stages, status = ladder(chunks, answer)
     assert status == {1: "failed", 2: "completed"}
-    assert all(len(stages[(1, i)]) == 1 for i in range(4))
+    asked = [s for (job, _), s in stages.items() if job == 1]
+    assert asked and all(len(s) == 1 for s in asked)  # a task asks nothing more for the job
 
 
 def test_split_at_the_quietest_point(spark):
@@ -129,3 +130,122 @@ def test_scorer_blocks_with_warm_up_equal_one_pass(spark):
     assert one.count() == 100
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
     assert many.select(F.max("frame_idx")).first()[0] == 49
+
+
+def test_after_an_outage_the_rest_is_kept_and_the_next_run_asks_only_what_is_open(spark, tmp_path):
+    """As one task per job works through eight chunks, two at a time."""
+    rows = [(j, i, i * 4.0, i * 4.0 + 4.0) for j in (1, 2) for i in range(8)]
+    chunks = stage(spark.createDataFrame(rows, "job_id long, chunk_idx long, start double, end double"))
+    settings = InferenceSettings(retries=0, parallel_requests=2)
+    log = str(tmp_path / "log")
+
+    def away(c):
+        if c.job_id == 1 and c.chunk_idx == 3:
+            raise TransientError("server down")
+        return [(c.start, c.end, "first")]
+
+    result = recovery.run_ladder(chunks, lambda: away, settings, tasks=1, log=log)
+    assert {r.job_id: r.status for r in result.jobs.collect()} == {1: "failed", 2: "completed"}
+    done = {r.chunk_idx for r in result.done.where("job_id = 1").collect()}
+    asked = {r.chunk_idx for r in result.attempts.where("job_id = 1").collect()}
+    assert 3 in asked and done == asked - {3} and len(done) < 7  # some were never asked
+    again = recovery.run_ladder(chunks, lambda: lambda c: [(c.start, c.end, "second")], settings, tasks=3, log=log)
+    assert {r.job_id: r.status for r in again.jobs.collect()} == {1: "completed", 2: "completed"}
+    texts = {(r.job_id, r.chunk_idx): r.segments[0].text for r in again.done.collect()}
+    assert len(texts) == 16 and {i for (j, i), t in texts.items() if t == "second"} == set(range(8)) - done
+    assert again.attempts.count() == 16
+    calls = recovery.AnswerLog(log).read(spark)
+    assert calls.count() == 16 + 1 and calls.where("run = 1").count() == 8 - len(done)
+    third = recovery.run_ladder(chunks, lambda: lambda c: 1 / 0, settings, log=log)
+    assert third.done.count() == 16 and third.jobs.where("status = 'completed'").count() == 2
+
+
+def test_a_failed_chunk_gets_a_fresh_attempt_and_given_answers_stay(chunks):
+    settings = InferenceSettings(retries=0, fallback_temperatures=(), split_on_failure=False)
+
+    def loops(c):
+        if c.chunk_idx == 2:
+            raise DegenerateError("loop")
+        return [(c.start, c.end, "first")]
+
+    first = recovery.run_ladder(chunks, lambda: loops, settings)
+    assert {r.status for r in first.jobs.collect()} == {"incomplete"}
+    second = recovery.run_ladder(
+        chunks, lambda: lambda c: [(c.start, c.end, "second")], settings, done=first.done, attempts=first.attempts
+    )
+    assert {r.status for r in second.jobs.collect()} == {"completed"} and second.failed.count() == 0
+    texts = {(r.job_id, r.chunk_idx): r.segments[0].text for r in second.done.collect()}
+    assert {k for k, t in texts.items() if t == "second"} == {(1, 2), (2, 2)} and len(texts) == 8
+    assert [r.outcome for r in second.attempts.collect()] == ["ok"] * 8
+
+
+def test_turns_leave_lost_jobs_out(chunks):
+    def away(c):
+        if c.job_id == 1 and c.chunk_idx == 1:
+            raise TransientError("server down")
+        return [(c.start, c.end, "x")]
+
+    result = recovery.run_ladder(chunks, lambda: away, SETTINGS, tasks=8, turn_chunks=2)
+    asked = {(r.job_id, r.chunk_idx) for r in result.attempts.collect()}
+    assert asked == {(1, 0), (1, 1), *((2, i) for i in range(4))}
+
+
+def test_raw_answers_are_read_inside_the_call(chunks):
+    prompt = "please write down every single word that is said"
+    loop = "again and " * 30
+
+    def answer(c):
+        if c.job_id == 2:
+            return answers.Answer([{"type": "text", "text": " first "}, {"type": "image"}, {"text": "second"}])
+        first = [loop, prompt + " hello", "", "cut"][c.chunk_idx]
+        return answers.Answer(first if c.use_prompt and c.temperature is None else "fine", "length" if first == "cut" and c.temperature is None else "stop")
+
+    settings = InferenceSettings(prompt=prompt, retries=0, fallback_temperatures=(0.2,))
+    result, stages, status = ladder(chunks, answer, settings)
+    assert status == {1: "completed", 2: "completed"}
+    assert [o for _, _, o in stages[(1, 0)]] == [o for _, _, o in stages[(1, 1)]] == [o for _, _, o in stages[(1, 3)]] == ["degenerate", "ok"]
+    assert [o for _, _, o in stages[(1, 2)]] == ["no_speech"]
+    assert {r.segments[0].text for r in result.done.where("job_id = 2").collect()} == {"first second"}
+    errors = {r.chunk_idx: r for r in result.attempts.where("job_id = 1 and attempt_no = 0").collect()}
+    assert errors[0].metrics.compression_ratio > 2.4 and errors[3].metrics.finish_reason == "length" and "prompt" in errors[1].error
+
+
+def test_calls_and_tables_read_answers_alike(spark):
+    long = " ".join(f"word{i}" for i in range(20))
+    rows = [
+        ('{"transcript": " a b "}', "json", "stop"), ('{"transcript": 3}', "json", "stop"), ('{"transcript": "a", "b": 1}', "json", "stop"),
+        ("[1]", "json", "stop"), ("nothing", "json", "stop"), (None, "json", "stop"), ("x", "json", "length"), ('{"transcript": ""}', "json", "stop"),
+        ("  plain\n", "plain", "stop"), ("", "plain", "stop"), (long, "plain", None), (None, "plain", "stop"),
+        ("language German<asr_text> ja ", "tagged", "stop"), ("language None<asr_text>", "tagged", "stop"), ("Language none", "tagged", "stop"),
+        ("language None<asr_text>text", "tagged", "stop"), ("no tag", "tagged", "stop"), ("language <asr_text>x", "tagged", "stop"),
+    ]
+    table = quality.normalise_responses(spark.createDataFrame(rows, "content string, mode string, finish_reason string"))
+    expected = {(r.content, r.mode, r.finish_reason): (r.status, r.text, r.detected_language) for r in table.collect()}
+    forced = quality.normalise_responses(spark.createDataFrame(rows, "content string, mode string, finish_reason string"), F.lit("german"))
+    for name, want in (("german", {(r.content, r.mode, r.finish_reason): (r.status, r.text, r.detected_language) for r in forced.collect()}), (None, expected)):
+        for content, mode, finish in rows:
+            try:
+                text, language = answers.read_answer(answers.Answer(content, finish, name), InferenceSettings(response_mode=mode), None, {})
+                got = ("ok" if text else "no_speech", text, language)
+            except DegenerateError:
+                got = ("degenerate", None, None)
+            assert got == want[content, mode, finish], (content, mode, name)
+
+
+def test_a_lost_task_repeats_only_its_own_portion(spark, tmp_path):
+    """A worker that dies once takes no other task's answers with it."""
+    rows = [(1, i, float(i), i + 1.0) for i in range(12)]
+    chunks = stage(spark.createDataFrame(rows, "job_id long, chunk_idx long, start double, end double"))
+    folder = str(tmp_path)
+
+    def load():
+        def model(call):
+            with open(f"{folder}/asked-{call.chunk_idx}", "a") as out:
+                out.write("x")
+            return [(call.start, call.end, "x")]
+
+        return model
+
+    result = recovery.run_ladder(chunks, load, InferenceSettings(), portion=3)
+    assert result.done.count() == 12 and result.attempts.count() == 12 and result.jobs.first().status == "completed"
+    assert all((tmp_path / f"asked-{i}").read_text() == "x" for i in range(12))  # reading the result asks nobody again
