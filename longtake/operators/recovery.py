@@ -38,7 +38,7 @@ ENTRY = (
 )
 SOLVED = ["ok", "no_speech"]
 MIN_SPLIT_SECONDS = 2.0
-PORTION = 64  # chunks of one task
+PORTION = 256  # chunks of one task; a task costs about as much as a fifth of a second of calls
 TURN_CHUNKS = 1000  # chunks of one job that are asked before the log is written and read again
 
 

@@ -15,6 +15,7 @@ from .base import ATTEMPTS, Book
 
 BOOK = Book()
 SETTINGS = InferenceSettings(prompt="Transcribe the audio.", retries=1)
+QUICK = 4096  # chunks of one task where a call takes microseconds
 
 
 def scripted():
@@ -43,7 +44,7 @@ def scripted():
 
 
 def _chunks(spark, sf):
-    return views.chunk_plan(spark, sf)
+    return stage(views.chunk_plan(spark, sf))
 
 
 @BOOK.add(
@@ -59,7 +60,7 @@ def udf_2_transcribe(spark, sf):
 
 def _ladder(spark, sf):
     return recovery.run_ladder(
-        _chunks(spark, sf), scripted, SETTINGS, splitter=recovery.split_in_middle(0.0)
+        _chunks(spark, sf), scripted, SETTINGS, splitter=recovery.split_in_middle(0.0), portion=QUICK
     )
 
 
@@ -175,8 +176,8 @@ def udf_3_resume(spark, sf):
     log = f"{work_folder(spark)}/answers-{uuid.uuid4().hex}"
     key = ["job_id", "chunk_idx"]
     chunks = _chunks(spark, sf)
-    first = stage(recovery.run_ladder(chunks, outage, settings, log=log, turn_chunks=16).jobs)
-    second = recovery.run_ladder(chunks, repaired, settings, log=log)
+    first = stage(recovery.run_ladder(chunks, outage, settings, log=log, turn_chunks=16, portion=QUICK).jobs)
+    second = recovery.run_ladder(chunks, repaired, settings, log=log, portion=QUICK)
     rows = recovery.AnswerLog(log).read(spark)
     calls = rows.groupBy(*key).agg(F.sum(F.size("history")).alias("calls"))
     kept = second.attempts.groupBy(*key).agg(F.count("*").alias("kept"))
