@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..plans import views
@@ -56,6 +57,26 @@ def src_2_read_events_stream(spark, sf):
     return _slim(jobs.run_to_table(stream))
 
 
+@BOOK.add(_LOG)
+def src_2_growing_log_stream(spark, sf):
+    """A log read in two runs of one query while it grows; every file ends in a line without its newline."""
+
+    def open_ended(batches):
+        for batch in batches:
+            yield batch.assign(value=batch["value"] + "\n")
+        yield pd.DataFrame({"value": ['{"schema_version": 1, "seq": -1, "type": "unfinished"}']})
+
+    folder = f"{work_folder(spark)}/growing-{uuid.uuid4().hex}"
+    lines = spark.read.text(_log_lines(spark, sf))
+    early = F.pmod(F.xxhash64("value"), F.lit(2)) == 0
+    checkpoint, path = f"{folder}/_progress", f"{folder}/_out"
+    for i, half in enumerate((early, ~early)):
+        lines.where(half).mapInPandas(open_ended, "value string").write.option("lineSep", " ").text(f"{folder}/part={i}")
+        stream = event_source.read_events(spark, folder, stream=True, growing=True)
+        jobs.start(stream, jobs.to_table(path), checkpoint=checkpoint).awaitTermination()
+    return _slim(spark.read.option("basePath", path).parquet(f"{path}/batch=*"))
+
+
 def _slim(events):
     return events.select(
         "run_id", "seq", "type", "job_id", F.get_json_object("data", "$.index").cast("int").alias("idx")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EVENT_LINE
+from .growing import read_growing
 
 
 def parse_events(lines: DataFrame, type_prefix: str | None = None) -> DataFrame:
@@ -26,10 +27,17 @@ def read_events(
     *,
     stream: bool = False,
     files_per_trigger: int | None = None,
+    growing: bool = False,
 ) -> DataFrame:
-    """Read event logs as a table or a stream. Writers should publish files atomically."""
+    """Read event logs as a table or a stream.
+
+    Files of a plain stream are taken once, so writers should publish them atomically. With
+    ``growing`` their writers may append: lines follow as they are finished.
+    """
     if not stream:
         return parse_events(spark.read.text(path), type_prefix)
+    if growing:
+        return parse_events(read_growing(spark, path), type_prefix)
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

@@ -13,7 +13,7 @@ from longtake.operators import signal
 from longtake.plans.views import stream_of
 from longtake.session import stage
 from longtake.sources import events as source
-from longtake.sources import media, state
+from longtake.sources import growing, media, state
 from longtake.streaming import fold, jobs, series, watch
 
 
@@ -229,3 +229,56 @@ def test_written_views_follow_their_table(spark, tmp_path):
         assert views.frames(spark, str(tmp_path)).count() == n
     session.release(spark)
     assert views.frames(spark, str(tmp_path)).count() == 80
+
+
+def test_a_growing_log_gives_each_line_once_it_is_finished(spark, tmp_path):
+    folder, out = tmp_path / "logs", str(tmp_path / "out")
+    folder.mkdir()
+    log = folder / "a.jsonl"
+
+    def step():
+        stream = source.read_events(spark, str(folder), stream=True, growing=True)
+        jobs.start(stream, jobs.to_table(out), checkpoint=str(tmp_path / "progress")).awaitTermination()
+        return sorted(r.seq for r in spark.read.parquet(f"{out}/batch=*").collect())
+
+    log.write_text(event(1, "log") + "\n" + event(2, "log")[:20])
+    assert step() == [1]
+    with log.open("a") as more:
+        more.write(event(2, "log")[20:])
+    assert step() == [1]  # whole, but its newline may still be to come
+    with log.open("a") as more:
+        more.write("\r\n" + event(3, "log") + "\n" + event(4, "l")[:5])
+    (folder / "b.jsonl").write_text(event(10, "log") + "\n")
+    (folder / "_c.jsonl").write_text(event(11, "log") + "\n")
+    assert step() == [1, 2, 3, 10]
+    log.write_text(event(20, "log") + "\n")  # replaced by another log, and shorter
+    assert step() == [1, 2, 3, 10, 20]
+    assert step() == [1, 2, 3, 10, 20]
+
+
+def test_parts_of_a_growing_log_cover_each_line_once(tmp_path):
+    rng = random.Random(7)
+    texts = ["x" * rng.choice([0, 1, 5, 40, 300]) for _ in range(200)]
+    path = tmp_path / "log"
+    path.write_text("\n".join(texts) + "\nunfinished")
+    for part_bytes in (1, 2, 7, 64, 1000, 10**6):
+        reader = growing.GrowingLogReader({"path": str(tmp_path), "partBytes": str(part_bytes)})
+        parts = reader.partitions({}, reader.latestOffset())
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [r["value"] for r in rows] == texts
+        data = path.read_bytes()
+        assert all(data[r["offset"] :].startswith(r["value"].encode() + b"\n") for r in rows)
+
+
+def test_a_long_unfinished_line_stays_back(tmp_path, monkeypatch):
+    monkeypatch.setattr(growing, "STEP", 16)
+    path = tmp_path / "log"
+    path.write_text("first line of some length\n" + "y" * 100)
+    reader = growing.GrowingLogReader({"path": str(tmp_path)})
+    [(crc, end)] = reader.latestOffset().values()
+    assert end == 26
+    with path.open("a") as more:
+        more.write("y\nz")
+    assert list(reader.latestOffset().values()) == [[crc, 26 + 102]]
+    path.write_text("no newline at all")
+    assert reader.latestOffset() == {}
