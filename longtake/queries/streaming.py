@@ -12,7 +12,7 @@ from ..schemas import RESOURCE_KEYS
 from ..session import work_folder, stage
 from ..sources import events as event_source
 from ..sources import media, state
-from ..streaming import fold, jobs, series, watch
+from ..streaming import alarms, fold, jobs, series, watch
 from .base import EVENTS, MEDIA, OBSERVATIONS, RUN_EVENTS, Book, rounded
 
 BOOK = Book()
@@ -280,6 +280,36 @@ def str_4_stable_files_stream(spark, sf):
     return out.select("path", "scan", "stable_count", "failures_before", "ready")
 
 
+def _to_the_end(spark, events, make, key="run_id"):
+    """Rows of a stream over all files of ``events``, run until the watermark has passed them all.
+
+    A last file holds one row with a key of its own, far behind the others, that moves the watermark.
+    """
+    folder = f"{work_folder(spark)}/closed-{uuid.uuid4().hex}"
+    events.write.parquet(f"{folder}/log")
+    clock = events.orderBy(F.desc("ts")).limit(1)
+    clock = clock.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 30 DAYS"), key: F.lit("~clock")})
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/log")
+    out = make(source.withWatermark("ts", "1 day"))
+    for last in (False, True):
+        if last:
+            clock.write.mode("append").parquet(f"{folder}/log")
+        jobs.start(out, jobs.to_table(f"{folder}/out"), checkpoint=f"{folder}/progress").awaitTermination()
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+
+
+@BOOK.add(
+    OBSERVATIONS_RESULTS.replace("SELECT path, scan, cnt::BIGINT", "SELECT 'in/' || path || '.wav' AS path, scan, cnt::BIGINT")
+)
+def str_4_shuffled_scans(spark, sf):
+    """Scans in any order give the rows of the table form."""
+    name = F.concat(F.lit("in/"), F.col("path"), F.lit(".wav"))
+    seen = _with_results(spark, sf).withColumns({"path": name, "ts": F.timestamp_seconds(F.col("scan") * 60)})
+    shuffled = seen.repartition(7, F.xxhash64("path", "scan"))
+    out = _to_the_end(spark, shuffled, watch.stable_files_in_order, "path").where(F.col("path") != "~clock")
+    return out.select("path", "scan", "stable_count", "failures_before", "ready")
+
+
 SAMPLES_SQL = (
     RUN_EVENTS
     + """,
@@ -352,6 +382,21 @@ def str_6_stalls(spark, sf):
     return found.select("run_id", "seq", F.round("idle_seconds", 6).alias("idle_seconds"))
 
 
+@BOOK.add(
+    "WITH "
+    + RUN_EVENTS
+    + f""", a AS (SELECT run_id, seq, type, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER w AS n, lead(seq) OVER w AS nseq FROM run_events WHERE type <> 'resource.sample' WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+q AS (SELECT * FROM a WHERE type <> 'run.finished' AND (n IS NULL OR n - t >= {_GAP}000000))
+SELECT run_id, 'raised' AS kind, CAST(NULL AS BIGINT) AS seq, t AS idle_from, t + {_GAP}000000 AS at FROM q
+UNION ALL SELECT run_id, 'cleared', nseq, t, n FROM q WHERE n IS NOT NULL"""
+)
+def str_6_stalls_stream(spark, sf):
+    """Alarms of a replayed log: the same as from the whole table, whatever the order of its files."""
+    found = _to_the_end(spark, views.run_event_files(spark, sf), lambda s: alarms.stall_alarms(s, _GAP, live=False))
+    found = found.where(F.col("run_id") != "~clock")
+    return found.select("run_id", "kind", "seq", F.unix_micros("idle_from").alias("idle_from"), F.unix_micros("at").alias("at"))
+
+
 _SESSIONS = (
     "WITH "
     + RUN_EVENTS

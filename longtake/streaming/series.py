@@ -135,16 +135,6 @@ def activity_sessions(events: DataFrame, gap_seconds: int = STALL_SECONDS) -> Da
     )
 
 
-def activity_sessions_stream(events: DataFrame, gap_seconds: int = STALL_SECONDS) -> DataFrame:
-    """The same over a stream with a watermark: a closed session is a run that has stalled since."""
-    active = events.where(F.col("type") != "resource.sample")
-    return (
-        active.groupBy("run_id", F.session_window("ts", f"{gap_seconds} seconds").alias("s"))
-        .agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_event"))
-        .select("run_id", F.col("s.start").alias("first_event"), "last_event", "events")
-    )
-
-
 # --- telemetry lines ------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordered import neighbours, running
 from ..session import stage
+from .held import InOrder, in_order
 
 SCAN_BLOCK = 1 << 16
 SUCCESS = ["completed", "skipped", "prepared"]
@@ -81,6 +82,27 @@ _STATE = (
 )
 
 
+_UNSEEN = (-9, -1, -1, 0, -1, -1, -1, -1, 0)
+
+
+def _answer(seen: tuple, row: tuple, stable_scans: int, limit: int) -> tuple[tuple, tuple]:
+    """What is known of a path after one more scan, and (stable_count, failures_before, ready) of that scan."""
+    scan, size, mtime, count, ds, dm, ts, tm, tries = seen
+    number, own_size, own_mtime, status = row
+    known = own_size == size and own_mtime == mtime
+    count = count + 1 if known and number == scan + 1 else 1
+    if (ts, tm) != (own_size, own_mtime):
+        ts, tm, tries = own_size, own_mtime, 0
+    answer = count, tries, count >= stable_scans and (ds, dm) != (own_size, own_mtime) and tries < limit
+    if status in SUCCESS:
+        ds, dm, tries = own_size, own_mtime, 0
+    elif status is not None:
+        tries += 1
+        if tries >= limit:
+            ds, dm = own_size, own_mtime
+    return tuple(int(x) for x in (number, own_size, own_mtime, count, ds, dm, ts, tm, tries)), answer
+
+
 def _watch(stable_scans: int, limit: int, forget: int | None):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -88,26 +110,17 @@ def _watch(stable_scans: int, limit: int, forget: int | None):
             return
         rows = pd.concat(list(batches)).sort_values("scan")
         scan, size, mtime, count, ds, dm, ts, tm, tries = (
-            state.get if state.exists else (-9, -1, -1, 0, -1, -1, -1, -1, 0)
+            state.get if state.exists else _UNSEEN
         )
         out = []
         for row in rows.itertuples():
             if row.scan <= scan:  # behind a scan that has been answered: no count can be right now
                 out.append((key[0], row.scan, None, None, False))
                 continue
-            known = row.size_ == size and row.mtime == mtime
-            count = count + 1 if known and row.scan == scan + 1 else 1
-            if (ts, tm) != (row.size_, row.mtime):
-                ts, tm, tries = row.size_, row.mtime, 0
-            ready = count >= stable_scans and (ds, dm) != (row.size_, row.mtime) and tries < limit
-            out.append((key[0], row.scan, count, tries, ready))
-            scan, size, mtime = row.scan, row.size_, row.mtime
-            if row.status in SUCCESS:
-                ds, dm, tries = size, mtime, 0
-            elif row.status is not None:
-                tries += 1
-                if tries >= limit:
-                    ds, dm = size, mtime
+            seen = (scan, size, mtime, count, ds, dm, ts, tm, tries)
+            seen, answer = _answer(seen, (row.scan, row.size_, row.mtime, row.status), stable_scans, limit)
+            scan, size, mtime, count, ds, dm, ts, tm, tries = seen
+            out.append((key[0], row.scan, *answer))
         state.update(tuple(int(x) for x in (scan, size, mtime, count, ds, dm, ts, tm, tries)))
         if forget is not None:
             state.setTimeoutDuration(forget)
@@ -136,3 +149,45 @@ def stable_files_stream(
     return named.groupBy("path").applyInPandasWithState(
         step, result, _STATE, "append", timeout
     )
+
+
+class _Ordered(InOrder):
+    """Scans of a path in the order of their time; those that come late wait for nothing any more."""
+
+    WAITING = "time long, number long, size long, mtime long, status string"
+    STATE = _STATE + ", at long"
+    COLUMNS = ("path", "scan", "stable_count", "failures_before", "ready")
+
+    def __init__(self, stable_scans: int, limit: int, forget_us: int | None) -> None:
+        self.stable_scans, self.limit, self.forget = stable_scans, limit, forget_us
+
+    def rows_of(self, batch: pd.DataFrame) -> pd.DataFrame:
+        return batch[["at", "scan", "size_", "mtime", "status"]]
+
+    def take(self, key, state, row, out):
+        at, number, size, mtime, status = row
+        seen, answer = _answer(_UNSEEN if state is None else state[:-1], (number, size, mtime, status), self.stable_scans, self.limit)
+        out.append((key[0], number, *answer))
+        return (*seen, at)
+
+    def wake(self, key, state, now, out):
+        return None if self.forget is not None and state[-1] + self.forget < now * 1000 else state
+
+    def next_wake(self, state):
+        return None if self.forget is None else (state[-1] + self.forget) // 1000 + 1
+
+
+def stable_files_in_order(
+    observations: DataFrame, *, stable_scans: int = 2, retries: int = 2, forget_days: float | None = None
+) -> DataFrame:
+    """The same over a stream ``(path, ts, scan, size, mtime, status)`` with a watermark on ``ts``, in any order.
+
+    Scans wait until the watermark has passed their time and are then answered in order, so every
+    scan within the watermark's delay gets the answer that the table form gives. A path holds one
+    small row and its waiting scans; it is forgotten ``forget_days`` after its last scan.
+    """
+    kind = observations.schema["path"].dataType.simpleString()
+    named = observations.select("path", "scan", F.col("size").alias("size_"), "mtime", "status", "ts", F.unix_micros("ts").alias("at"))
+    forget = None if forget_days is None else int(forget_days * 86_400_000_000)
+    processor = _Ordered(stable_scans, retries + 1, forget)
+    return in_order(named, ["path"], processor, f"path {kind}, scan long, stable_count long, failures_before long, ready boolean")
