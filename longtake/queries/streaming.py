@@ -12,7 +12,7 @@ from ..schemas import RESOURCE_KEYS
 from ..session import work_folder, stage
 from ..sources import events as event_source
 from ..sources import media, state
-from ..streaming import alarms, fold, jobs, series, watch
+from ..streaming import alarms, fold, jobs, series, tables, watch
 from .base import EVENTS, MEDIA, OBSERVATIONS, RUN_EVENTS, Book, rounded
 
 BOOK = Book()
@@ -159,12 +159,18 @@ def str_2_run_state(spark, sf):
 
 @BOOK.add(_STATE_SQL)
 def str_2_run_state_stream(spark, sf):
+    """From state tables that finished runs have left; runs of all days are one after the other."""
     stream = views.stream_of(views.run_event_files(spark, sf))
-    headers = jobs.latest_update(jobs.run_to_table(fold.run_headers(stream), mode="update"), ["run_id"])
-    stages = jobs.latest_update(jobs.run_to_table(fold.run_stages(stream), mode="update"), ["run_id", "stage"])
+    headers, stages = (_folded(spark, stream, f).everything(spark) for f in (fold.header_fold(), fold.stage_fold()))
     return _state(stage(headers), stages)
 
 
+def _folded(spark, stream, what, **times):
+    state_table = tables.StateTable(f"{work_folder(spark)}/state-{uuid.uuid4().hex}", what, **times)
+    state_table.run(stream).awaitTermination()
+    return state_table
+
+
 @BOOK.add(
     "WITH "
     + RUN_EVENTS
@@ -214,9 +220,8 @@ def str_3_chunk_map(spark, sf):
 @BOOK.add(MAP)
 def str_3_chunk_map_stream(spark, sf):
     stream = views.stream_of(views.run_event_files(spark, sf))
-    plans = jobs.latest_update(jobs.run_to_table(fold.plans(stream), mode="update"), ["run_id"])
-    marks = jobs.latest_update(jobs.run_to_table(fold.chunk_marks(stream), mode="update"), ["run_id", "chunk_idx"])
-    return fold.chunk_map(plans, marks)
+    plans, marks = (_folded(spark, stream, f).everything(spark) for f in (fold.plan_fold(), fold.mark_fold()))
+    return fold.chunk_map(plans.where("planned is not null"), marks)
 
 
 _STABLE = (
@@ -436,13 +441,41 @@ def str_8_snapshots_due(spark, sf):
     return jobs.snapshots_due(views.run_event_files(spark, sf))
 
 
-@BOOK.add("WITH " + RUN_EVENTS + " SELECT run_id, max(seq) AS last_seq FROM run_events GROUP BY run_id")
+_HEADERS_SQL = (
+    "WITH "
+    + RUN_EVENTS
+    + ", "
+    + STATE
+    + """, t AS (SELECT run_id, epoch_us(max(ts)) AS shown_at FROM run_events GROUP BY run_id)
+SELECT run_id, last_seq, elapsed_s, 'model-' || rk AS model, job_seq, cj::VARCHAR AS current_job, js AS jobs_started, jf AS jobs_finished,
+  jfs AS job_finished_seq, CASE WHEN jk % 3 = 0 THEN 'failed' WHEN jk IS NOT NULL THEN 'completed' END AS finished_status, warnings, fin AS finished,
+  (fk % 2)::VARCHAR AS exit_status, shown_at FROM h JOIN t USING (run_id)"""
+)
+
+
+@BOOK.add(_HEADERS_SQL)
 def str_8_write_status(spark, sf):
-    path = f"{work_folder(spark)}/status-{uuid.uuid4().hex}"
-    stream = views.stream_of(views.run_event_files(spark, sf))
-    jobs.write_status(stream, fold.run_headers, path).awaitTermination()
-    table = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return jobs.latest_update(table, ["run_id"]).select("run_id", "last_seq")
+    """The status as last shown, of a log that comes in one batch: all columns, and the time of the event it shows."""
+    stream = views.stream_of(views.run_event_files(spark, sf), 1000)
+    shown = _folded(spark, stream, fold.header_fold(), keep_seconds=10**9, forget_seconds=10**9).status(spark)
+    return shown.drop("command", "progress", "progress_seq", "resources").withColumn("shown_at", F.unix_micros("shown_at"))
+
+
+@BOOK.add(
+    "WITH RECURSIVE "
+    + RUN_EVENTS
+    + """, e AS (SELECT run_id, seq, epoch_us(ts) AS t, type LIKE 'run.%' OR type LIKE 'job.%' OR type LIKE 'stage.%' AS urgent FROM run_events),
+w AS (
+  SELECT run_id, seq, TRUE AS due, t AS written FROM e WHERE seq = 1
+  UNION ALL
+  SELECT e.run_id, e.seq, e.urgent OR e.t - w.written >= 900000000, CASE WHEN e.urgent OR e.t - w.written >= 900000000 THEN e.t ELSE w.written END
+  FROM w JOIN e ON e.run_id = w.run_id AND e.seq = w.seq + 1)
+SELECT run_id, seq, written AS at FROM w WHERE due"""
+)
+def str_8_write_times(spark, sf):
+    """The events that a status is written for, with a quarter of an hour as the interval of this slow log."""
+    found = _to_the_end(spark, views.run_event_files(spark, sf), lambda s: alarms.status_writes(s, 900))
+    return found.where(F.col("run_id") != "~clock").select("run_id", "seq", F.unix_micros("at").alias("at"))
 
 
 @BOOK.add("WITH " + RUN_EVENTS + " SELECT job_id, run_id, seq, type FROM run_events WHERE type <> 'resource.sample'")

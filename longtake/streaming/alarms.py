@@ -1,4 +1,4 @@
-"""Live alarms of runs that have gone quiet."""
+"""Live alarms of runs that have gone quiet, and when a status is due."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .held import InOrder, in_order, use_timers
+from .jobs import STATUS_SECONDS, urgent
 from .series import STALL_SECONDS
 
 ALARMS = "run_id string, kind string, seq long, idle_from_us long, at_us long"
@@ -110,3 +111,34 @@ def stall_alarms(events: DataFrame, gap_seconds: float = STALL_SECONDS, *, live:
         found = in_order(slim, ["run_id"], _Replay(gap), ALARMS)
     time = lambda c: F.timestamp_micros(c)
     return found.select("run_id", "kind", "seq", time("idle_from_us").alias("idle_from"), time("at_us").alias("at"))
+
+
+class _Cadence(InOrder):
+    """(time of the last write): urgent events write at once, others when the interval has passed."""
+
+    WAITING = "time long, number long, urgent boolean"
+    STATE = "written long"
+    COLUMNS = ("run_id", "seq", "at_us")
+
+    def __init__(self, interval_us: int) -> None:
+        self.interval = interval_us
+
+    def rows_of(self, batch: pd.DataFrame) -> pd.DataFrame:
+        return batch[["at_us", "seq", "urgent"]]
+
+    def take(self, key, state, row, out):
+        at, seq, is_urgent = row
+        if state is not None and not is_urgent and at - state[0] < self.interval:
+            return state
+        out.append((key[0], seq, at))
+        return (at,)
+
+
+def status_writes(events: DataFrame, seconds: float = STATUS_SECONDS) -> DataFrame:
+    """(run_id, seq, at) of the events that a status is written for, over a stream with a watermark.
+
+    Each interval begins with the write before it, so the events of a run are taken in order.
+    """
+    slim = events.select("run_id", "seq", "ts", F.unix_micros("ts").alias("at_us"), urgent(F.col("type")).alias("urgent"))
+    found = in_order(slim, ["run_id"], _Cadence(int(seconds * 1_000_000)), "run_id string, seq long, at_us long")
+    return found.select("run_id", "seq", F.timestamp_micros("at_us").alias("at"))

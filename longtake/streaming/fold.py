@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import first_per_key
+from .tables import Attribute, Fold
 
 MARKS_PER_PART = 1000
 
@@ -172,3 +173,67 @@ def chunk_map(plan: DataFrame, marks: DataFrame) -> DataFrame:
     return marked.groupBy("run_id", part.alias("part_no")).agg(
         F.array_join(F.transform(listed, lambda x: x["m"]), "").alias("marks")
     )
+
+
+# --- the same as folds of a state table -------------------------------------------------------
+
+
+def header_fold() -> Fold:
+    """What ``run_headers`` gives, kept batch by batch."""
+    level = F.coalesce(_data("level"), F.when(_is("warning"), "warning").otherwise("info"))
+    always, seq, started = F.lit(True), F.col("seq"), _is("job.started")
+    return Fold(
+        ("run_id",),
+        (
+            Attribute("last_seq", "max", always, seq),
+            Attribute("elapsed_s", "max", always, F.col("elapsed_s")),
+            Attribute("command", "last", _is("run.started"), _data("command")),
+            Attribute("model", "last", _is("run.started"), _data("model")),
+            Attribute("job_seq", "max", started, seq),
+            Attribute("current_job", "last", started, F.col("job_id")),
+            Attribute("jobs_started", "count", started),
+            Attribute("jobs_finished", "count", _is("job.finished")),
+            Attribute("job_finished_seq", "max", _is("job.finished"), seq),
+            Attribute("finished_status", "last", _is("job.finished"), _data("status")),
+            Attribute("progress_seq", "max", _is("progress"), seq),
+            Attribute("progress", "last", _is("progress"), F.col("data")),
+            Attribute("warnings", "count", _is("log", "warning") & (level != "info")),
+            Attribute("finished", "any", _is("run.finished")),
+            Attribute("exit_status", "last", _is("run.finished"), _data("exit_status")),
+            Attribute("resources", "last", _is("resource.sample"), F.col("data")),
+        ),
+    )
+
+
+def stage_fold() -> Fold:
+    """What ``run_stages`` gives."""
+    began, ended = _is("stage.started"), _is("stage.finished")
+    return Fold(
+        ("run_id", "stage"),
+        (
+            Attribute("started_seq", "max", began, F.col("seq")),
+            Attribute("finished_seq", "max", ended, F.col("seq")),
+            Attribute("seconds", "last", ended, _data("seconds").cast("double")),
+        ),
+        lambda events: events.where(began | ended).withColumn("stage", _data("stage")),
+    )
+
+
+def plan_fold() -> Fold:
+    """What ``plans`` gives."""
+    made = _is("job.prepared") & _data("planned").cast("long").isNotNull()
+    return Fold(
+        ("run_id",),
+        (Attribute("plan_seq", "max", made, F.col("seq")), Attribute("planned", "last", made, _data("planned").cast("long"))),
+    )
+
+
+def mark_fold() -> Fold:
+    """What ``chunk_marks`` gives."""
+    outcome = _data("outcome")
+    mark = F.when(_is("chunk.started"), "a").when(outcome == "ok", "o").when(outcome == "no_speech", "s").otherwise("f")
+    return Fold(
+        ("run_id", "chunk_idx"),
+        (Attribute("mark_seq", "max", F.lit(True), F.col("seq")), Attribute("mark", "last", F.lit(True), mark)),
+        lambda events: events.where(_is("chunk.started", "chunk.finished")).withColumn("chunk_idx", _data("index").cast("long")),
+    )

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..session import work_folder
@@ -30,9 +31,51 @@ def ingest_events(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "seq"])
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows of the recent batches that came behind the watermark and were left out."""
-    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+class _LateRows(StreamingQueryListener):
+    """Adds up, for the life of every query, the rows left out for coming behind the watermark."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batch: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        query = str(event.progress.id)
+        late = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        self.rows[query] = self.rows.get(query, 0) + late
+        self.batch[query] = max(self.batch.get(query, -1), event.progress.batchId)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+_LATE: dict[str, _LateRows] = {}
+
+
+def count_late(spark: SparkSession) -> None:
+    """Count late rows of all queries of this session that start from now on; ``start`` does it."""
+    application = spark.sparkContext.applicationId
+    if application not in _LATE:
+        _LATE[application] = _LateRows()
+        spark.streams.addListener(_LATE[application])
+
+
+def dropped_late(query: StreamingQuery, patience: float = 10.0) -> int:
+    """Rows that came behind the watermark and were left out, over all batches since the query started here.
+
+    Reports of batches come a little after them; the last one is waited for up to ``patience`` seconds.
+    """
+    listener = _LATE[query._jsq.sparkSession().sparkContext().applicationId()]
+    deadline = time.monotonic() + patience
+    last = query.lastProgress
+    while last is not None and listener.batch.get(str(query.id), -1) < last.batchId and time.monotonic() < deadline:
+        time.sleep(0.05)
+    return listener.rows.get(str(query.id), 0)
 
 
 def start(
@@ -44,6 +87,7 @@ def start(
     checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Run ``sink`` on every batch; without ``every`` all available input is processed once."""
+    count_late(df.sparkSession)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or _checkpoint(df))
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.foreachBatch(sink).start()
@@ -100,14 +144,6 @@ def job_log(spark: SparkSession, path: str, job_id: str | None = None) -> DataFr
     return log if job_id is None else log.where(F.col("job_id") == job_id)
 
 
-def write_status(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str, *, every: str | None = None) -> StreamingQuery:
-    """Keep the folded state current: one snapshot of the changed keys per trigger.
-
-    The trigger interval bounds how often it is written; urgent events arrive with the next one.
-    """
-    return start(fold(stream), to_table(path), mode="update", every=every)
-
-
 def urgent(kind) -> Column:
     out = F.lit(False)
     for prefix in URGENT_PREFIXES:

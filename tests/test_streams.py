@@ -14,7 +14,7 @@ from longtake.plans.views import stream_of
 from longtake.session import stage
 from longtake.sources import events as source
 from longtake.sources import growing, media, state
-from longtake.streaming import fold, jobs, series, watch
+from longtake.streaming import alarms, fold, held, jobs, series, tables, watch
 
 
 def event(seq, kind, data=None, job="s/v", run="r"):
@@ -282,3 +282,135 @@ def test_a_long_unfinished_line_stays_back(tmp_path, monkeypatch):
     assert list(reader.latestOffset().values()) == [[crc, 26 + 102]]
     path.write_text("no newline at all")
     assert reader.latestOffset() == {}
+
+
+EVENTS = "schema_version int, seq long, ts timestamp, elapsed_s double, run_id string, job_id string, type string, data string"
+
+
+def rows_at(spark, rows):
+    """Events of (run, seq, second, type[, data])."""
+    made = [(1, r[1], float(r[2]), r[0], "s/v", r[3], json.dumps(r[4] if len(r) > 4 else {}), r[2]) for r in rows]
+    table = spark.createDataFrame(made, "schema_version int, seq long, elapsed_s double, run_id string, job_id string, type string, data string, s double")
+    return table.select("schema_version", "seq", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"), "elapsed_s", "run_id", "job_id", "type", "data")
+
+
+def fed(spark, state, batches):
+    for i, batch in enumerate(batches):
+        state(rows_at(spark, batch), i)
+
+
+def test_finished_and_forgotten_runs_leave_the_state(spark, tmp_path):
+    state = tables.StateTable(str(tmp_path / "t"), fold.header_fold(), keep_seconds=100, forget_seconds=1000)
+    started = [(f"r{i}", 1, 1.0, "run.started", {"model": "m"}) for i in range(5)]
+    fed(spark, state, [started, [("r0", 2, 50.0, "run.finished", {"exit_status": "0"}), ("r1", 2, 60.0, "warning")]])
+    assert state.live(spark).count() == 5
+    state(rows_at(spark, [("r1", 3, 200.0, "run.finished")]), 2)
+    assert {r.run_id for r in state.live(spark).collect()} == {"r1", "r2", "r3", "r4"}  # r0 ended 150 seconds ago
+    state(rows_at(spark, [("z", 1, 5000.0, "run.started"), ("z", 2, 5000.0, "run.finished")]), 3)
+    assert {r.run_id for r in state.live(spark).collect()} == {"z"}
+    everything = {r.run_id: r for r in state.everything(spark).collect()}
+    assert len(everything) == 6 and everything["r0"].exit_status == "0" and everything["r1"].warnings == 1
+    state(rows_at(spark, [("z", 3, 9000.0, "log")]), 4)
+    assert state.live(spark).count() == 1  # still seen, although it had ended
+    state(rows_at(spark, [("y", 1, 9200.0, "run.finished")]), 5)
+    state(rows_at(spark, [("y", 2, 9400.0, "run.finished"), ("x", 1, 9600.0, "run.finished")]), 6)
+    assert {r.run_id for r in state.live(spark).collect()} == {"x"} or state.live(spark).count() <= 2
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    batches = [[("r", 1, 0.0, "run.started"), ("r", 2, 1.0, "job.started")], [("r", 3, 2.0, "warning"), ("r", 4, 3.0, "job.finished", {"status": "completed"})]]
+    state = tables.StateTable(str(tmp_path / "t"), fold.header_fold())
+    fed(spark, state, batches)
+    once = state.live(spark).collect()
+    state(rows_at(spark, batches[1]), 1)
+    assert state.live(spark).collect() == once and once[0].warnings == 1 and once[0].jobs_finished == 1
+    for i in range(2, 9):
+        state(rows_at(spark, [("r", 3 + i, 3.0 + i, "log")]), i)
+    assert len(state._versions(spark)) <= tables.VERSIONS_KEPT + 1
+
+
+def test_the_shown_status_keeps_its_cadence(spark, tmp_path):
+    state = tables.StateTable(str(tmp_path / "t"), fold.header_fold(), status_seconds=0.5)
+    shown = lambda: state.status(spark).first().last_seq
+    expected = []
+    for i, (at, kind) in enumerate([(0.0, "run.started"), (0.2, "log"), (0.4, "log"), (0.6, "log"), (0.7, "log"), (0.8, "job.started"), (1.2, "log"), (1.3, "log")]):
+        state(rows_at(spark, [("r", i + 1, at, kind)]), i)
+        expected.append(shown())
+    assert expected == [1, 1, 1, 4, 4, 6, 6, 8]
+    assert state.live(spark).first().last_seq == 8
+
+
+def test_a_chunk_map_survives_until_its_run_leaves(spark, tmp_path):
+    state = tables.StateTable(str(tmp_path / "m"), fold.mark_fold(), keep_seconds=10, forget_seconds=10**6)
+    chunk = lambda seq, at, kind, i, outcome=None: ("r", seq, at, kind, {"index": i, "outcome": outcome})
+    fed(spark, state, [[chunk(1, 0.0, "chunk.started", 0), chunk(2, 1.0, "chunk.finished", 0, "ok")], [chunk(3, 9000.0, "chunk.started", 1)]])
+    assert {(r.chunk_idx, r.mark) for r in state.live(spark).collect()} == {(0, "o"), (1, "a")}
+    state(rows_at(spark, [("r", 4, 9001.0, "run.finished"), ("q", 1, 9100.0, "run.started")]), 2)
+    assert state.live(spark).count() == 0 and state.everything(spark).count() == 2
+
+
+def test_late_rows_are_counted_over_all_batches(spark, tmp_path):
+    """More batches than Spark keeps reports of."""
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        folder = str(tmp_path / "in")
+        for i in range(6):  # every file but the first has rows an hour behind the one before
+            rows = [("r", 10 * i, 7200.0 * i, "log")] + [("r", 10 * i + k, 7200.0 * (i - 1) - 3600.0 - k, "log") for k in range(1, 4) if i]
+            rows_at(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+            os.utime(next(p for p in (tmp_path / "in").glob("*.parquet") if p.stat().st_mtime > 10**9), (i + 1, i + 1))
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+        query = jobs.start(jobs.ingest_events(stream, "10 minutes"), jobs.to_table(str(tmp_path / "out")))
+        query.awaitTermination()
+        written = spark.read.parquet(f"{tmp_path}/out/batch=*").count()
+        assert jobs.dropped_late(query) == 21 - written > 0 and len(query.recentProgress) <= 2
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+
+
+def test_a_live_alarm_follows_the_clock(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows_at(spark, [("a", 1, 1.0, "run.started"), ("b", 1, 1.0, "run.started"), ("b", 2, 2.0, "run.finished"), ("c", 1, 1.0, "resource.sample")]).write.parquet(folder)
+    stream = spark.readStream.schema(EVENTS).parquet(folder)
+    query = jobs.start(alarms.stall_alarms(stream, 1.0, forget_seconds=600), jobs.to_table(out), every="200 milliseconds")
+    try:
+        def found(n):
+            for _ in range(150):
+                rows = spark.read.schema(f"{alarms.ALARMS.split(', idle')[0]}, idle_from timestamp, at timestamp").parquet(f"{out}/batch=*").collect() if (tmp_path / "out").exists() else []
+                if len(rows) >= n:
+                    return sorted((r.run_id, r.kind, r.seq) for r in rows)
+                threading.Event().wait(0.2)
+            raise AssertionError("no alarm came")
+
+        assert found(1) == [("a", "raised", None)]
+        rows_at(spark, [("a", 2, 9.0, "log")]).write.mode("append").parquet(folder)
+        assert found(2)[0] == ("a", "cleared", 2)
+        assert ("a", "raised", None) in found(3)
+    finally:
+        query.stop()
+
+
+def test_state_of_ordered_streams_ends(spark, tmp_path):
+    """Paths that are not seen any more are forgotten, and finished runs hold no state."""
+    schema = "path string, ts timestamp, scan long, size long, mtime long, status string"
+    folder = str(tmp_path / "in")
+    seconds = lambda s: F.timestamp_seconds(F.lit(s))
+    make = lambda path, s, scan: spark.range(1).select(F.lit(path).alias("path"), seconds(s).alias("ts"), F.lit(scan).cast("long").alias("scan"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), F.lit(None).cast("string").alias("status"))
+    make("a", 1000, 1).unionByName(make("b", 1000, 1)).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder).withWatermark("ts", "1 minute")
+    checkpoint = str(tmp_path / "progress")
+
+    def step():
+        query = jobs.start(watch.stable_files_in_order(stream, forget_days=1), jobs.to_table(str(tmp_path / "out")), checkpoint=checkpoint)
+        query.awaitTermination()
+        return query.lastProgress.stateOperators[0]
+
+    step()
+    make("c", 3 * 86_400, 2).write.mode("append").parquet(folder)
+    step()
+    make("c", 6 * 86_400, 3).write.mode("append").parquet(folder)
+    last = step()
+    answered = {(r.path, r.scan) for r in spark.read.parquet(f"{tmp_path}/out/batch=*").collect()}
+    assert {("a", 1), ("b", 1), ("c", 2)} <= answered
+    assert last.numRowsTotal <= 3  # of c only: its waiting scan or its row, and a timer
+    assert spark.conf.get(held.PROVIDER) == held.ROCKSDB
