@@ -9,6 +9,7 @@ repeats only its own portion, and a later run goes on from what the log holds. E
 
 from __future__ import annotations
 
+import pickle
 import time
 import uuid
 from collections import deque
@@ -17,7 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage as write
@@ -490,3 +491,91 @@ def score_frames(
     return ordered.select("rec_id", "window_idx", "samples", "own", "block").mapInPandas(
         run, f"rec_id {key}, frame_idx long, prob double"
     )
+
+
+def _blocks(windows: DataFrame, block: int, lead: int) -> DataFrame:
+    """Windows with the block they are in (``own``) and the blocks they are read for."""
+    own = F.floor(F.col("window_idx") / block).cast("long")
+    near_end = F.col("window_idx") % block >= block - lead
+    read_for = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
+    return windows.select("rec_id", "window_idx", "samples", own.alias("own"), F.explode(read_for).alias("block"))
+
+
+def score_in_blocks(
+    windows: DataFrame, load: Callable[[], Scorer], *, lead: int = 256, block: int = 1 << 14
+) -> DataFrame:
+    """What ``score_frames`` gives in one pass per recording, with many tasks per recording.
+
+    Every block of ``block`` windows is scored at once, from a state guessed by the ``lead`` windows
+    before it. Where the guess is not the state that the block before ends in, the block is scored
+    again from that state beside the guess, until both are in the same state: from there on the
+    first scores hold. Blocks whose end changed have the next one checked again, so the result is
+    exact for any scorer that goes by (samples, state) alone. One whose state forgets its past needs
+    one or two rounds; one that never does needs as many as there are blocks. States are compared
+    as pickled.
+    """
+    key = windows.schema["rec_id"].dataType.simpleString()
+    rows = f"rec_id {key}, block long, frame_idx long, prob double, start binary, end binary"
+    columns = ["rec_id", "block", "frame_idx", "prob", "start", "end"]
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, here, state, start = load(), None, None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if (row.rec_id, row.block) != here:
+                    if here and start is not None:
+                        out.append((*here, None, None, start, pickle.dumps(state)))
+                    here, state, start = (row.rec_id, row.block), None, None
+                if row.own == row.block and start is None:
+                    start = pickle.dumps(state)
+                prob, state = model(row.samples, state)
+                if row.own == row.block:
+                    out.append((*here, row.window_idx, prob, None, None))
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+        if here and start is not None:
+            yield pd.DataFrame([(*here, None, None, start, pickle.dumps(state))], columns=columns, dtype=object)
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, here, true, guess, met, begin, end = load(), None, None, None, False, None, None
+        finished = lambda: (*here, None, None, begin, end if met else pickle.dumps(true))
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if (row.rec_id, row.block) != here:
+                    if here:
+                        out.append(finished())
+                    here, begin, end, met = (row.rec_id, row.block), bytes(row.begin), bytes(row.end), False
+                    true, guess = pickle.loads(begin), pickle.loads(bytes(row.start))
+                if not met:
+                    prob, true = model(row.samples, true)
+                    _, guess = model(row.samples, guess)
+                    out.append((*here, row.window_idx, prob, None, None))
+                    met = pickle.dumps(true) == pickle.dumps(guess)
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+        if here:
+            yield pd.DataFrame([finished()], columns=columns, dtype=object)
+
+    tasks = windows.sparkSession.sparkContext.defaultParallelism * 4
+    order = ("rec_id", "block", "window_idx")
+    placed = _blocks(windows, block, lead).repartition(tasks, "rec_id", "block").sortWithinPartitions(*order)
+    written = [write(placed.mapInPandas(first, rows))]
+    ends = written[0].where("end is not null").select("rec_id", "block", "start", "end")
+    before = Window.partitionBy("rec_id").orderBy("block")  # one row per block
+    while True:
+        known = ends.withColumn("begin", F.lag("end").over(before))
+        wrong = write(known.where(F.col("begin").isNotNull() & (F.col("begin") != F.col("start"))))
+        if wrong.isEmpty():
+            break
+        todo = _blocks(windows, block, 0).drop("own").join(wrong, ["rec_id", "block"])
+        todo = todo.repartition(tasks, "rec_id", "block").sortWithinPartitions(*order)
+        written.append(write(todo.mapInPandas(again, rows)))
+        mended = written[-1].where("end is not null").select("rec_id", "block", "start", "end")
+        ends = write(ends.join(mended, ["rec_id", "block"], "left_anti").unionByName(mended))
+    scores = written[0].where("frame_idx is not null").select("rec_id", "frame_idx", "prob")
+    for i, later in enumerate(written[1:]):
+        newer = later.where("frame_idx is not null").select("rec_id", "frame_idx", F.col("prob").alias(f"prob_{i}"))
+        scores = scores.join(newer, ["rec_id", "frame_idx"], "left").select(
+            "rec_id", "frame_idx", F.coalesce(f"prob_{i}", "prob").alias("prob")
+        )
+    return scores

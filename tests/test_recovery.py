@@ -249,3 +249,29 @@ def test_a_lost_task_repeats_only_its_own_portion(spark, tmp_path):
     result = recovery.run_ladder(chunks, load, InferenceSettings(), portion=3)
     assert result.done.count() == 12 and result.attempts.count() == 12 and result.jobs.first().status == "completed"
     assert all((tmp_path / f"asked-{i}").read_text() == "x" for i in range(12))  # reading the result asks nobody again
+
+
+@pytest.mark.parametrize("kind", ["forgets", "toggles", "never forgets"])
+def test_blocks_of_a_recording_meet_the_single_pass(spark, kind):
+    rows = [(r, i, [float((r * 7 + i * i) % 13)]) for r in (1, 2) for i in range(300 if r == 1 else 25) if not 100 <= i < 130]
+    windows = stage(spark.createDataFrame(rows, "rec_id long, window_idx long, samples array<double>"))
+
+    def load():
+        def forgets(samples, state):
+            kept = ((state or []) + [samples[0]])[-3:]
+            return max(kept), kept
+
+        def toggles(samples, state):  # on above 10, off under 2, else as before
+            on = samples[0] > 10 or (bool(state) and samples[0] >= 2)
+            return float(on), on
+
+        def adds(samples, state):
+            value = (state or 0.0) + samples[0]
+            return value, value
+
+        return {"forgets": forgets, "toggles": toggles, "never forgets": adds}[kind]
+
+    one = {(r.rec_id, r.frame_idx): r.prob for r in recovery.score_frames(windows, load).collect()}
+    for lead, block in ((2, 40), (0, 70)):
+        many = recovery.score_in_blocks(windows, load, lead=lead, block=block).collect()
+        assert {(r.rec_id, r.frame_idx): r.prob for r in many} == one and len(many) == len(rows)
