@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, recovery, signal
+from ..operators import answers, export, recovery, signal
 from ..operators.ordered import numbered
 from ..plans import views
 from ..session import stage, work_folder
@@ -265,6 +265,42 @@ def udf_6_sink_registry(spark, sf):
     return good.unionByName(bad)
 
 
+@BOOK.add(
+    """WITH c AS (SELECT conv_id, turn, CAST(floor(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS BIGINT) AS n, coalesce(text, '') AS text FROM conversations),
+t AS (SELECT conv_id::VARCHAR AS job_id, string_agg(n || ' ' || text || chr(10), '' ORDER BY n) AS numbered,
+  string_agg(text || chr(10), '' ORDER BY n) AS plain, conv_id % 7 = 3 AS fails FROM c GROUP BY conv_id)
+SELECT job_id, 'num' AS renderer, 'published' AS first_status, sha256(numbered) AS content_sha256 FROM t
+UNION ALL SELECT job_id, 'txt', CASE WHEN fails THEN 'failed' ELSE 'published' END, sha256(plain) FROM t"""
+)
+def udf_6_renderers(spark, sf):
+    """One renderer fails for some recordings; after it is mended only those are rendered again."""
+    turns = views.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    cues = numbered(turns, ["conv_id"], ["turn"], F.floor(F.col("turn") / 4096), "cue_no", first=0)
+    cues = stage(cues.select(F.col("conv_id").alias("job_id"), "cue_no", F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), "text"))
+    path = f"{work_folder(spark)}/files-{uuid.uuid4().hex}"
+    first = export.Renderers().add("num", numbered_lines).add("txt", broken_lines).export(cues, path)
+    again = export.Renderers().add("num", numbered_lines).add("txt", plain_lines).export(cues, path, only=first.failed)
+    status = lambda df, name: df.select("job_id", "renderer", F.lit(name).alias("first_status"))
+    told = status(first.published, "published").unionByName(status(first.failed.dropDuplicates(["job_id", "renderer"]), "failed"))
+    listed = first.published.unionByName(again.published).select("job_id", "renderer", "path")
+    files = spark.read.format("binaryFile").load(f"{path}/*.*").select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("content_sha256"))
+    return told.join(listed, ["job_id", "renderer"]).join(files, "path").drop("path")
+
+
+def numbered_lines(job, part_no, cues):
+    return "".join(f"{part_no * export.PART_CUES + i} {text}\n" for i, (_, _, text) in enumerate(cues))
+
+
+def plain_lines(job, part_no, cues):
+    return "".join(text + "\n" for _, _, text in cues)
+
+
+def broken_lines(job, part_no, cues):
+    if int(job) % 7 == 3:
+        raise ValueError("cannot render this one")
+    return plain_lines(job, part_no, cues)
+
+
 @BOOK.add(
     """WITH RECURSIVE w AS (SELECT vec_id, unnest(range(0, CAST(ceil(len(embedding) / 24.0) AS BIGINT))) AS i, embedding FROM embeddings),
 p AS (SELECT vec_id, i, list_max(list_transform(embedding[i * 24 + 1 : i * 24 + 24], lambda x: abs(x::DOUBLE))) AS peak FROM w),
