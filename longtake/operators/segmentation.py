@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -244,18 +244,21 @@ def split_runs(
     s: SegmentationSettings,
     *,
     levels: tuple[int, ...] = LEVELS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Cut runs longer than the longest chunk at their pauses: ``(rec_id, start_frame, end_frame)``.
 
     Only frames inside over-long runs reach Python, in blocks of bounded size. A block also sees
-    the frames just after it, as far as one piece and its closing pause can reach.
+    the frames just after it, as far as one piece and its closing pause can reach. ``longest`` is
+    the length of the longest run, where it is known already.
     """
     limits = frame_limits(recordings, s)
     sized = runs.join(
         limits.select("rec_id", "max_frames", "cut_frames", "end_frames", "offset"), "rec_id"
     )
     length = F.col("run_end") - F.col("run_start")
-    longest = sized.agg(F.max(length)).first()[0] or 0
+    if longest is None:
+        longest = sized.agg(F.max(length)).first()[0] or 0
     whole = sized.where(length <= F.col("max_frames")).select(
         "rec_id", F.col("run_start").alias("start_frame"), F.col("run_end").alias("end_frame")
     )
@@ -323,6 +326,11 @@ def runs_to_spans(pieces: DataFrame, recordings: DataFrame, s: SegmentationSetti
 
 def pad_spans(spans: DataFrame, s: SegmentationSettings) -> DataFrame:
     """Pad both sides; where padded neighbours overlap, both move to the middle of their gap."""
+    return _padded(spans, s).drop("prev_end")
+
+
+def _padded(spans: DataFrame, s: SegmentationSettings) -> DataFrame:
+    """The padded spans, each with the padded end of the one before it."""
     pad = s.pad
     beside = neighbours(
         spans,
@@ -334,15 +342,13 @@ def pad_spans(spans: DataFrame, s: SegmentationSettings) -> DataFrame:
     )
     wide_start = lambda c: F.greatest(F.lit(0.0), F.col(c) - pad)
     wide_end = lambda c: F.least(F.col("total_seconds"), F.col(c) + pad)
+    meets_before = F.col("prev_end").isNotNull() & (wide_start("start") < wide_end("prev_end"))
+    middle = (F.col("prev_end") + F.col("start")) / 2
     return beside.select(
         "rec_id",
         "start_frame",
-        F.when(
-            F.col("prev_end").isNotNull() & (wide_start("start") < wide_end("prev_end")),
-            (F.col("prev_end") + F.col("start")) / 2,
-        )
-        .otherwise(wide_start("start"))
-        .alias("start"),
+        F.when(F.col("prev_end").isNotNull(), F.when(meets_before, middle).otherwise(wide_end("prev_end"))).alias("prev_end"),
+        F.when(meets_before, middle).otherwise(wide_start("start")).alias("start"),
         F.when(
             F.col("next_start").isNotNull() & (wide_start("next_start") < wide_end("end")),
             (F.col("end") + F.col("next_start")) / 2,
@@ -412,15 +418,18 @@ def merge_spans(
 ) -> DataFrame:
     """Join spans left to right while the gap is small and the result still fits a chunk.
 
-    Spans are first grouped at gaps that always separate them. A group that fits one chunk is
-    one aggregate, a longer one of few spans is folded in place, and only groups of many spans
-    need the walk over blocks.
+    Spans are first grouped at gaps that always separate them. A group of few spans is folded in
+    place, and only groups of many spans that do not fit one chunk need the walk over blocks.
     """
+    cells = F.floor(F.col("start_frame") / s.block_frames).cast("long")
+    return _merge_marked(neighbours(spans, ["rec_id"], ["start_frame"], cells, before={"prev_end": F.col("end")}), s, levels)
+
+
+def _merge_marked(spans: DataFrame, s: SegmentationSettings, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """The merge of spans that know the end of the one before, ``prev_end``."""
     max_chunk, max_gap = s.max_chunk_seconds, s.max_merge_gap_seconds
     cells = F.floor(F.col("start_frame") / s.block_frames).cast("long")
-    marked = neighbours(
-        spans, ["rec_id"], ["start_frame"], cells, before={"prev_end": F.col("end")}
-    ).withColumn(
+    marked = spans.withColumn(
         "opens",
         F.col("prev_end").isNull() | ~(F.col("start") - F.col("prev_end") <= max_gap),
     )
@@ -431,18 +440,17 @@ def merge_spans(
         cells,
         {"island": ("max", F.when(F.col("opens"), F.col("start_frame")))},
     ).select("rec_id", "island", "start_frame", "start", "end"))
-    extent = stage(
-        grouped.groupBy(*ISLAND).agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("spans")
-        )
+    extent = grouped.groupBy(*ISLAND).agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("spans")
     )
     fits = F.col("end") - F.col("start") <= max_chunk
-    whole = extent.where(fits).select("rec_id", "start", "end")
     short = F.col("spans") <= FOLD_SPANS
+    if extent.where(~short).isEmpty():
+        return _fold(grouped, max_chunk).where(F.col("end") > F.col("start"))
+    extent = stage(extent)
+    whole = extent.where(fits).select("rec_id", "start", "end")
     whole = whole.unionByName(_fold(grouped.join(extent.where(~fits & short).select(*ISLAND), ISLAND), max_chunk))
     whole = whole.where(F.col("end") > F.col("start"))
-    if extent.where(~fits & ~short).isEmpty():
-        return whole
     wide = extent.where(~fits & ~short).select(*ISLAND, F.col("start").alias("island_start"))
     members = stage(numbered(grouped.join(wide, ISLAND), ISLAND, ["start_frame"], cells, "pos"))
     longest = members.agg(F.max("pos")).first()[0]
@@ -475,9 +483,11 @@ def merge_spans(
 
 def plan_spans(frames: DataFrame, recordings: DataFrame, s: SegmentationSettings) -> DataFrame:
     """The whole plan in seconds: runs, cuts, short-run filter, padding, merge."""
-    runs = stage(speech_runs(frames, recordings, s))
-    spans = stage(runs_to_spans(split_runs(runs, frames, recordings, s), recordings, s))
-    return merge_spans(stage(pad_spans(spans, s)), s)
+    seen = Observation()
+    length = F.col("run_end") - F.col("run_start")
+    runs = stage(speech_runs(frames, recordings, s).observe(seen, F.max(length).alias("longest")))
+    cut = split_runs(runs, frames, recordings, s, longest=seen.get["longest"] or 0)
+    return _merge_marked(_padded(stage(runs_to_spans(cut, recordings, s)), s), s)
 
 
 def quantise(
