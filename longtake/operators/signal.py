@@ -211,7 +211,9 @@ def sample_windows(
     span = F.least(F.lit(seconds), duration)
     lower = F.least(duration * 0.35, duration - span)
     upper = F.greatest(lower, F.least(duration * 0.65, duration - span))
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("rec_id"), F.col("k")), F.lit(1 << 53)) / float(1 << 53)
+    # 52 bits of a digest that every engine has.
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rec_id").cast("string"), F.col("k").cast("string")))
+    unit = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
     candidates = sizes.select(
         "rec_id", "n", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("k")
     ).select("rec_id", "k", (lower + unit * (upper - lower)).alias("start"), span.alias("span"))

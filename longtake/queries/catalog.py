@@ -302,6 +302,21 @@ def snk_3_publish(spark, sf):
     )
 
 
+@BOOK.add(
+    "WITH "
+    + CUES
+    + f""" SELECT job_id, 'srt' AS format, sha256(string_agg({_block(',', _CUE)}, '' ORDER BY n)) AS content_sha256 FROM cues GROUP BY ALL
+UNION ALL SELECT job_id, 'txt', sha256(string_agg(text || chr(10), '' ORDER BY n)) FROM cues GROUP BY ALL"""
+)
+def snk_3_publish_content(spark, sf):
+    """Whole files as they are read back: the parts of each, joined in order."""
+    path = f"{work_folder(spark)}/published-{uuid.uuid4().hex}"
+    render.write_transcripts(_rendered(spark, sf, ["md", "srt", "txt"]), "srt, txt", path)
+    parts = F.sort_array(F.collect_list(F.struct("part_no", "content")))
+    whole = spark.read.parquet(path).groupBy("job_id", "format").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "").alias("content"))
+    return whole.select("job_id", "format", F.sha2("content", 256).alias("content_sha256"))
+
+
 @BOOK.add(
     """WITH d AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice / 20.0::DOUBLE AS s FROM lineitem
   UNION ALL SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_discount FROM lineitem),

@@ -291,9 +291,27 @@ def join_7_cue_at(spark, sf):
     return signal.cue_at(points, cues)
 
 
-@BOOK.add()
+@BOOK.add(
+    "WITH "
+    + SAMPLES
+    + f""", n AS (SELECT rec_id, count(*) AS n, count(*) / {RATE}.0::DOUBLE AS duration FROM samples GROUP BY rec_id),
+d AS (SELECT *, least(0.05::DOUBLE, duration) AS span FROM n),
+b AS (SELECT *, least(duration * 0.35::DOUBLE, duration - span) AS lo FROM d),
+c AS (SELECT rec_id, k, span, lo + ('0x' || substr(md5('7:' || rec_id || ':' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * (greatest(lo, least(duration * 0.65::DOUBLE, duration - span)) - lo) AS start_s
+  FROM b, (SELECT unnest(range(1, 25)) AS k)),
+m AS (SELECT c.rec_id, k, start_s, span, max(abs(value)) AS peak, sqrt(sum(value * value) / count(*)::DOUBLE) AS mean
+  FROM c JOIN samples s ON s.rec_id = c.rec_id AND pos >= floor(start_s * {RATE}) AND pos < floor(start_s * {RATE}) + {round(0.05 * RATE)} GROUP BY ALL),
+w AS (SELECT * FROM (SELECT rec_id, k, start_s, start_s + span AS end_s, CASE WHEN peak > 0 THEN 20 * log10(peak / 32768.0::DOUBLE) ELSE -1e9 END AS peak_db,
+  CASE WHEN mean > 0 THEN 20 * log10(mean / 32768.0::DOUBLE) ELSE -1e9 END AS mean_db FROM m) WHERE peak_db >= -45 AND mean_db >= -60),
+one AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY k) = 1),
+two AS (SELECT w.* FROM w JOIN one USING (rec_id) WHERE w.k > one.k AND abs(w.start_s - one.start_s) >= 0.05 QUALIFY row_number() OVER (PARTITION BY w.rec_id ORDER BY w.k) = 1)
+SELECT rec_id, CAST(sample_no AS INTEGER) AS sample_no, CAST(k AS INTEGER) AS attempt, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(peak_db, 6) AS peak_db, round(mean_db, 6) AS mean_db
+FROM (SELECT 0 AS sample_no, * FROM one UNION ALL SELECT 1, * FROM two)"""
+)
 def win_17_sample_windows(spark, sf):
-    return signal.sample_windows(views.samples(spark, sf), RATE, 2, 0.05, 7)
+    found = signal.sample_windows(views.samples(spark, sf), RATE, 2, 0.05, 7)
+    measures = {"start": "start_s", "end": "end_s", "peak_db": "peak_db", "mean_db": "mean_db"}
+    return found.select("rec_id", "sample_no", "attempt", *[F.round(c, 6).alias(n) for c, n in measures.items()])
 
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

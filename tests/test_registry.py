@@ -3,7 +3,7 @@ from __future__ import annotations
 import __spark_entry__ as entry
 from longtake.queries import registry
 
-WITHOUT_TWIN = {"col_4_repetition_gate", "win_17_sample_windows"}
+WITHOUT_TWIN = {"col_4_repetition_gate"}
 
 
 def test_every_query_has_a_twin_or_is_known_to_have_none():
