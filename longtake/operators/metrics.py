@@ -34,6 +34,7 @@ def chunk_totals(attempts: DataFrame) -> DataFrame:
         F.max(F.when(call, tokens)).alias("max_tokens"),
         F.count_if(call & F.col("stage").eqNullSafe("temperature")).alias("fallbacks"),
         F.count_if((F.col("action") == "split") & (F.col("outcome") == "ok")).alias("splits"),
+        F.collect_list(F.when(call, tokens)).alias("token_values"),  # as many as a chunk has calls
     )
 
 
@@ -42,7 +43,8 @@ def execution_summary(
 ) -> DataFrame:
     """One row per planned job. ``stages(job_id, inference_seconds, analysed_seconds)``.
 
-    Missing wall and audio seconds count as zero; missing token counts are left out.
+    Missing wall and audio seconds count as zero; missing token counts are left out. Attempts are
+    shuffled once, by chunk; both percentiles and all sums go on from there.
     """
     per_chunk = chunk_totals(attempts)
     totals = per_chunk.groupBy("job_id").agg(
@@ -61,11 +63,7 @@ def execution_summary(
     measured = per_chunk.select(
         "job_id", F.lit("chunk").alias("measure"), F.round("wall", 3).alias("value")
     ).unionByName(
-        attempts.where(is_call()).select(
-            "job_id",
-            F.lit("tokens").alias("measure"),
-            finite(F.col("metrics.completion_tokens")).alias("value"),
-        )
+        per_chunk.select("job_id", F.lit("tokens").alias("measure"), F.explode("token_values").alias("value"))
     )
     p95 = exact_percentiles(
         measured, ["job_id", "measure"], F.col("value"), {"p95": (0.95, "nearest")}
