@@ -144,7 +144,7 @@ def _with_term(docs: DataFrame, limits: DataFrame, settings: Disclosure) -> Data
     sends a term with each of its texts; behind more texts than ``most`` the term cannot disclose
     anything, so no more of them are sent. A term that only shares a place is sent for nothing.
     """
-    bits = min(max(16, limits.count().bit_length() + 4), settings.most_bits)
+    bits = min(max(16, limits.count().bit_length() + 6), settings.most_bits)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
