@@ -107,17 +107,18 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MEASURES_SQL = """[
-  {'measure': 'symbols', 'least': 16, 'value': CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END},
-  {'measure': 'dup_lines', 'least': 120, 'value': CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END},
-  {'measure': 'repeats', 'least': 90, 'value': CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END},
-  {'measure': 'word_length', 'least': 150, 'value': CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END}]"""
+  {'measure': 'symbols', 'margin': 80, 'value': CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END},
+  {'measure': 'dup_lines', 'margin': 350, 'value': CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END},
+  {'measure': 'repeats', 'margin': 250, 'value': CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END},
+  {'measure': 'word_length', 'margin': 150, 'value': CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END}]"""
 
 
-def _quartiles_sql(name: str, keys: str) -> str:
+def _quantiles_sql(name: str, keys: str) -> str:
     by = f"{keys}, " if keys else ""
     return f"""
 {name} AS (
-  SELECT {by}measure, min(bucket) FILTER (below * 4 >= every) AS q1, min(bucket) FILTER (below * 4 >= every * 3) AS q3,
+  SELECT {by}measure, min(bucket) FILTER (below * 1000 >= every * 500) AS middle,
+         min(bucket) FILTER (below * 1000 >= every * 850) AS high,
          max(every) AS size
   FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}measure) AS every
         FROM (SELECT {by}measure, bucket, count(*) AS n FROM buckets GROUP BY ALL))
@@ -145,23 +146,23 @@ counted AS (
   FROM split s LEFT JOIN covered c USING (r)),
 measured AS (SELECT *, unnest({_MEASURES_SQL}) AS m FROM counted),
 buckets AS (
-  SELECT r, lang, source, m.measure AS measure, m.value AS value, m.least AS least,
+  SELECT r, lang, source, m.measure AS measure, m.value AS value, m.margin AS margin,
          CASE WHEN m.value < 16 THEN m.value ELSE (m.value >> (length(bin(m.value)) - 4)) << (length(bin(m.value)) - 4) END AS bucket
   FROM measured),"""
-    + _quartiles_sql("own", "lang, source")
+    + _quantiles_sql("own", "lang, source")
     + ","
-    + _quartiles_sql("of_lang", "lang")
+    + _quantiles_sql("of_lang", "lang")
     + ","
-    + _quartiles_sql("of_all", "")
+    + _quantiles_sql("of_all", "")
     + """,
 limits AS (
   SELECT o.lang, o.source, o.measure,
-         CASE WHEN o.size >= 100 THEN o.q1 WHEN l.size >= 100 THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.size >= 100 THEN o.q3 WHEN l.size >= 100 THEN l.q3 ELSE a.q3 END AS q3
+         (o.size * o.middle + 100 * ((l.size * l.middle + 100 * a.middle) // (l.size + 100))) // (o.size + 100) AS middle,
+         (o.size * o.high + 100 * ((l.size * l.high + 100 * a.high) // (l.size + 100))) // (o.size + 100) AS high
   FROM own o JOIN of_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure
   JOIN of_all a ON o.measure = a.measure),
 judged AS (
-  SELECT b.r, bool_and(b.value <= x.q3 + 5 * greatest(x.q3 - x.q1, b.least)) AS within
+  SELECT b.r, bool_and(b.value <= x.high + 4 * (x.high - x.middle) + b.margin) AS within
   FROM buckets b JOIN limits x ON b.lang IS NOT DISTINCT FROM x.lang AND b.source IS NOT DISTINCT FROM x.source
     AND b.measure = x.measure
   GROUP BY b.r)

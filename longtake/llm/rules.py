@@ -23,16 +23,19 @@ MEASURES = {
 
 @dataclass(frozen=True)
 class Fences:
-    """A measure may exceed its upper quartile by ``reach`` times the quartile distance.
+    """A measure may reach its high quantile plus ``reach`` times the distance from the middle one, and a margin.
 
-    Distances below ``least`` count as that, so groups of equal documents do not reject small
-    deviations. Groups with fewer than ``enough`` documents use the merged sketch of their language,
-    and languages with fewer the one of all documents.
+    Quantiles are in thousandths. Those of a language and source are drawn to those of the language,
+    as if ``weight`` documents of the language were among them, and those of a language likewise to
+    all documents, so limits move little with one document more. The margin is what a measure may
+    exceed its quantiles by where most documents are the same.
     """
 
-    reach: int = 5
-    enough: int = 100
-    least: tuple[tuple[str, int], ...] = (("symbols", 16), ("dup_lines", 120), ("repeats", 90), ("word_length", 150))
+    middle: int = 500
+    high: int = 850
+    reach: int = 4
+    weight: int = 100
+    margin: tuple[tuple[str, int], ...] = (("symbols", 80), ("dup_lines", 350), ("repeats", 250), ("word_length", 150))
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -113,37 +116,35 @@ def sketches(counted: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+def _quantiles(sketch: DataFrame, keys: list[str], settings: Fences, prefix: str) -> DataFrame:
+    """The two quantiles and the size of every merged sketch, and its keys, under names with ``prefix``."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     ranked = merged.withColumns(
         {"below": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)}
     )
-    at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("all") * q, F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("size"))
+    at = lambda q: F.min(F.when(F.col("below") * 1000 >= F.col("all") * q, F.col("bucket")))
+    found = ranked.groupBy(*keys, "measure").agg(
+        at(settings.middle).alias("middle"), at(settings.high).alias("high"), F.max("all").alias("size")
+    )
+    return found.select(*[F.col(c).alias(f"{prefix}{c}") for c in found.columns])
 
 
 def fences(sketch: DataFrame, settings: Fences = Fences()) -> DataFrame:
     """One row per language and source with an upper limit for each measure."""
-    own = _quartiles(sketch, ["lang", "source"])
-    lang = _quartiles(sketch, ["lang"]).select(
-        F.col("lang").alias("__lang"), F.col("measure").alias("__measure"),
-        *[F.col(c).alias(f"lang_{c}") for c in ("q1", "q3", "size")],
-    )
-    every = _quartiles(sketch, []).select(
-        F.col("measure").alias("__of"), *[F.col(c).alias(f"all_{c}") for c in ("q1", "q3")]
-    )
-    least = F.create_map(*[F.lit(x) for pair in settings.least for x in pair])
-    pick = lambda c: (
-        F.when(F.col("size") >= settings.enough, F.col(c))
-        .when(F.col("lang_size") >= settings.enough, F.col(f"lang_{c}"))
-        .otherwise(F.col(f"all_{c}"))
-    )
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("measure") == F.col("__measure")))
-    joined = joined.join(every, F.col("measure") == F.col("__of"))
-    limit = pick("q3") + settings.reach * F.greatest(pick("q3") - pick("q1"), least[F.col("measure")])
-    return joined.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == k, limit)).alias(f"limit_{k}") for k in MEASURES]
+    own = _quantiles(sketch, ["lang", "source"], settings, "own_")
+    lang = _quantiles(sketch, ["lang"], settings, "lang_")
+    every = _quantiles(sketch, [], settings, "all_")
+    joined = own.join(
+        lang, F.col("own_lang").eqNullSafe(F.col("lang_lang")) & (F.col("own_measure") == F.col("lang_measure"))
+    ).join(every, F.col("own_measure") == F.col("all_measure"))
+    # Whole numbers, so that limits are the same wherever they are computed.
+    drawn = "(own_size * own_{q} + {w} * ((lang_size * lang_{q} + {w} * all_{q}) div (lang_size + {w}))) div (own_size + {w})"
+    middle, high = (F.expr(drawn.format(q=q, w=int(settings.weight))) for q in ("middle", "high"))
+    margin = F.create_map(*[F.lit(x) for pair in settings.margin for x in pair])
+    limit = high + settings.reach * (high - middle) + margin[F.col("own_measure")]
+    return joined.groupBy(F.col("own_lang").alias("lang"), F.col("own_source").alias("source")).agg(
+        *[F.max(F.when(F.col("own_measure") == k, limit)).alias(f"limit_{k}") for k in MEASURES]
     )
 
 
@@ -165,7 +166,8 @@ def rated(docs: DataFrame, settings: Fences = Fences()) -> DataFrame:
     """(doc_id, lang, source, counts, limits, base_failed, kept) of every document.
 
     Null language and null source are groups of their own. Rows are never merged, so repeated rows
-    give repeated results. Empty and null texts have no words and fail the base rule. Documents are
+    give repeated results. Empty and null texts have no words and fail the base rule. Other columns are
+    ignored; an empty table gives no rows. Documents are
     counted once and written narrow, without their text.
     """
     counted = stage(with_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"))
@@ -177,6 +179,7 @@ def keep(docs: DataFrame, settings: Fences = Fences()) -> DataFrame:
 
     Counts are computed a second time for the filter: that costs less than moving all texts
     through a join with the first ones. Columns of ``docs`` called like a count are set aside.
+    An empty table gives none.
     """
     limits = stage(fences(sketches(stage(with_counts(docs.select("lang", "source", "text")).drop("text"))), settings))
     body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")

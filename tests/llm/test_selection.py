@@ -52,6 +52,30 @@ def test_rules_keep_clean_and_reject_junk(spark, documents):
     assert rules.keep(documents([])).count() == 0
 
 
+def test_limits_follow_the_habits_of_a_language(spark, documents):
+    rng = random.Random(4)
+    word = lambda longest: "".join(rng.choices("abcdefgh", k=rng.randint(2, longest)))
+    text = lambda longest: " ".join(word(longest) for _ in range(80))
+    rows = [(i, text(6), "short", "s") for i in range(300)]
+    rows += [(1_000 + i, text(6 if i % 2 else 22), "long", "s") for i in range(300)]
+    rows += [(2_000, text(24), "short", "s"), (2_001, text(24), "long", "s")]
+    rated = {r["doc_id"]: r for r in rules.rated(documents(rows)).collect()}
+    assert rated[0]["limit_word_length"] < rated[1_000]["limit_word_length"]
+    assert not rated[2_000]["kept"] and rated[2_001]["kept"]
+    assert all(r["kept"] for i, r in rated.items() if i < 2_000)
+
+
+def test_limits_do_not_jump_with_the_number_of_documents(spark):
+    def limit(n):
+        rows = [("en", "big", "symbols", 0, 5_000), ("en", "small", "symbols", 0, n - n // 4), ("en", "small", "symbols", 64, n // 4)]
+        sketch = spark.createDataFrame(rows, "lang string, source string, measure string, bucket long, n long")
+        return next(r["limit_symbols"] for r in rules.fences(sketch).collect() if r["source"] == "small")
+
+    few, *near, many = [limit(n) for n in (8, 100, 101, 102, 40_000)]
+    assert few < near[0] < many and max(near) - min(near) <= 3
+    assert many <= 64 + 4 * 64 + 80
+
+
 def shared_out(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
