@@ -136,7 +136,7 @@ def write_shards(
 
     @F.pandas_udf("int")
     def shard_of(doc_id: pd.Series) -> pd.Series:
-        ids = doc_id.fillna(-(2**63)).to_numpy().astype(np.int64)
+        ids = np.fromiter((-(2**63) if d is None else int(d) for d in doc_id), np.int64, len(doc_id))
         return pd.Series(np.searchsorted(shared.value, ids, side="right").astype(np.int32))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,8 +173,8 @@ def write_shards(
         if keys:
             yield close(now)
 
-    placed = docs.withColumn("shard", shard_of(F.col("doc_id").cast("long")))
-    # As text, so that null ids do not turn the others into floats on their way to Python.
+    # Ids go to Python as text, so that null ids do not turn the others into floats.
+    placed = docs.withColumn("shard", shard_of(F.col("doc_id").cast("long").cast("string")))
     ordered = (
         placed.repartition(len(bounds) + 1, "shard")
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())

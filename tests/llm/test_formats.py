@@ -92,6 +92,20 @@ def test_shards_hold_what_the_library_encodes(spark, documents):
     assert tokens.read_documents(spark, tokens.write_shards(documents([]), path)).count() == 0
 
 
+def test_shards_keep_the_order_of_large_ids_beside_a_null(spark, documents):
+    ids = [2**60 + 3 * i for i in range(60)]
+    rows = [(d, f"text {i} " * 20) for i, d in enumerate(ids)]
+    random.Random(5).shuffle(rows)
+
+    def read(rows):
+        folder = tokens.write_shards(documents(rows).coalesce(1), queries.tokenizer_path(), shard_bytes=1_500)
+        return sorted((r["start"], r["doc_id"], r["shard"]) for r in tokens.read_documents(spark, folder).collect())
+
+    without, beside = read(rows), read([*rows, (None, "")])
+    assert [d for _, d, _ in without] == ids and [d for _, d, _ in beside] == [None, *ids]
+    assert len({s for *_, s in beside}) >= len({s for *_, s in without}) > 4
+
+
 def test_chat_query_reads_the_given_turn(spark, tables):
     rows = [(4, 0, "user", "hi"), (4, 1, "assistant", None)]
     folder = tables(conversations=spark.createDataFrame(rows, TURNS))
