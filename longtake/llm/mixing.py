@@ -79,7 +79,12 @@ def mix_plan(
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The mixed documents: each row of ``docs`` as often as ``mix_plan`` takes it."""
-    plan = mix_plan(docs, **settings).where("copies > 0")
+    """The mixed documents: each row of ``docs`` as often as ``mix_plan`` takes it.
+
+    Columns called like one that the plan adds are set aside and come back as they were. An empty
+    table gives none.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    plan = mix_plan(docs.select("doc_id", "source", "text", row), **settings).where("copies > 0")
     repeated = plan.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    return repeated.select("__row.*")

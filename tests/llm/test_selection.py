@@ -76,6 +76,15 @@ def test_limits_do_not_jump_with_the_number_of_documents(spark):
     assert many <= 64 + 4 * 64 + 80
 
 
+def test_mix_keeps_columns_called_like_its_own(spark, documents):
+    docs = documents([(i, "a b c", "en", f"s{i % 2}") for i in range(20)], extra=True)
+    docs = docs.selectExpr("*", "'t' AS target", "'u' AS source_size")
+    mixed = mixing.mix(docs)
+    assert mixed.schema == docs.schema
+    assert {(r["size"], r["copies"], r["target"], r["source_size"]) for r in mixed.collect()} == {("x", "y", "t", "u")}
+    assert mixing.mix(documents([])).count() == 0
+
+
 def shared_out(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
