@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import bare
+from .common import bare, exclusive_sums
 
 MEMO_WORDS, MEMO_LETTERS = 200_000, 64
 SIGNATURE = 64
+SALTS = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -180,7 +181,7 @@ def _untested(group: pd.DataFrame, settings: Near) -> Iterator[tuple[int, np.nda
     """Per text its partners in this task that no other task holds it against, by row number.
 
     They are of another class, of a fitting length and alike by signature, and share no earlier
-    sketch, where they would be met as well. Pairs with the smallest id of the sketch are known.
+    sketch, where they would be met as well. Pairs with the first text of the sketch are known.
     """
     sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), SIGNATURE)
     keys = np.asarray(group["keys"].tolist(), np.int64)[:, : group["band"].iloc[0]]
@@ -280,48 +281,49 @@ def _rest(grouped: DataFrame, labels: DataFrame, texts: DataFrame, bodies: DataF
     return stage(open_texts.join(bodies, "id").groupBy(*TASK).applyInPandas(link, "a long, b long"))
 
 
-def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
-    """(doc_id, class_id, n_copies): every row of ``docs`` with the smallest doc_id of its class.
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """Rows with ``same``, the digest of their text, and ``who``, their doc_id as text, empty for null."""
+    who = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("who")
+    return docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("same"), who, *columns)
 
-    Equal texts (null as empty) are one text; n_copies counts its rows. Texts are linked if their
-    word shingles agree in order (``Near``), and classes are the connected texts. Per sketch every
-    text is held against the smallest id that shares it. Then every two texts that share a sketch but
-    not their class are held against each other if their signatures are alike; sketches with more
-    than ``together`` texts are dealt into blocks, and every pair of blocks is taken. Rows without id
-    take part through equal texts only: their class is that of the rows with their text, null where
-    these have no id either. Repeated rows are kept; other columns are ignored; an empty table
-    gives no rows.
+
+def _classified(docs: DataFrame, settings: Near) -> tuple[DataFrame, DataFrame]:
+    """(same, doc_id) of every row, and (same, first_id, who, n_copies, id, label) of every different text.
+
+    Texts are numbered by their smallest doc_id, null last, and digest; the number is ``id``, and
+    ``label`` is the smallest number of the class.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(settings.width)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for same, doc_id, text in zip(batch["same"], batch["who"], batch["text"], strict=True):
                 labels = shingles.of(text)
-                same = xxhash.xxh3_128_digest((text or "").encode())
-                rows.append((doc_id, same, len(labels), order_sketches(labels, settings), signature(labels)))
-            yield pd.DataFrame(rows, columns=["doc_id", "same", "n", "keys", "sig"])
+                rows.append((same, doc_id or None, len(labels), order_sketches(labels, settings), signature(labels)))
+            yield pd.DataFrame(rows, columns=["same", "doc_id", "n", "keys", "sig"])
 
-    as_text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     rows = stage(
-        as_text.mapInPandas(sketch, "doc_id string, same binary, n int, keys array<long>, sig binary").withColumn(
-            "doc_id", F.col("doc_id").cast("long")
-        )
+        _keyed(docs, "text")
+        .mapInPandas(sketch, "same string, doc_id string, n int, keys array<long>, sig binary")
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
     texts = stage(
         rows.groupBy("same").agg(
-            F.min("doc_id").alias("id"), F.count("*").alias("n_copies"),
+            F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"),
             F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"),
         )
     )
-    members = texts.where("id is not null").select("id", "n", F.posexplode("keys").alias("band", "key"))
+    numbers = exclusive_sums(texts.select("same", "first_id"), [F.col("first_id").asc_nulls_last(), "same"], {"id": F.lit(1)})
+    texts = stage(texts.join(numbers.select("same", F.col("id").cast("long").alias("id")), "same"))
+    members = texts.select("id", "n", F.posexplode("keys").alias("band", "key"))
     hubs = members.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     grouped = stage(members.join(hubs, ["band", "key"]))
-    wanted = grouped.select("id").distinct()
-    bodies = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
-    # Rows that repeat an id with another text: the pair is verified against the first text in order.
-    bodies = bodies.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("__n = 1")
+    who = F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("who")
+    wanted = texts.join(grouped.select("id").distinct(), "id").select("same", who, "id")
+    bodies = _keyed(docs, "text").join(wanted, ["same", "who"])
+    # Rows repeated as a whole are one text.
+    bodies = bodies.withColumn("__n", F.row_number().over(Window.partitionBy("same", "who").orderBy("id"))).where("__n = 1")
     bodies = stage(bodies.select("id", "text"))
     lengths = members.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")).distinct()
     pairs = grouped.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "n").distinct()
@@ -330,21 +332,39 @@ def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
     edges = verified(pairs.where(fits).select("a", "b"), bodies, settings)
     more = _rest(grouped.where("size > 2"), components(edges), texts, bodies, settings)
     labels = components(edges.union(more))
-    named = texts.join(labels, "id", "left").select(
-        "same", F.coalesce("label", "id").alias("class_id"), "n_copies"
-    )
+    named = texts.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return rows, stage(named.select("same", "first_id", who, "n_copies", "id", "label"))
+
+
+def classes(docs: DataFrame, settings: Near = Near()) -> DataFrame:
+    """(doc_id, class_id, n_copies): every row of ``docs`` with the smallest doc_id of its class.
+
+    Equal texts (null as empty) are one text; n_copies counts its rows. Texts are linked if their
+    word shingles agree in order (``Near``), and classes are the connected texts. Per sketch every
+    text is held against the first text that shares it. Then every two texts that share a sketch but
+    not their class are held against each other if their signatures are alike; sketches with more
+    than ``together`` texts are dealt into blocks, and every pair of blocks is taken. Texts, not
+    ids, are compared: rows without id and rows that share an id but not a text take part as any
+    other. class_id is null where no row of a class has an id. Repeated rows are kept; other columns
+    are ignored; an empty table gives no rows.
+    """
+    rows, texts = _classified(docs, settings)
+    # One class may hold most texts, so its name is met in several places.
+    heads = texts.where("id = label").select("label", F.col("first_id").alias("class_id"))
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = texts.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
+    named = alone.join(heads, ["label", "salt"]).select("same", "class_id", "n_copies")
     return rows.select("doc_id", "same").join(stage(named), "same").select("doc_id", "class_id", "n_copies")
 
 
 def first_of_class(docs: DataFrame, settings: Near = Near()) -> DataFrame:
     """``docs`` with one row of each class: that of its smallest doc_id.
 
-    Of repeated rows one stays. Rows without id stay once per text, if no row with id has the text.
+    Of repeated rows one stays. Where several texts share the smallest doc_id, one text stays; the
+    others stay only as the first of another class. A row without id stays if no row of its class has one.
     """
-    body = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    firsts = classes(docs, settings).where("doc_id = class_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("__text")
-    kept = body.join(stage(firsts), "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    nameless = body.where("doc_id is null").join(body.where("doc_id is not null").select("__text"), "__text", "left_anti")
-    nameless = nameless.withColumn("__n", F.row_number().over(Window.partitionBy("__text").orderBy("text"))).where("__n = 1")
-    return kept.select(*docs.columns).union(nameless.select(*docs.columns))
+    _, texts = _classified(docs, settings)
+    firsts = texts.where("id = label").select("same", "who")
+    kept = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(firsts, ["same", "who"], "left_semi")
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("same", "who").orderBy("who"))).where("__n = 1")
+    return kept.select("row.*")

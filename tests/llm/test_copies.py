@@ -100,6 +100,19 @@ def test_one_original_with_many_different_copies(spark, documents):
     assert got == {0}
 
 
+def test_texts_that_share_an_id_are_told_apart(spark, documents):
+    rng = random.Random(14)
+    base = [words(rng, 80, 5_000) for _ in range(3)]
+    text = [" ".join(w) for w in base]
+    near_to = [" ".join(edited(w, {40: "new"})) for w in base]
+    rows = [(1, text[0]), (1, text[1]), (2, near_to[0]), (3, near_to[1]), (None, text[2]), (None, near_to[2]), (None, near_to[0]), (1, text[0])]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_copies"]) for r in near.classes(documents(rows)).collect())
+    assert got == [(0, 0, 1), (0, 0, 1), (0, 1, 2), (1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 1)]
+    kept = [(r["doc_id"], r["text"]) for r in near.first_of_class(documents(rows, extra=True)).collect()]
+    assert len(kept) == 3 and {(1, text[0]), (1, text[1])} <= set(kept)
+    assert sum(d is None and t in (text[2], near_to[2]) for d, t in kept) == 1
+
+
 ONE_SKETCH = near.Near(kept=0, sketches=1)  # every text shares it
 
 
