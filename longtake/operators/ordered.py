@@ -8,6 +8,10 @@ once, on its cell; only the summaries are ever ordered per key.
 A cell is one struct of key and block, not two columns: rows that already lie together by key
 alone would satisfy a window over both columns, and a hot key would stay in one task.
 
+The summaries are merged with rows that lie sorted by cell already. They are never broadcast:
+with many short keys there are nearly as many of them as rows, and the size Spark expects of them
+goes by the compressed files below.
+
 ``block`` must grow with the order: rows of a later block come after all rows of an earlier one.
 A column made by ``cell`` may be given instead, where a join before has used it.
 """
@@ -39,6 +43,8 @@ def _keys_of_cell(keys: Sequence[str]) -> list[Column]:
 
 
 def _fold(kind: str, value: Column) -> Column:
+    if kind == "total":
+        return F.sum(value)
     if kind == "last":
         return F.last(value, ignorenulls=True)
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](value)
@@ -67,7 +73,10 @@ def running(
     *,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Add running aggregates (``sum``, ``max``, ``min``, ``last`` non-null) up to each row."""
+    """Add running aggregates (``sum``, ``max``, ``min``, ``last`` non-null) up to each row.
+
+    ``total`` is the sum over all rows of the key, before and after.
+    """
     tagged = _with_cell(df, keys, block)
     inside = (
         Window.partitionBy(CELL)
@@ -76,7 +85,7 @@ def running(
     )
     local = tagged.select(
         "*",
-        *[_fold(kind, value).over(inside).alias(f"__l_{n}") for n, (kind, value) in aggregates.items()],
+        *[_fold(kind, value).over(inside).alias(f"__l_{n}") for n, (kind, value) in aggregates.items() if kind != "total"],
     )
     position = F.struct(*order)
     totals = (
@@ -93,14 +102,14 @@ def running(
     carry = totals.select(
         CELL,
         *[
-            _fold(kind, F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}")
+            _fold(kind, F.col(f"__t_{n}")).over(Window.partitionBy(*keys) if kind == "total" else earlier).alias(f"__c_{n}")
             for n, (kind, _) in aggregates.items()
         ],
     )
-    return local.join(carry, CELL, "left").select(
+    return local.join(carry.hint("merge"), CELL, "left").select(
         *df.columns,
         *[
-            _combine(kind, F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n)
+            (F.col(f"__c_{n}") if kind == "total" else _combine(kind, F.col(f"__l_{n}"), F.col(f"__c_{n}"))).alias(n)
             for n, (kind, _) in aggregates.items()
         ],
     )
@@ -140,7 +149,7 @@ def neighbours(
         out.extend(
             F.coalesce(F.col(f"__l{tag}"), F.col(f"__c{tag}")).getField(n).alias(n) for n in fields
         )
-    return near.join(carry, CELL, "left").select(*df.columns, *out)
+    return near.join(carry.hint("merge"), CELL, "left").select(*df.columns, *out)
 
 
 def numbered(

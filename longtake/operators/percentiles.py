@@ -3,6 +3,7 @@
 Equal values are counted first, so a value that holds most of a key is one row. The counts are
 summed along the values in blocks (``ordered.running``) and the wanted ranks are read off. Block
 edges come from a sketch of the distinct values; they balance the tasks and change no result.
+Keys with few values are one block and need none.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from .ordered import running
 BLOCKS = 32
 SKETCH = 1_000
 SALTS = 32
+WHOLE = 4096  # values of a key that make one block
 
 
 def exact_percentiles(
@@ -30,21 +32,25 @@ def exact_percentiles(
     ``kind`` is ``nearest`` (``sorted[max(0, ceil(f*n)-1)]``) or ``linear``
     (interpolated at ``f*(n-1)``). Nulls are left out.
     """
-    values = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    known = F.col("__v").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    values = df.select(*keys, value.cast("double").alias("__v")).where(known)
     counted = values.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     edges = [i / BLOCKS for i in range(1, BLOCKS)]
     bounds = counted.groupBy(*keys).agg(
-        F.sum("__c").alias("__n"), F.percentile_approx("__v", edges, SKETCH).alias("__edges")
+        F.count(F.lit(1)).alias("__values"), F.percentile_approx("__v", edges, SKETCH).alias("__edges")
     )
     # The few bounds are repeated per salt, so the values of one key meet them in many tasks.
-    repeated = bounds.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    repeated = bounds.where(F.col("__values") > WHOLE).select(
+        *keys, "__edges", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt")
     )
     salted = counted.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS).cast("long")))
-    placed = salted.join(repeated, [*keys, "__salt"]).select(
-        *keys, "__v", "__c", "__n", F.size(F.filter("__edges", lambda e: e < F.col("__v"))).alias("__block")
+    block = F.when(F.col("__edges").isNull(), 0).otherwise(F.size(F.filter("__edges", lambda e: e < F.col("__v"))))
+    placed = salted.join(repeated, [*keys, "__salt"], "left").select(*keys, "__v", "__c", block.alias("__block"))
+    ranked = running(
+        placed, keys, ["__v"], F.col("__block"), {"__upto": ("sum", F.col("__c")), "__n": ("total", F.col("__c"))}
     )
-    ranked = running(placed, keys, ["__v"], F.col("__block"), {"__upto": ("sum", F.col("__c"))})
     n, upto, c = F.col("__n"), F.col("__upto"), F.col("__c")
 
     def at(rank: Column) -> Column:

@@ -8,11 +8,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from longtake.operators import metrics, segmentation as seg, signal
-from longtake.operators.ordered import numbered, running
+from longtake.operators import metrics, percentiles, segmentation as seg, signal
+from longtake.operators.ordered import neighbours, numbered, running
 from longtake.operators.percentiles import exact_percentiles
 from longtake.session import stage
 from longtake.settings import SegmentationSettings
+from longtake.streaming import watch
 
 
 @pytest.fixture()
@@ -120,6 +121,42 @@ def test_a_value_that_holds_most_of_a_key_is_one_row(spark, partitions):
     assert salted.groupBy("salt").count().agg(F.max("count")).first()[0] < 3 * counted.count() / 32
 
 
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_summaries_of_many_short_keys_are_not_broadcast(spark):
+    """Files of few bytes may hold many keys: what is carried from block to block is merged, not sent to every task."""
+    frames, _ = hot_frames(spark)
+    block = F.floor(F.col("frame_idx") / 64)
+    assert broadcasts(running(frames, ["rec_id"], ["frame_idx"], block, {"s": ("sum", F.lit(1))})) == 0
+    assert broadcasts(neighbours(frames, ["rec_id"], ["frame_idx"], block, before={"p": F.col("prob")})) == 0
+    # At most the bounds of keys with many values.
+    assert broadcasts(exact_percentiles(frames, ["rec_id"], F.col("prob"), {"p": (0.9, "nearest")})) <= 1
+
+
+def test_scans_meet_their_results_without_a_broadcast(spark):
+    seen = stage(spark.range(20).select(*[F.col("id").alias(c) for c in ("path", "scan", "size", "mtime")]))
+    results = stage(seen.select("path", "scan", F.lit("failed").alias("status")))
+    assert broadcasts(watch.stable_files(seen, results)) == 0
+
+
+@pytest.mark.parametrize("whole", [0, 2, 4096])
+def test_percentiles_in_blocks_or_whole(spark, monkeypatch, whole):
+    """Keys with few values make one block; rows without a key have no percentile."""
+    monkeypatch.setattr(percentiles, "WHOLE", whole, raising=False)
+    rows = [(k, float(i % 50)) for k in ("a", "b") for i in range(300)] + [("c", 1.0), (None, 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    found = exact_percentiles(df, ["key"], F.col("v"), {"p": (0.5, "nearest"), "l": (0.5, "linear")})
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 300, 24.0, 24.5), ("b", 300, 24.0, 24.5), ("c", 1, 1.0, 1.0)]
+
+
+def test_running_totals_over_all_blocks_of_a_key(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("key"), F.col("id").alias("pos"))
+    got = running(rows, ["key"], ["pos"], F.floor(F.col("pos") / 10), {"n": ("total", F.lit(1)), "i": ("sum", F.lit(1))})
+    assert {(r.key, r.n) for r in got.collect()} == {(0, 34), (1, 33), (2, 33)} and got.where("i = n").count() == 3
+
+
 def test_windows_of_a_long_array_take_linear_time(spark):
     def seconds(n):
         rows = stage(spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("double")).alias("s")))
