@@ -30,7 +30,8 @@ def stable_files(
     if results is None:
         tagged = observations.withColumn("status", F.lit(None).cast("string"))
     else:
-        tagged = observations.join(results.select("path", "scan", "status"), ["path", "scan"], "left")
+        # As many as the observations where every scan has a result: too many to be sent to every task.
+        tagged = observations.join(results.select("path", "scan", "status").hint("merge"), ["path", "scan"], "left")
     seen = neighbours(
         tagged, ["path"], ["scan"], block,
         before={"p_scan": F.col("scan"), "p_size": F.col("size"), "p_mtime": F.col("mtime")},
