@@ -292,7 +292,7 @@ def _to_the_end(spark, events, make, key="run_id"):
     """
     folder = f"{work_folder(spark)}/closed-{uuid.uuid4().hex}"
     events.write.parquet(f"{folder}/log")
-    clock = events.orderBy(F.desc("ts")).limit(1)
+    clock = spark.read.schema(events.schema).parquet(f"{folder}/log").orderBy(F.desc("ts")).limit(1)
     clock = clock.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 30 DAYS"), key: F.lit("~clock")})
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/log")
     out = make(source.withWatermark("ts", "1 day"))

@@ -24,6 +24,17 @@ def use_timers(spark: SparkSession) -> None:
         spark.conf.set(PROVIDER, ROCKSDB)
 
 
+def _plain(x: object) -> object:
+    """A value as it was before pandas: nulls as None, whole numbers beside nulls as such."""
+    if x is None or x is pd.NA or x != x:
+        return None
+    return int(x) if isinstance(x, float) else x
+
+
+def _rows(batch: pd.DataFrame) -> Iterator[tuple]:
+    return zip(*([_plain(x) for x in batch[c].tolist()] for c in batch.columns), strict=True)
+
+
 class InOrder(StatefulProcessor):
     """Takes the rows of a key in the order of (time, number), whatever the order they come in.
 
@@ -79,12 +90,23 @@ class InOrder(StatefulProcessor):
         if times:
             self.handle.registerTimer(max(min(times), now + 1))
         if out:
-            yield pd.DataFrame(out, columns=list(self.COLUMNS)).convert_dtypes()
+            yield pd.DataFrame(out, columns=list(self.COLUMNS), dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [tuple(None if pd.isna(x) else x for x in r) for batch in rows for r in self.rows_of(batch).itertuples(index=False, name=None)]
+        new = [r for batch in rows for r in _rows(self.rows_of(batch))]
+        now = max(timerValues.getCurrentWatermarkInMs(), 0)
+        due = min((r[0] // 1000 + 1 for r in new), default=now)
+        if due > now:
+            timers = list(self.handle.listTimers())
+            if all(t > now for t in timers):  # nothing held is ready either: add to it without reading it again
+                self.waiting.appendList(new)
+                if not timers or due < min(timers):
+                    for timer in timers:
+                        self.handle.deleteTimer(timer)
+                    self.handle.registerTimer(due)
+                return
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        yield from self._advance(key, held + new, max(timerValues.getCurrentWatermarkInMs(), 0))
+        yield from self._advance(key, held + new, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []

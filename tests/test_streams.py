@@ -4,7 +4,9 @@ import json
 import os
 import random
 import threading
+import types
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -414,3 +416,51 @@ def test_state_of_ordered_streams_ends(spark, tmp_path):
     assert {("a", 1), ("b", 1), ("c", 2)} <= answered
     assert last.numRowsTotal <= 3  # of c only: its waiting scan or its row, and a timer
     assert spark.conf.get(held.PROVIDER) == held.ROCKSDB
+
+
+class _Kept:
+    """State and timers of one key, and how often its waiting rows were read."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.reads = [], None, set(), 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return types.SimpleNamespace(
+            exists=lambda: bool(self.rows), get=self._read, put=lambda r: setattr(self, "rows", list(r)),
+            appendList=self.rows_added, clear=lambda: setattr(self, "rows", []),
+        )
+
+    def rows_added(self, rows):
+        self.rows = self.rows + list(rows)
+
+    def _read(self):
+        self.reads += 1
+        return iter(self.rows)
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return types.SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def listTimers(self):  # noqa: N802
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+def test_rows_that_wait_are_read_once_whatever_the_number_of_batches():
+    kept, processor = _Kept(), watch._Ordered(2, 3, None)
+    processor.init(kept)
+    clock = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    batch = lambda *scans: iter([pd.DataFrame([(s * 60_000_000, s, 5, 5, None) for s in scans], columns=["at", "scan", "size_", "mtime", "status"])])
+    for scans in ((7, 3), (5, 1), (6,), (2, 4)):
+        assert not list(processor.handleInputRows(("a",), batch(*scans), clock(0)))
+    assert kept.reads == 0 and len(kept.rows) == 7 and kept.timers == {60_001}
+    out = pd.concat(processor.handleExpiredTimer(("a",), clock(6 * 60_000), None))
+    assert out["scan"].tolist() == [1, 2, 3, 4, 5] and out["stable_count"].tolist() == [1, 2, 3, 4, 5]
+    assert kept.reads == 1 and len(kept.rows) == 2 and kept.timers == {360_001}
+    # A row that is ready meets those that have waited, in order.
+    out = pd.concat(processor.handleInputRows(("a",), batch(9, 8), clock(8 * 60_000 + 1)))
+    assert out["scan"].tolist() == [6, 7, 8] and kept.value[0] == 8 and kept.timers == {540_001}
