@@ -5,6 +5,9 @@ inside one task: no rung needs another chunk, so the ladder is one pass over the
 those it leaves unsolved, one over their parts. Answers go to a log of bounded portions before
 anything reads them: a model is never asked twice because a plan was evaluated twice, a lost task
 repeats only its own portion, and a later run goes on from what the log holds. Errors travel as rows.
+
+Tables with a row per chunk are merged: their files are a small part of their rows, so Spark would
+take them as small enough to be sent through the driver.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import bound_batches, work_folder
 from ..session import stage as write
-from ..session import work_folder
 from ..settings import InferenceSettings
 from .answers import Answer, DegenerateError, read_answer
 from .signal import split_point
@@ -134,6 +137,7 @@ def transcribe(
                     rows.append({**{c: item[c] for c in CHUNK}, **entry, "try_no": attempt, "segments": segments, "fatal": fatal})
             yield pd.DataFrame(rows)
 
+    bound_batches(chunks.sparkSession)
     key = chunks.schema["job_id"].dataType.simpleString()
     answered = chunks.mapInPandas(
         run,
@@ -280,6 +284,7 @@ def _ask(pieces: DataFrame, load: Callable[[], Transcriber], settings: Inference
                 if rows:
                     yield pd.DataFrame(rows)
 
+    bound_batches(pieces.sparkSession)
     key = pieces.schema["job_id"].dataType.simpleString()
     return pieces.mapInPandas(
         run, f"job_id {key}, chunk_idx long, outcome string, segments {SEGMENTS}, history array<struct<{ENTRY}>>"
@@ -364,7 +369,7 @@ def run_ladder(
         known = known.unionByName(done.select(*CHUNK))
     turn = F.floor(F.col("chunk_idx") / turn_chunks).cast("long").alias("turn")
     planned = write(chunks.select(*CHUNK, "start", "end", turn))
-    asked = planned.join(known.distinct(), CHUNK, "left_anti") if done is not None or run else planned
+    asked = planned.join(known.distinct().hint("merge"), CHUNK, "left_anti") if done is not None or run else planned
     sizes = {r["turn"]: r["n"] for r in asked.groupBy("turn").agg(F.count("*").alias("n")).collect()}
     whole = F.struct(F.lit("").alias("part"), "start", "end", *[c for c in ("payload",) if c in chunks.columns])
     for number in sorted(sizes):  # one row per turn, and a turn is a bounded number of chunks of each job
@@ -372,7 +377,7 @@ def run_ladder(
         open_keys = asked.where(F.col("turn") == number).select(*CHUNK)
         todo = chunks if len(sizes) == 1 else chunks.where(turn == number)
         if done is not None or run:
-            todo = todo.join(open_keys, CHUNK, "left_semi")
+            todo = todo.join(open_keys.hint("merge"), CHUNK, "left_semi")
         if number != min(sizes):
             todo = todo.join(lost, "job_id", "left_anti")
         n = tasks or max(-(-sizes[number] // portion), min(sizes[number], spark.sparkContext.defaultParallelism))
@@ -388,7 +393,7 @@ def _split(todo, answered, load, settings, splitter, n, answers, run, number) ->
     unsolved = answered.where("outcome = 'unsolved'").select(*CHUNK)
     if unsolved.isEmpty():
         return
-    pending = write(todo.join(unsolved, CHUNK, "left_semi").withColumn("part", F.lit("")))
+    pending = write(todo.join(unsolved.hint("merge"), CHUNK, "left_semi").withColumn("part", F.lit("")))
     piece = F.struct("part", "start", "end", *[c for c in ("payload",) if c in todo.columns])
     parts = splitter(pending).groupBy(*CHUNK).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     metrics = F.lit(None).cast(METRICS)
@@ -402,7 +407,7 @@ def _split(todo, answered, load, settings, splitter, n, answers, run, number) ->
     )
     parts = write(parts)
     split = parts.withColumn("history", entry("ok", None)).repartition(n, *CHUNK).sortWithinPartitions(*CHUNK)
-    whole = pending.select(*CHUNK).join(parts.select(*CHUNK), CHUNK, "left_anti")
+    whole = pending.select(*CHUNK).join(parts.select(*CHUNK).hint("merge"), CHUNK, "left_anti")
     unsplit = whole.select(
         *CHUNK, F.lit("unsolved").alias("outcome"), F.lit(None).cast(SEGMENTS).alias("segments"),
         entry("error", "chunk cannot be split").alias("history"),
@@ -413,19 +418,19 @@ def _split(todo, answered, load, settings, splitter, n, answers, run, number) ->
 def _resolve(planned: DataFrame, answers: AnswerLog, run: int, done: DataFrame | None, attempts: DataFrame | None) -> LadderResult:
     spark = planned.sparkSession
     # The log may know chunks that are not asked for any more.
-    latest = write(answers.latest(spark).join(planned.select(*CHUNK), CHUNK, "left_semi"))
+    latest = write(answers.latest(spark).join(planned.select(*CHUNK).hint("merge"), CHUNK, "left_semi"))
     entries = latest.select(*CHUNK, F.posexplode("history").alias("attempt_no", "e"))
     columns = [c.split(":")[0] for c in ENTRY.split("metrics:")[0].rstrip(",").split(",")] + ["metrics"]
     made = entries.select(*CHUNK, F.col("attempt_no").cast("long").alias("attempt_no"), *[F.col(f"e.{c}").alias(c) for c in columns])
     solved = latest.where("outcome = 'done'").select(*CHUNK, "segments")
     if done is not None:
-        earlier = done.join(latest.select(*CHUNK), CHUNK, "left_anti").select(*CHUNK, "segments")
+        earlier = done.join(latest.select(*CHUNK).hint("merge"), CHUNK, "left_anti").select(*CHUNK, "segments")
         solved = solved.unionByName(earlier)
         if attempts is not None:
-            made = made.unionByName(attempts.join(earlier.select(*CHUNK), CHUNK, "left_semi").select(*made.columns))
+            made = made.unionByName(attempts.join(earlier.select(*CHUNK).hint("merge"), CHUNK, "left_semi").select(*made.columns))
     errors = F.filter(F.transform("history", lambda e: e["error"]), lambda e: e.isNotNull())
     unsolved = latest.where("outcome = 'unsolved'").select(*CHUNK, F.get(errors, F.size(errors) - 1).alias("error"))
-    failed = planned.join(unsolved, CHUNK).select(
+    failed = planned.join(unsolved.hint("merge"), CHUNK).select(
         *CHUNK, "start", "end", F.coalesce("error", F.lit("no usable transcription")).alias("error")
     )
     lost = latest.where((F.col("run") == run) & (F.col("outcome") == "lost")).select("job_id").distinct().withColumn("lost", F.lit(True))
@@ -433,8 +438,8 @@ def _resolve(planned: DataFrame, answers: AnswerLog, run: int, done: DataFrame |
     jobs = (
         planned.select("job_id")
         .distinct()
-        .join(lost, "job_id", "left")
-        .join(counts, "job_id", "left")
+        .join(lost.hint("merge"), "job_id", "left")
+        .join(counts.hint("merge"), "job_id", "left")
         .select(
             "job_id",
             F.when(F.col("lost"), "failed").when(F.col("n") > 0, "incomplete").otherwise("completed").alias("status"),

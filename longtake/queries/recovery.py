@@ -82,8 +82,8 @@ def udf_3_ladder(spark, sf):
     failed = result.failed.select("job_id", "chunk_idx", F.lit(True).alias("failed"))
     key = ["job_id", "chunk_idx"]
     return (
-        calls.join(done, key, "left")
-        .join(failed, key, "left")
+        calls.join(done.hint("merge"), key, "left")
+        .join(failed.hint("merge"), key, "left")
         .select(
             *key,
             "calls",
@@ -186,7 +186,7 @@ def udf_3_resume(spark, sf):
     text = F.when(open_ended, "either").otherwise(F.col("segments")[0]["text"]).alias("text")
     jobs = first.withColumnRenamed("status", "first_status").join(second.jobs.withColumnRenamed("status", "second_status"), "job_id")
     done = second.done.select(*key, text)
-    return calls.join(kept, key).join(done, key).join(jobs, "job_id").select(*key, "calls", "kept", "text", "first_status", "second_status")
+    return calls.join(kept.hint("merge"), key).join(done.hint("merge"), key).join(jobs, "job_id").select(*key, "calls", "kept", "text", "first_status", "second_status")
 
 
 _ANSWERS = "length(text) > 0 AND doc_id % 9 <> 0"

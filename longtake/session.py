@@ -80,6 +80,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+BATCH_BYTES = 4 << 20  # of rows with payloads that are sent to a Python worker at once
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python workers are bounded in bytes: ten thousand long texts would be held many times over."""
+    known = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < known <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 _TIDIED: set[str] = set()
 
 

@@ -8,11 +8,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from longtake.operators import metrics, percentiles, segmentation as seg, signal
+from longtake.operators import metrics, percentiles, recovery, segmentation as seg, signal
 from longtake.operators.ordered import neighbours, numbered, running
 from longtake.operators.percentiles import exact_percentiles
 from longtake.session import stage
-from longtake.settings import SegmentationSettings
+from longtake.settings import InferenceSettings, SegmentationSettings
 from longtake.streaming import watch
 
 
@@ -141,6 +141,26 @@ def test_scans_meet_their_results_without_a_broadcast(spark):
     assert broadcasts(watch.stable_files(seen, results)) == 0
 
 
+def test_chunks_of_a_ladder_are_not_sent_through_the_driver(spark, tmp_path):
+    chunks = stage(spark.range(40).select((F.col("id") % 4).alias("job_id"), F.floor(F.col("id") / 4).alias("chunk_idx"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))
+    for run in (1, 2):
+        result = recovery.run_ladder(chunks, recovery.mock_transcriber, InferenceSettings(), log=str(tmp_path / "log"))
+        assert result.done.count() == 40 and [broadcasts(df) for df in (result.failed, result.jobs)] == [0, 0]
+
+
+def test_batches_of_long_payloads_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("256m", str(4 << 20)), ("1m", "1m")):
+            spark.conf.set(name, given)
+            rows = spark.range(3).select(F.col("id").alias("job_id"), F.lit(0).cast("long").alias("chunk_idx"), F.lit("").alias("part"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"))
+            assert recovery.transcribe(rows, recovery.mock_transcriber).count() == 3
+            assert spark.conf.get(name).rstrip("b") in (want, str(1 << 20) if given == "1m" else want)
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("whole", [0, 2, 4096])
 def test_percentiles_in_blocks_or_whole(spark, monkeypatch, whole):
     """Keys with few values make one block; rows without a key have no percentile."""
