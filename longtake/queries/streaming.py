@@ -32,7 +32,7 @@ def src_1_filter_media(spark, sf):
 
 def _log_lines(spark, sf):
     """The event log as JSON lines, with broken lines among them."""
-    good = event_source.event_lines(views.run_event_files(spark, sf))
+    good = event_source.event_lines(views.run_event_log(spark, sf))
     broken = views.table(spark, sf, "events").select(
         F.when(F.col("event_type") == "view", '{"type": 5, "seq": 1}').otherwise('{"type": "lo').alias("value")
     )

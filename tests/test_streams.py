@@ -84,6 +84,21 @@ def test_type_prefix_and_round_trip(spark, log_dir, tmp_path):
     assert source.read_events(spark, str(tmp_path / "again")).count() == chunks.count()
 
 
+def test_broken_lines_are_told_without_the_parser(spark):
+    whole = event(1, "a}", {"x": {"y": [{"z": "\\"}]}, "t": '{"'})
+    deep = '{"type": "deep", "data": ' + '{"k": ' * 9 + "1" + "}" * 10
+    kept = [whole, deep, f" \t{whole}", f"{whole} junk", whole + "{", '{"type": "x"} "', '{"type": "x"}}', "{}" + whole]
+    cut = [whole[:n] for n in range(len(whole)) if whole[n - 1] != "}"] + ["", "not json", "5", f"[{whole},", "{" * 5000, '{"type": "' + "\\n" * 500_000]
+    broken = ["{'type': 'x'}", '{"type": "x", "type": "x"}', '{"type": NaN}', '{"type": "x", "data": {"a": 1, "a": 2}}', '{"type": "x" "y"}', "\ufeff" + whole]
+    lines = [(i, x) for i, x in enumerate(kept + cut + broken)]
+    df = stage(spark.createDataFrame(lines, "seq long, value string"))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.type", "variant"))
+    exact = {r.value for r in df.where(kind == "STRING").collect()}
+    left = {r.value for r in df.where(source.may_parse(F.col("value"))).collect()}
+    assert exact == set(kept[:-1]) and exact <= left and left.isdisjoint(cut)
+    assert source.parse_events(df).count() == len(exact)
+
+
 def test_stable_files_stream_equals_table_with_results(spark):
     rng = random.Random(4)
     rows = []
