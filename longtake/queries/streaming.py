@@ -288,14 +288,22 @@ def str_4_stable_files_stream(spark, sf):
 def _to_the_end(spark, events, make, key="run_id"):
     """Rows of a stream over all files of ``events``, run until the watermark has passed them all.
 
-    A last file holds one row with a key of its own, far behind the others, that moves the watermark.
+    The files come in any order, so the watermark stays behind the first event until all were read:
+    its delay is the time between the first and the last one, and a day. A last file holds one row
+    with a key of its own that moves it past the others; its type is the end of a run, which no
+    filter for activity leaves out before it has moved the watermark.
     """
     folder = f"{work_folder(spark)}/closed-{uuid.uuid4().hex}"
     events.write.parquet(f"{folder}/log")
-    clock = spark.read.schema(events.schema).parquet(f"{folder}/log").orderBy(F.desc("ts")).limit(1)
-    clock = clock.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 30 DAYS"), key: F.lit("~clock")})
+    log = spark.read.schema(events.schema).parquet(f"{folder}/log")
+    span = log.agg(F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).first()[0] or 0
+    delay = f"{span + 86_400} seconds"
+    clock = log.agg(F.max_by(F.struct("*"), "ts").alias("last")).where("last IS NOT NULL").select("last.*")
+    clock = clock.withColumns({"ts": F.col("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 30 DAYS"), key: F.lit("~clock")})
+    if "type" in events.columns:
+        clock = clock.withColumn("type", F.lit("run.finished"))
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/log")
-    out = make(source.withWatermark("ts", "1 day"))
+    out = make(source.withWatermark("ts", delay))
     for last in (False, True):
         if last:
             clock.write.mode("append").parquet(f"{folder}/log")

@@ -479,3 +479,31 @@ def test_rows_that_wait_are_read_once_whatever_the_number_of_batches():
     # A row that is ready meets those that have waited, in order.
     out = pd.concat(processor.handleInputRows(("a",), batch(9, 8), clock(8 * 60_000 + 1)))
     assert out["scan"].tolist() == [6, 7, 8] and kept.value[0] == 8 and kept.timers == {540_001}
+
+
+@pytest.mark.parametrize(("files", "last"), [(10, "log"), (1, "resource.sample")])
+def test_a_replay_to_the_end_leaves_out_no_event(spark, files, last):
+    """Files that hold rows of every day each, and a last event that is no activity."""
+    from longtake.queries.streaming import _to_the_end
+
+    rng = random.Random(11)
+    rows, want = [], set()
+    for day in range(6):
+        at, idle_from = 1_700_000_000 + 86_400 * day, None
+        for seq in range(1, 41):
+            at += rng.choice([60, 599, 600, 1500])
+            kind = rng.choice(["log", "progress", "resource.sample", "run.finished"])
+            if (day, seq) == (5, 40):
+                kind = last
+            rows.append((f"d{day}", seq, float(at), kind))
+            if kind == "resource.sample":
+                continue
+            if idle_from is not None and at - idle_from >= 600:
+                want |= {(f"d{day}", "raised", None, idle_from, idle_from + 600), (f"d{day}", "cleared", seq, idle_from, at)}
+            idle_from = None if kind == "run.finished" else at
+        if idle_from is not None:
+            want.add((f"d{day}", "raised", None, idle_from, idle_from + 600))
+    events = rows_at(spark, rows).repartition(files, "seq")
+    found = _to_the_end(spark, events, lambda s: alarms.stall_alarms(s, 600, live=False)).where("run_id <> '~clock'")
+    got = found.select("run_id", "kind", "seq", F.unix_seconds("idle_from"), F.unix_seconds("at")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
